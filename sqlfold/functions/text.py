@@ -63,8 +63,13 @@ def glob_to_regex(pattern: str, star: str = ".*") -> str:
 
 
 def normalize_script(c) -> Column:
-    """CRLF to LF, trailing blanks removed, one final LF."""
-    return F.concat(js_trim_end_col(F.regexp_replace(_c(c), "\r\n", "\n")), F.lit("\n"))
+    """CRLF to LF, trailing blanks removed, one final LF.
+
+    The trailing-blank regex only runs on texts whose last character is blank.
+    """
+    t = F.replace(_c(c), F.lit("\r\n"), F.lit("\n"))
+    ends_blank = F.substring(t, -1, 1).rlike(TRIM_CLASS)
+    return F.concat(F.when(ends_blank, js_trim_end_col(t)).otherwise(t), F.lit("\n"))
 
 
 def normalize_statement(masked) -> Column:
@@ -97,8 +102,8 @@ def deploy_date(v) -> Column:
     """X11: ``Mon D YYYY`` for a version starting with 8 digits, else the raw text."""
     t = js_trim_col(v)
     months = F.array(*[F.lit(m) for m in MONTHS])
-    mon = F.substring(t, 5, 2).cast("int")
-    name = F.coalesce(F.element_at(months, F.when((mon >= 1) & (mon <= 12), mon)), F.substring(t, 5, 2))
+    mon = F.substring(t, 5, 2).try_cast("int")
+    name = F.when((mon >= 1) & (mon <= 12), F.element_at(months, mon)).otherwise(F.substring(t, 5, 2))
     day = F.substring(t, 7, 2).cast("int").cast("string")
     return F.when(t.rlike(r"^[0-9]{8}"), F.concat_ws(" ", name, day, F.substring(t, 1, 4))).otherwise(t)
 
@@ -106,8 +111,8 @@ def deploy_date(v) -> Column:
 def deploy_date_short(v) -> Column:
     t = js_trim_col(v)
     months = F.array(*[F.lit(m) for m in MONTHS])
-    mon = F.substring(t, 5, 2).cast("int")
-    name = F.coalesce(F.element_at(months, F.when((mon >= 1) & (mon <= 12), mon)), F.substring(t, 5, 2))
+    mon = F.substring(t, 5, 2).try_cast("int")
+    name = F.when((mon >= 1) & (mon <= 12), F.element_at(months, mon)).otherwise(F.substring(t, 5, 2))
     day = F.substring(t, 7, 2).cast("int").cast("string")
     return F.when(t.rlike(r"^[0-9]{8}"), F.concat_ws(" ", name, day)).otherwise(t)
 

@@ -398,16 +398,19 @@ def q_deploy_phrase(spark, sf):
 
 
 def q_resumable_load(spark, sf):
-    """Load documents as per-document files in two waves; the second wave only takes what
-    the load log doesn't hold yet. Returns the loaded table."""
+    """Load documents grouped into one seed file per source, in two waves. Each file is
+    one output partition, overwritten atomically; the second wave takes only the files the
+    load log doesn't hold yet. Returns the loaded table."""
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-load-{uuid.uuid4().hex}"
-    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), "doc_id", "lang", "n_chars")
-    q = ordinal(d, [], ["file_id"], "queue_no")
+    d = _t(spark, sf, "documents").select(F.col("source").alias("file_id"), "doc_id", "lang", "n_chars")
+    files = d.select("file_id").distinct()
+    q = ordinal(files, [], ["file_id"], "queue_no")
     half = q.agg(F.max("queue_no")).first()[0] // 2
-    queue.load_wave(q.filter(F.col("queue_no") <= half).drop("queue_no"), root)
+    first = d.join(q.filter(F.col("queue_no") <= half).select("file_id"), "file_id", "left_semi")
+    queue.load_wave(first, root)
     log = spark.read.parquet(root).select("file_id").distinct()
     todo = queue.pending(q, log, "file_id")
-    queue.load_wave(todo.drop("queue_no"), root)
+    queue.load_wave(d.join(todo.select("file_id"), "file_id", "left_semi"), root)
     return spark.read.parquet(root).select("doc_id", "lang", "n_chars")
 
 
