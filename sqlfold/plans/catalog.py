@@ -369,7 +369,7 @@ def _paths(spark, sf):
 
 
 def q_load_queue(spark, sf):
-    q = queue.load_queue(_paths(spark, sf), queue.patterns_table(spark, QUEUE_PATTERNS))
+    q = queue.load_queue(_paths(spark, sf), QUEUE_PATTERNS)
     return q.withColumn("pattern_no", F.col("pattern_no").cast("long"))
 
 

@@ -8,10 +8,16 @@ local mode (tests, the driver's smoke checks).
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set = set()
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -30,10 +36,42 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
+    return spark
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session ready for sqlfold jobs: checkpoint folder and the package on every executor."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (``addPyFile``) once per SparkContext.
+
+    Python workers unpickle the per-partition functions by module path, so they
+    need ``sqlfold`` importable wherever they run, not just on the driver.
+    """
+    sc = spark.sparkContext
+    key = (id(sc), sc.applicationId)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    fd, path = tempfile.mkstemp(prefix="sqlfold-", suffix=".zip")
+    with os.fdopen(fd, "wb") as fh:
+        fh.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a private one only in local mode."""
     sc = spark.sparkContext
@@ -56,4 +94,9 @@ def materialize(df: DataFrame) -> DataFrame:
     A reliable checkpoint survives executor loss; ``localCheckpoint`` would not.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # the checkpoint write reads the persisted blocks instead of recomputing the input
+        return staged.checkpoint(eager=True)
+    finally:
+        staged.unpersist()
