@@ -20,12 +20,12 @@ reliable checkpoint so both passes see identical partitions.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
@@ -39,33 +39,48 @@ def _nparts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+PID = "_pid"
+
+
 def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on ``keys`` and sort inside partitions; pinned for multi-pass use."""
+    """Range-partition on ``keys``, sort inside partitions and pin the result for multi-pass use.
+
+    Each row carries its range partition number in ``_pid``; later passes key their
+    per-partition state on that column, never on the task's partition index (a union
+    or coalesce downstream renumbers tasks).
+    """
     n = _nparts(df, num_partitions)
-    return materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return materialize(ranged.withColumn(PID, F.spark_partition_id()))
 
 
 def _runs(batches, group_cols):
-    """Yield (key, frame) for contiguous runs of one group key across Arrow batches."""
+    """Yield (pid, key, frame) for contiguous runs of one (partition, group key) across Arrow batches."""
+    cols = [PID] + list(group_cols)
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = list(zip(*(pdf[c].tolist() for c in group_cols)))
+        keys = list(zip(*(pdf[c].tolist() for c in cols)))
         start = 0
         for i in range(1, len(keys) + 1):
             if i == len(keys) or keys[i] != keys[start]:
-                yield keys[start], pdf.iloc[start:i]
+                yield keys[start][0], keys[start][1:], pdf.iloc[start:i]
                 start = i
 
 
+def _by_partition(batches, group_cols):
+    """Yield (pid, runs) per partition block, lazily: ``runs`` iterates (key, frame) in order."""
+    for pid, grp in itertools.groupby(_runs(batches, group_cols), key=lambda t: t[0]):
+        yield pid, ((key, part) for _, key, part in grp)
+
+
 def _collect_summaries(x: DataFrame, fn) -> dict[int, object]:
     rows = x.mapInPandas(fn, _SUMMARY).collect()
     return {r.pid: pickle.loads(r.blob) for r in rows}
 
 
-def _emit_summary(obj):
-    pid = TaskContext.get().partitionId()
-    return pd.DataFrame({"pid": [pid], "blob": [pickle.dumps(obj)]})
+def _emit_summary(pid, obj):
+    return pd.DataFrame({"pid": [int(pid)], "blob": [pickle.dumps(obj)]})
 
 
 # ---------------------------------------------------------------------------
@@ -89,22 +104,23 @@ def ordinal(
     x = range_sorted(df, group_cols + order_cols, num_partitions)
 
     def summarize(batches):
-        first = last = None
-        n_first = n_last = 0
-        groups = 0
-        for key, part in _runs(batches, group_cols):
-            if first is None:
-                first, groups = key, 1
-            if key == first and groups == 1:
-                n_first += len(part)
-            if last is None or key != last:
-                if last is not None:
-                    groups += 1
-                last, n_last = key, 0
-            n_last += len(part)
-        yield _emit_summary((first, last, n_first, n_last, groups))
-
-    summ = _collect_summaries(x.select(*group_cols), summarize)
+        for pid, runs in _by_partition(batches, group_cols):
+            first = last = None
+            n_first = n_last = 0
+            groups = 0
+            for key, part in runs:
+                if first is None:
+                    first, groups = key, 1
+                if key == first and groups == 1:
+                    n_first += len(part)
+                if last is None or key != last:
+                    if last is not None:
+                        groups += 1
+                    last, n_last = key, 0
+                n_last += len(part)
+            yield _emit_summary(pid, (first, last, n_first, n_last, groups))
+
+    summ = _collect_summaries(x.select(PID, *group_cols), summarize)
     bases: dict[int, int] = {}
     carry_key, carry_n = None, 0
     for pid in sorted(summ):
@@ -121,24 +137,25 @@ def ordinal(
     schema = T.StructType(x.schema.fields + [T.StructField(name, T.LongType(), False)])
 
     def apply(batches):
-        pid = TaskContext.get().partitionId()
-        base = bases.get(pid, 0)
-        cur, n = None, 0
-        started = False
+        cur_pid, cur, n = None, None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
+            pids = pdf[PID].tolist()
             keys = list(zip(*(pdf[c].tolist() for c in group_cols)))
             out = np.empty(len(keys), dtype=np.int64)
             for i, k in enumerate(keys):
+                if pids[i] != cur_pid:
+                    cur_pid, cur = pids[i], None
+                    first_of_partition = True
                 if k != cur:
-                    n = base if not started else 0
-                    cur, started = k, True
+                    n = bases.get(cur_pid, 0) if first_of_partition else 0
+                    cur, first_of_partition = k, False
                 n += 1
                 out[i] = n
             yield pdf.assign(**{name: out})
 
-    return x.mapInPandas(apply, schema)
+    return x.mapInPandas(apply, schema).drop(PID)
 
 
 # ---------------------------------------------------------------------------
@@ -197,40 +214,36 @@ def fold_lines(
 
     def summarize_for(forced: dict | None):
         def summarize(batches):
-            pid = TaskContext.get().partitionId()
-            if forced is not None and pid not in forced:
-                for _ in batches:
-                    pass
-                return
-            fold = fold_factory()
-            first_key = last_key = None
-            first_spec = None
-            last_state, last_cnt = None, None
-            groups = 0
-            for key, part in _runs(batches, group_cols):
-                texts = part[line_col].tolist()
-                if first_key is None:
-                    first_key, groups = key, 1
-                    if forced is not None:
-                        entries = forced[pid]
-                    else:
-                        entries = list(fold.candidates)
-                        if extra_candidates is not None:
-                            entries += [e for e in extra_candidates(texts) if e not in entries]
-                    first_spec = _Speculation(fold, counters, entries)
-                if key == first_key and groups == 1:
-                    for t in texts:
-                        first_spec.feed(t)
+            for pid, runs in _by_partition(batches, group_cols):
+                if forced is not None and pid not in forced:
                     continue
-                if key != last_key:
-                    groups += 1
-                    last_key, last_state, last_cnt = key, fold.initial, counters.zero()
-                for t in texts:
-                    last_state, out = fold.feed(last_state, t)
-                    last_cnt = counters.add(last_cnt, counters.delta(out))
-            if first_key is None:
-                return
-            yield _emit_summary((first_key, first_spec.result(), groups, last_key, last_state, last_cnt))
+                fold = fold_factory()
+                first_key = last_key = None
+                first_spec = None
+                last_state, last_cnt = None, None
+                groups = 0
+                for key, part in runs:
+                    texts = part[line_col].tolist()
+                    if first_key is None:
+                        first_key, groups = key, 1
+                        if forced is not None:
+                            entries = forced[pid]
+                        else:
+                            entries = list(fold.candidates)
+                            if extra_candidates is not None:
+                                entries += [e for e in extra_candidates(texts) if e not in entries]
+                        first_spec = _Speculation(fold, counters, entries)
+                    if key == first_key and groups == 1:
+                        for t in texts:
+                            first_spec.feed(t)
+                        continue
+                    if key != last_key:
+                        groups += 1
+                        last_key, last_state, last_cnt = key, fold.initial, counters.zero()
+                    for t in texts:
+                        last_state, out = fold.feed(last_state, t)
+                        last_cnt = counters.add(last_cnt, counters.delta(out))
+                yield _emit_summary(pid, (first_key, first_spec.result(), groups, last_key, last_state, last_cnt))
 
         return summarize
 
@@ -262,28 +275,28 @@ def fold_lines(
         summ[pid][1].update(extra[pid][1])
 
     def apply(batches):
-        pid = TaskContext.get().partitionId()
         fold = fold_factory()
-        first = True
-        state = cnt = None
-        cur = None
-        for key, part in _runs(batches, group_cols):
-            if key != cur:
-                if first:
-                    state, cnt = entries.get(pid, (fold.initial, counters.origin()))
-                    first = False
-                else:
-                    state, cnt = fold.initial, counters.origin()
-                cur = key
-            recs = []
-            for row in part.itertuples(index=False):
-                line = getattr(row, line_col)
-                before = state
-                state, out = fold.feed(state, line)
-                recs.extend(emit(key, row, before, out, cnt))
-                cnt = counters.chain(cnt, counters.delta(out))
-            if recs:
-                yield pd.DataFrame.from_records(recs, columns=out_schema.fieldNames())
+        for pid, runs in _by_partition(batches, group_cols):
+            first = True
+            state = cnt = None
+            cur = None
+            for key, part in runs:
+                if key != cur:
+                    if first:
+                        state, cnt = entries.get(pid, (fold.initial, counters.origin()))
+                        first = False
+                    else:
+                        state, cnt = fold.initial, counters.origin()
+                    cur = key
+                recs = []
+                for row in part.itertuples(index=False):
+                    line = getattr(row, line_col)
+                    before = state
+                    state, out = fold.feed(state, line)
+                    recs.extend(emit(key, row, before, out, cnt))
+                    cnt = counters.chain(cnt, counters.delta(out))
+                if recs:
+                    yield pd.DataFrame.from_records(recs, columns=out_schema.fieldNames())
 
     return x.mapInPandas(apply, out_schema)
 
@@ -362,56 +375,57 @@ def greedy_pack(
         return part[size_cols].to_numpy(dtype=float).reshape(len(part), len(size_cols))
 
     def summarize(batches):
-        first_key = None
-        first_parts, last_key, last_parts = [], None, []
-        groups = 0
-        for key, part in _runs(batches, group_cols):
+        for pid, runs in _by_partition(batches, group_cols):
+            first_key = None
+            first_parts, last_key, last_parts = [], None, []
+            groups = 0
+            for key, part in runs:
+                if first_key is None:
+                    first_key, groups = key, 1
+                if key == first_key and groups == 1:
+                    first_parts.append(part)
+                    continue
+                if key != last_key:
+                    groups += 1
+                    last_key, last_parts = key, []
+                last_parts.append(part)
             if first_key is None:
-                first_key, groups = key, 1
-            if key == first_key and groups == 1:
-                first_parts.append(part)
                 continue
-            if key != last_key:
-                groups += 1
-                last_key, last_parts = key, []
-            last_parts.append(part)
-        if first_key is None:
-            return
-        fp = pd.concat(first_parts)
-        lim, mc = group_limits(fp)
-        w = weights(fp)
-        n = w.shape[0]
-        nxt = _next_starts(w, base, lim, mc)
-        chunks = np.zeros(n, dtype=np.int64)
-        last_start = np.zeros(n, dtype=np.int64)
-        for j in range(n - 1, -1, -1):
-            k = nxt[j]
-            if k >= n:
-                chunks[j], last_start[j] = 1, j
-            else:
-                chunks[j], last_start[j] = 1 + chunks[k], last_start[k]
-        # only starts reachable as a first boundary are needed by the driver
-        horizon = min(n, (mc if mc else n) + 1)
-        head_w = w[: max(horizon, 1)]
-        table = {
-            j: (int(chunks[j]), int(n - last_start[j]), (base + w[last_start[j]:].sum(axis=0)).tolist())
-            for j in range(horizon)
-        }
-        # partitions that hold a single group without any reachable boundary need the full sums
-        total = w.sum(axis=0).tolist()
-        tail = None
-        if groups > 1:
-            lp = pd.concat(last_parts)
-            lw = weights(lp)
-            llim, lmc = group_limits(lp)
-            lnxt = _next_starts(lw, base, llim, lmc)
-            j, c = 0, 0
-            while j < lw.shape[0]:
-                s, j, c = j, int(lnxt[j]), c + 1
-            tail = (c, int(lw.shape[0] - s), (base + lw[s:].sum(axis=0)).tolist())
-        yield _emit_summary((first_key, n, head_w, lim, mc, table, total, groups, last_key, tail))
-
-    summ = _collect_summaries(x.select(*group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])), summarize)
+            fp = pd.concat(first_parts)
+            lim, mc = group_limits(fp)
+            w = weights(fp)
+            n = w.shape[0]
+            nxt = _next_starts(w, base, lim, mc)
+            chunks = np.zeros(n, dtype=np.int64)
+            last_start = np.zeros(n, dtype=np.int64)
+            for j in range(n - 1, -1, -1):
+                k = nxt[j]
+                if k >= n:
+                    chunks[j], last_start[j] = 1, j
+                else:
+                    chunks[j], last_start[j] = 1 + chunks[k], last_start[k]
+            # only starts reachable as a first boundary are needed by the driver
+            horizon = min(n, (mc if mc else n) + 1)
+            head_w = w[: max(horizon, 1)]
+            table = {
+                j: (int(chunks[j]), int(n - last_start[j]), (base + w[last_start[j]:].sum(axis=0)).tolist())
+                for j in range(horizon)
+            }
+            # partitions that hold a single group without any reachable boundary need the full sums
+            total = w.sum(axis=0).tolist()
+            tail = None
+            if groups > 1:
+                lp = pd.concat(last_parts)
+                lw = weights(lp)
+                llim, lmc = group_limits(lp)
+                lnxt = _next_starts(lw, base, llim, lmc)
+                j, c = 0, 0
+                while j < lw.shape[0]:
+                    s, j, c = j, int(lnxt[j]), c + 1
+                tail = (c, int(lw.shape[0] - s), (base + lw[s:].sum(axis=0)).tolist())
+            yield _emit_summary(pid, (first_key, n, head_w, lim, mc, table, total, groups, last_key, tail))
+
+    summ = _collect_summaries(x.select(PID, *group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])), summarize)
     entries: dict[int, tuple] = {}
     carry = None  # (key, chunks_so_far, open_count, open_sums)
     for pid in sorted(summ):
@@ -432,41 +446,41 @@ def greedy_pack(
     schema = T.StructType(x.schema.fields + [T.StructField(chunk_col, T.LongType(), False)])
 
     def apply(batches):
-        pid = TaskContext.get().partitionId()
-        first = True
-        cur = None
-        done = cnt = 0
-        sums = base.copy()
-        lim, mc = None, 0
-        for key, part in _runs(batches, group_cols):
-            if key != cur:
-                if first and pid in entries:
-                    done, cnt, s = entries[pid]
-                    sums = np.asarray(s, dtype=float)
+        for pid, runs in _by_partition(batches, group_cols):
+            first = True
+            cur = None
+            done = cnt = 0
+            sums = base.copy()
+            lim, mc = None, 0
+            for key, part in runs:
+                if key != cur:
+                    if first and pid in entries:
+                        done, cnt, s0 = entries[pid]
+                        sums = np.asarray(s0, dtype=float)
+                    else:
+                        done, cnt, sums = 0, 0, base.copy()
+                    first = False
+                    cur = key
+                    lim, mc = group_limits(part)
+                w = weights(part)
+                n = w.shape[0]
+                out = np.empty(n, dtype=np.int64)
+                j0 = _first_boundary(w, cnt, sums, lim, mc) if cnt else 0
+                if j0 >= n:
+                    out[:] = done
+                    cnt += n
+                    sums = sums + w.sum(axis=0)
                 else:
-                    done, cnt, sums = 0, 0, base.copy()
-                first = False
-                cur = key
-                lim, mc = group_limits(part)
-            w = weights(part)
-            n = w.shape[0]
-            out = np.empty(n, dtype=np.int64)
-            j0 = _first_boundary(w, cnt, sums, lim, mc) if cnt else 0
-            if j0 >= n:
-                out[:] = done
-                cnt += n
-                sums = sums + w.sum(axis=0)
-            else:
-                out[:j0] = done
-                nxt = _next_starts(w, base, lim, mc)
-                j = j0
-                while j < n:
-                    done += 1
-                    k = int(nxt[j])
-                    out[j:k] = done
-                    s, j = j, k
-                cnt = n - s
-                sums = base + w[s:].sum(axis=0)
-            yield part.assign(**{chunk_col: out})
-
-    return x.mapInPandas(apply, schema)
+                    out[:j0] = done
+                    nxt = _next_starts(w, base, lim, mc)
+                    j = j0
+                    while j < n:
+                        done += 1
+                        k = int(nxt[j])
+                        out[j:k] = done
+                        st, j = j, k
+                    cnt = n - st
+                    sums = base + w[st:].sum(axis=0)
+                yield part.assign(**{chunk_col: out})
+
+    return x.mapInPandas(apply, schema).drop(PID)

@@ -201,4 +201,8 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
     ).select(*c, "name", "version", F.lit(1).cast("long").alias("segment_no"), F.lit("renumber").alias("kind"),
              strip_version_prefix("name").alias("suffix"), F.col("text").alias("content"))
     plan = renumber(split_out.unionByName(others), c, earliest)
-    return plan.join(segs.select(*c, "name", "n_segments"), c + ["name"], "left")
+    plan = plan.join(segs.select(*c, "name", "n_segments"), c + ["name"], "left")
+    plan = plan.join(tx.select(*c, "name", "tx_error"), c + ["name"], "left")
+    err = (F.when(F.col("tx_error").isNotNull(), F.col("tx_error"))
+           .when((F.col("kind") == "split") & (F.col("n_segments") <= 1), F.lit("no separable schema/data groups")))
+    return plan.withColumn("error", err).drop("tx_error")

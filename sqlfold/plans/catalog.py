@@ -414,6 +414,80 @@ def q_resumable_load(spark, sf):
     return spark.read.parquet(root).select("doc_id", "lang", "n_chars")
 
 
+def q_audit_summary(spark, sf):
+    a = audit.classify_scripts(_scripts(spark, sf), evidence=False)
+    return audit.audit_summary(a, ["user_id"])
+
+
+SPLIT_TEMPLATES = {
+    "purchase": "BEGIN;\nCREATE TABLE p_%1$s (id bigint);\nINSERT INTO p_%1$s VALUES (1);\nCOMMIT;\n",
+    "click": "CREATE TABLE t_%1$s (id bigint);\n",
+    "view": "INSERT INTO t VALUES (%1$s);\n",
+    "error": "SELECT %1$s;\n",
+    "signup": "UPDATE u SET n = %1$s;\n",
+}
+
+
+def q_split_plan(spark, sf):
+    e = _event_versions(spark, sf)
+    text = None
+    for t, tmpl in SPLIT_TEMPLATES.items():
+        piece = F.format_string(tmpl, F.col("event_id"))
+        text = F.when(F.col("event_type") == t, piece) if text is None else text.when(F.col("event_type") == t, piece)
+    scripts = e.select(
+        "user_id", "version", text.alias("text"),
+        F.concat(F.col("version"), F.lit("_"), F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"),
+                 F.lit(".sql")).alias("name"),
+        "event_type")
+    targets = scripts.filter(F.col("event_type") == "purchase").select("user_id", "name")
+    plan = splitplan.split_plan(scripts.drop("event_type"), targets, ["user_id"])
+    return plan.select("user_id", "name", "new_name", "kind", "content", "error")
+
+
+def q_rechunk_statements(spark, sf):
+    o = _t(spark, sf, "orders")
+    lines = insert_dump(o, "orders.sql", "public.orders", "o_orderkey", [sql_quote(F.col("o_orderpriority"))],
+                        "o_orderkey, o_orderpriority", rows_per_stmt=100)
+    scan = statements.dump_scan(lines)
+    rows = statements.rows_from_scan(scan)
+    st = statements.statements_from_scan(scan, with_text=False)
+    lim = rows.select("target").distinct().select(
+        "target", F.lit(100.0).alias("max_rows"), F.lit(2100.0).alias("max_bytes"))
+    ch = packing.rechunk_inserts(rows, st, lim)
+    key = F.regexp_extract("tuple", r"^\((\d+), ", 1).cast("long")
+    return ch.groupBy("stmt_no", "chunk_no").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.sum(F.col("tuple_bytes") + 2) + F.max("header_bytes") + 2).cast("long").alias("chunk_bytes"),
+        F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
+def q_schema_roundtrip(spark, sf):
+    """Split the schema dump into per-statement members with line-range headers, read the
+    members back in start-line order and compare with the original line by line."""
+    lines = _schema_lines(spark, sf)
+    st = statements.ddl_statements(lines)
+    header = F.concat(F.lit("-- Original SQL from lines "), F.col("line_start").cast("string"), F.lit("-"),
+                      F.col("line_end").cast("string"), F.lit("\n\n"))
+    members = st.select("file_id", F.concat(header, F.col("text")).alias("member"))
+    back = members.select(
+        "file_id",
+        F.regexp_extract("member", r"^-- Original SQL from lines (\d+)-(\d+)", 1).cast("long").alias("start"),
+        F.regexp_replace("member", r"^-- Original SQL from lines[^\n]*\n\n", "").alias("text"))
+    back_lines = back.select("file_id", "start", F.posexplode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("i", "line"))
+    back_lines = ordinal(back_lines, ["file_id"], ["start", "i"], "pos")
+    orig = ordinal(lines, ["file_id"], ["line_no"], "pos")
+    diff = reconcile.first_difference(orig.select("file_id", "pos", "line"), back_lines.select("file_id", "pos", "line"),
+                                      ["file_id"], "pos")
+    fp_o = reconcile.member_fingerprint(orig, ["file_id"], "pos", "line").select(
+        "file_id", F.col("n_members").alias("n_lines"), F.col("fingerprint").alias("fp_o"))
+    fp_b = reconcile.member_fingerprint(back_lines, ["file_id"], "pos", "line").select(
+        "file_id", F.col("n_members").alias("n_lines_back"), F.col("fingerprint").alias("fp_b"))
+    n_st = st.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_statements"))
+    out = n_st.join(fp_o, "file_id").join(fp_b, "file_id").join(diff.select("file_id", "first_diff_line"), "file_id", "left")
+    return out.select("file_id", "n_statements", "n_lines", "n_lines_back",
+                      (F.col("fp_o") == F.col("fp_b")).alias("fingerprint_equal"), "first_diff_line")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dump_roundtrip": q_dump_roundtrip,
     "dump_row_counts": q_dump_row_counts,
@@ -441,4 +515,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "markers_roundtrip": q_markers_roundtrip,
     "deploy_phrase": q_deploy_phrase,
     "resumable_load": q_resumable_load,
+    "audit_summary": q_audit_summary,
+    "split_plan": q_split_plan,
+    "rechunk_statements": q_rechunk_statements,
+    "schema_roundtrip": q_schema_roundtrip,
 }

@@ -326,3 +326,75 @@ FROM g
 SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents
 """,
 }
+
+ORACLE["audit_summary"] = """
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(count(*) AS BIGINT) AS total,
+       CAST(count(*) FILTER (WHERE event_type IN ('view', 'signup')) AS BIGINT) AS data,
+       CAST(count(*) FILTER (WHERE event_type = 'click') AS BIGINT) AS schema,
+       CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS mixed,
+       CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS unknown,
+       CAST(count(*) FILTER (WHERE event_type IN ('click', 'view')) AS BIGINT) AS suggested_updates
+FROM events GROUP BY user_id
+"""
+
+ORACLE["split_plan"] = f"""
+WITH e AS (SELECT user_id, event_id, event_type, {_V} AS version FROM events),
+n AS (SELECT *, version || '_' || event_type || '_' || event_id || '.sql' AS name,
+        CASE event_type
+          WHEN 'click' THEN 'CREATE TABLE t_' || event_id || ' (id bigint);' || chr(10)
+          WHEN 'view' THEN 'INSERT INTO t VALUES (' || event_id || ');' || chr(10)
+          WHEN 'error' THEN 'SELECT ' || event_id || ';' || chr(10)
+          WHEN 'signup' THEN 'UPDATE u SET n = ' || event_id || ';' || chr(10) END AS text FROM e),
+ear AS (SELECT user_id, min(version) AS earliest FROM e WHERE event_type = 'purchase' GROUP BY 1),
+seg(segment_no) AS (VALUES (1), (2)),
+outs AS (
+  SELECT n.user_id, n.name, n.version, seg.segment_no, ear.earliest,
+         CASE WHEN event_type = 'purchase' THEN 'split' ELSE 'renumber' END AS kind,
+         CASE WHEN event_type = 'purchase'
+              THEN 'purchase_' || event_id || CASE seg.segment_no WHEN 1 THEN '_schema_1.sql' ELSE '_data_2.sql' END
+              ELSE event_type || '_' || event_id || '.sql' END AS suffix,
+         CASE WHEN event_type = 'purchase'
+              THEN 'BEGIN;' || chr(10)
+                   || CASE seg.segment_no WHEN 1 THEN 'CREATE TABLE p_' || event_id || ' (id bigint);'
+                                          ELSE 'INSERT INTO p_' || event_id || ' VALUES (1);' END
+                   || chr(10) || chr(10) || 'COMMIT;' || chr(10)
+              ELSE text END AS content
+  FROM n JOIN ear USING (user_id) JOIN seg ON seg.segment_no = 1 OR n.event_type = 'purchase'
+  WHERE n.version >= ear.earliest),
+pos AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length(version), version, name, segment_no) AS p FROM outs)
+SELECT CAST(user_id AS BIGINT) AS user_id, name,
+       CAST(CAST(CAST(earliest AS DECIMAL(38,0)) + p - 1 AS DECIMAL(38,0)) AS VARCHAR) || '_' || suffix AS new_name,
+       kind, content, CAST(NULL AS VARCHAR) AS error
+FROM pos
+"""
+
+ORACLE["rechunk_statements"] = """
+WITH RECURSIVE hh AS (SELECT strlen('INSERT INTO public.orders (o_orderkey, o_orderpriority) VALUES') + 2 AS h),
+t AS (SELECT o_orderkey // 100 + 1 AS stmt_no, o_orderkey,
+             strlen('(' || o_orderkey || ', ''' || o_orderpriority || ''')') + 2 AS w,
+             row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) AS rn
+      FROM orders),
+s AS (SELECT stmt_no, count(*) AS n, sum(w + 1) AS sw FROM t GROUP BY stmt_no),
+g AS (SELECT s.stmt_no, (s.n <= 100 AND hh.h - 2 + s.sw <= 2100) AS whole, hh.h FROM s, hh),
+r AS (
+  SELECT t.stmt_no, t.rn, t.o_orderkey, t.w, g.h, g.whole, 1 AS chunk_no, 1 AS cnt, g.h + t.w AS bytes
+  FROM t JOIN g USING (stmt_no) WHERE t.rn = 1
+  UNION ALL
+  SELECT t.stmt_no, t.rn, t.o_orderkey, t.w, r.h, r.whole,
+         CASE WHEN NOT r.whole AND (r.cnt >= 100 OR r.bytes + t.w > 2100) THEN r.chunk_no + 1 ELSE r.chunk_no END,
+         CASE WHEN NOT r.whole AND (r.cnt >= 100 OR r.bytes + t.w > 2100) THEN 1 ELSE r.cnt + 1 END,
+         CASE WHEN NOT r.whole AND (r.cnt >= 100 OR r.bytes + t.w > 2100) THEN r.h + t.w ELSE r.bytes + t.w END
+  FROM r JOIN t ON t.stmt_no = r.stmt_no AND t.rn = r.rn + 1)
+SELECT CAST(stmt_no AS BIGINT) AS stmt_no, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(w) + max(h) AS BIGINT) AS chunk_bytes, CAST(min(o_orderkey) AS BIGINT) AS first_key,
+       CAST(max(o_orderkey) AS BIGINT) AS last_key
+FROM r GROUP BY stmt_no, chunk_no
+"""
+
+ORACLE["schema_roundtrip"] = """
+WITH c AS (SELECT CASE p_type WHEN 'ECONOMY' THEN 3 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 6 WHEN 'LARGE' THEN 2
+                              WHEN 'STANDARD' THEN 1 ELSE 2 END AS n FROM part)
+SELECT 'schema.sql' AS file_id, CAST(count(*) AS BIGINT) AS n_statements, CAST(sum(n) AS BIGINT) AS n_lines,
+       CAST(sum(n) AS BIGINT) AS n_lines_back, true AS fingerprint_equal, CAST(NULL AS BIGINT) AS first_diff_line
+FROM c
+"""

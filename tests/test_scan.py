@@ -83,3 +83,22 @@ def test_rechunk_rows_gate_and_bytes(spark):
     out = packing.rechunk_rows(rows, ["target"], ["row_no"], "header_bytes", 3, 70).orderBy("row_no").collect()
     # open at 22; +12 +13 +14 = 61; +15 > 70 -> new chunk, etc.
     assert [r.chunk_no for r in out] == _greedy([12 + i for i in range(10)], 22.0, 70.0, 3)
+
+
+def test_scan_outputs_survive_union_renumbering(spark):
+    """Per-partition state is keyed on the stamped range partition, not the task index:
+    putting another DataFrame first in a union renumbers tasks and must not change results."""
+    rng = random.Random(3)
+    data = [(g, i, float(rng.randint(1, 60))) for g in range(3) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, i int, w double")
+    packed = greedy_pack(df, ["g"], ["i"], ["w"], [100.0], 5, num_partitions=7)
+    filler = spark.range(0, 50, numPartitions=5).select(
+        F.lit(-1).alias("g"), F.col("id").cast("int").alias("i"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("chunk_no"))
+    both = filler.unionByName(packed).filter("g >= 0").collect()
+    got = {(r.g, r.i): r.chunk_no for r in both}
+    for g in range(3):
+        ws = [w for gg, i, w in data if gg == g]
+        assert [got[(g, i)] for i in range(len(ws))] == _greedy(ws, 0.0, 100.0, 5)
+    pos = ordinal(df, ["g"], ["i"], "n", num_partitions=7)
+    both = filler.drop("chunk_no").withColumn("n", F.lit(0).cast("long")).unionByName(pos).filter("g >= 0").collect()
+    assert all(r.n == r.i + 1 for r in both)
