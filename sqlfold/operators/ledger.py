@@ -26,16 +26,27 @@ def latest(v) -> Column:
 
 
 def alignment(ledger: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Latest local, latest remote and latest version present on both sides, per group."""
+    """Latest local, latest remote and latest version present on both sides, per group.
+
+    One pass over the ledger: both sides are exploded into (group, side, version)
+    rows, reduced to one row per (group, version) with side flags (the set
+    intersection), then to one row per group. Groups whose rows hold no valid
+    version are kept with nulls.
+    """
     g = list(group_cols)
-    loc = ledger.filter(is_valid_version("local")).select(*g, js_trim_col("local").alias("v")).distinct()
-    rem = ledger.filter(is_valid_version("remote")).select(*g, js_trim_col("remote").alias("v")).distinct()
-    both = loc.join(rem, g + ["v"], "left_semi")
-    groups = ledger.select(*g).distinct()
-    return (
-        groups.join(loc.groupBy(*g).agg(latest("v").alias("latest_local")), g, "left")
-        .join(rem.groupBy(*g).agg(latest("v").alias("latest_remote")), g, "left")
-        .join(both.groupBy(*g).agg(latest("v").alias("latest_aligned")), g, "left")
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_local"), F.col("local").alias("raw")),
+        F.struct(F.lit(False).alias("is_local"), F.col("remote").alias("raw")),
+    )
+    x = ledger.select(*g, F.explode(sides).alias("s")).select(*g, "s.is_local", "s.raw")
+    x = x.select(*g, "is_local", F.when(is_valid_version("raw"), js_trim_col("raw")).alias("v"))
+    per_v = x.groupBy(*g, "v").agg(
+        F.max(F.col("is_local").cast("int")).alias("in_l"), F.max((~F.col("is_local")).cast("int")).alias("in_r"))
+    key = version_key("v")
+    return per_v.groupBy(*g).agg(
+        F.max(F.when(F.col("v").isNotNull() & (F.col("in_l") == 1), key))["v"].alias("latest_local"),
+        F.max(F.when(F.col("v").isNotNull() & (F.col("in_r") == 1), key))["v"].alias("latest_remote"),
+        F.max(F.when(F.col("v").isNotNull() & (F.col("in_l") == 1) & (F.col("in_r") == 1), key))["v"].alias("latest_aligned"),
     )
 
 

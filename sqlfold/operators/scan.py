@@ -40,6 +40,8 @@ def _nparts(df: DataFrame, num_partitions: int | None) -> int:
 
 
 PID = "_pid"
+# driver-side counters for observability (e.g. how often speculation missed)
+STATS = {"refolds": 0}
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -201,9 +203,13 @@ def fold_lines(
     out_schema: T.StructType,
     num_partitions: int | None = None,
     extra_candidates=None,
+    pin: bool = False,
 ) -> DataFrame:
     """Run a line fold over ordered lines of many groups, partition-parallel.
 
+    ``pin=True`` checkpoints the fold output so several consumers read it without
+    re-running the Python pass.
+
     ``counters`` describes additive counters the fold advances (``zero``,
     ``delta(out)``, ``add``); ``emit(key, row, state_before, out, counters_before)``
     returns output records (dicts) for one line in pass 2.
@@ -273,6 +279,7 @@ def fold_lines(
         pid, state = missing
         extra = _collect_summaries(x, summarize_for({pid: [state]}))
         summ[pid][1].update(extra[pid][1])
+        STATS["refolds"] += 1
 
     def apply(batches):
         fold = fold_factory()
@@ -298,7 +305,8 @@ def fold_lines(
                 if recs:
                     yield pd.DataFrame.from_records(recs, columns=out_schema.fieldNames())
 
-    return x.mapInPandas(apply, out_schema)
+    out = x.mapInPandas(apply, out_schema)
+    return materialize(out) if pin else out
 
 
 # ---------------------------------------------------------------------------

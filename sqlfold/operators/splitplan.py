@@ -85,7 +85,7 @@ def transaction_check(stmts: DataFrame, group_cols: Sequence[str], order_col: st
                       text_col: str = "statement") -> DataFrame:
     """per script, whether it is wrapped in one BEGIN ... COMMIT, or why it can't be split."""
     g = list(group_cols)
-    n = statement_norm(F.col(text_col))
+    n = F.col("_norm") if "_norm" in stmts.columns else statement_norm(F.col(text_col))
     s = stmts.withColumn("_n", n)
     begin = F.col("_n").isin("begin;", "begin", "begin transaction;", "begin transaction")
     commit = F.col("_n").isin("commit;", "commit", "commit transaction;", "commit transaction")
@@ -174,12 +174,16 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
     tg = targets.join(scripts.select(*c, "name", "version"), c + ["name"])
     earliest = tg.groupBy(*c).agg(F.min(version_key("version"))["v"].cast("decimal(38,0)").alias("earliest"))
     is_target = scripts.join(targets.withColumn("_t", F.lit(True)), c + ["name"], "left").fillna(False, ["_t"])
-    st = script_statements(is_target.filter("_t"), "text")
+    from ..session import materialize
+
+    # statements come from a Python split; pin them (and their kinds) once for the branches below
+    st = materialize(script_statements(is_target.filter("_t"), "text")
+                     .withColumn("kind", statement_kind(F.col("statement")))
+                     .withColumn("_norm", statement_norm(F.col("statement"))))
     tx = transaction_check(st, c + ["name"])
     core = st.join(tx.select(*c, "name", "wrapped"), c + ["name"])
     core = core.join(tx.select(*c, "name", "n_statements"), c + ["name"])
     core = core.filter(~(F.col("wrapped") & ((F.col("stmt_no") == 1) | (F.col("stmt_no") == F.col("n_statements")))))
-    core = core.withColumn("kind", statement_kind(F.col("statement")))
     w = Window.partitionBy(*c, "name").orderBy("stmt_no")
     core = core.withColumn("filled", F.coalesce(F.last("kind", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("schema")))
     core = core.withColumn("_chg", F.when(F.lag("filled").over(w).isNull() | (F.lag("filled").over(w) != F.col("filled")), 1).otherwise(0))
