@@ -22,11 +22,15 @@ def _c(c) -> Column:
 
 def js_trim_col(c) -> Column:
     """Trim all Unicode blanks and BOM at both ends (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(c), rf"\A{TRIM_CLASS}+|{TRIM_CLASS}+\z", "")
+    from .lexer import JS_SPACE
+
+    return F.btrim(_c(c), F.lit(JS_SPACE))
 
 
 def js_trim_end_col(c) -> Column:
-    return F.regexp_replace(_c(c), rf"{TRIM_CLASS}+\z", "")
+    """Trim trailing blanks; the regex only runs on values whose last character is blank."""
+    t = _c(c)
+    return F.when(F.substring(t, -1, 1).rlike(TRIM_CLASS), F.regexp_replace(t, rf"{TRIM_CLASS}+\z", "")).otherwise(t)
 
 
 def line_count(c) -> Column:

@@ -89,6 +89,15 @@ def classify_scripts(scripts: DataFrame, text_col: str = "text", data_marker: st
         .when((F.col("classification") == "schema") & ~F.col("has_schema_marker"), "schema")
     )
     out = out.withColumn("recommended_marker", rec)
+    # what to do about it
+    out = out.withColumn(
+        "recommendation",
+        F.when(F.col("classification") == "mixed", F.lit("split into schema-only and data-only scripts"))
+        .when(F.col("recommended_marker") == "data", F.lit(f"add -- {data_marker}"))
+        .when(F.col("recommended_marker") == "schema", F.lit(f"add -- {schema_marker}"))
+        .when(F.col("classification") == "unknown", F.lit("review manually"))
+        .otherwise(F.lit("none")),
+    )
     if not evidence:
         out = out.drop("marker_matches", "ddl_matches", "dml_matches")
     return out

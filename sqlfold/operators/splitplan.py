@@ -210,3 +210,16 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
     err = (F.when(F.col("tx_error").isNotNull(), F.col("tx_error"))
            .when((F.col("kind") == "split") & (F.col("n_segments") <= 1), F.lit("no separable schema/data groups")))
     return plan.withColumn("error", err).drop("tx_error")
+
+
+def split_scope(audit_df: DataFrame, cutoff: str | None = None, scope: str = "cutoff",
+                version_col: str = "version") -> DataFrame:
+    """Mixed scripts to split -- all of them (``scope='all'``) or only those after the cutoff."""
+    if scope not in ("cutoff", "all"):
+        raise ValueError("scope is 'cutoff' or 'all'")
+    mixed = audit_df.filter(F.col("classification") == "mixed")
+    if scope == "all":
+        return mixed
+    if cutoff is None:
+        raise ValueError("a cutoff is needed for scope='cutoff'")
+    return mixed.filter(version_key(version_col) > version_key(F.lit(cutoff)))

@@ -488,6 +488,22 @@ def q_schema_roundtrip(spark, sf):
                       (F.col("fp_o") == F.col("fp_b")).alias("fingerprint_equal"), "first_diff_line")
 
 
+SPLIT_RULES = {"public.documents": {"maxRowsPerInsert": 7, "maxBytesPerFile": 60000},
+               "public.orders": {"maxRowsPerInsert": 30}}
+
+
+def q_dump_split_validate(spark, sf):
+    """Split a documents + orders dump into files under rules, reassemble, reconcile."""
+    from ..sources.text import rules_from_json
+    from .split_validate import split_and_validate
+
+    docs = insert_dump(_t(spark, sf, "documents"), "documents.sql", "public.documents", "doc_id",
+                       [sql_quote(injected_text(F.col("text")))], "doc_id, text")
+    orders = insert_dump(_t(spark, sf, "orders"), "orders.sql", "public.orders", "o_orderkey",
+                         [sql_quote(F.col("o_orderpriority"))], "o_orderkey, o_orderpriority")
+    return split_and_validate(docs.unionByName(orders), rules_from_json(spark, SPLIT_RULES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dump_roundtrip": q_dump_roundtrip,
     "dump_row_counts": q_dump_row_counts,
@@ -519,4 +535,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_plan": q_split_plan,
     "rechunk_statements": q_rechunk_statements,
     "schema_roundtrip": q_schema_roundtrip,
+    "dump_split_validate": q_dump_split_validate,
 }

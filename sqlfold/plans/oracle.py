@@ -398,3 +398,10 @@ SELECT 'schema.sql' AS file_id, CAST(count(*) AS BIGINT) AS n_statements, CAST(s
        CAST(sum(n) AS BIGINT) AS n_lines_back, true AS fingerprint_equal, CAST(NULL AS BIGINT) AS first_diff_line
 FROM c
 """
+
+ORACLE["dump_split_validate"] = """
+SELECT 'public.documents' AS key, CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right, 'ok' AS status
+FROM documents
+UNION ALL SELECT 'public.orders', count(*), count(*), 'ok' FROM orders
+UNION ALL SELECT '(sequence lines)', 4, 4, 'ok'
+"""

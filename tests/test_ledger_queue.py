@@ -95,3 +95,29 @@ def test_split_plan_full_and_cutoff(spark):
     remote = spark.createDataFrame([("c", "20260102000000")], "corpus_id string, remote string")
     touched = scripts.filter(F.col("version") >= "20260102000000")
     assert splitplan.blocked_by_remote(touched, remote, ["corpus_id"]).count() == 1
+
+
+def test_split_scope(spark):
+    a = spark.createDataFrame([("1_a.sql", "20260101000000", "mixed"), ("2_b.sql", "20260102000000", "mixed"),
+                               ("3_c.sql", "20260103000000", "data")], "name string, version string, classification string")
+    assert splitplan.split_scope(a, scope="all").count() == 2
+    assert [r.name for r in splitplan.split_scope(a, "20260101000000").collect()] == ["2_b.sql"]
+
+
+def test_chunk_and_statement_files_roundtrip(spark, tmp_path):
+    from sqlfold.sources.text import read_chunk_files, read_statement_files, write_statement_files
+
+    st = spark.createDataFrame([("04_tables/0001_a.sql", 1, 2, "CREATE TABLE a (\n x int);\n"),
+                                ("07_indexes/0001_i.sql", 3, 3, "CREATE INDEX i ON a (x);\n")],
+                               "file_name string, line_start long, line_end long, text string")
+    out = str(tmp_path / "schema")
+    write_statement_files(st, out)
+    back = read_statement_files(spark, out + "/members").orderBy("line_start").collect()
+    assert [(r.line_start, r.text) for r in back] == [(1, "CREATE TABLE a (\n x int);\n"), (3, "CREATE INDEX i ON a (x);\n")]
+    d = tmp_path / "chunks"
+    d.mkdir()
+    for name, txt in [("002_public_t_01.sql", "a;\n"), ("002_public_t_02.sql", "b;"), ("010_public_u.sql", "c;  \n"),
+                      ("keep.txt", "x"), ("999_cleanup.sql", "RESET ALL;")]:
+        (d / name).write_text(txt)
+    rows = read_chunk_files(spark, str(d), ignore=["999_*"]).orderBy("table_no", "part_no").collect()
+    assert [(r.table_no, r.part_no, r.text) for r in rows] == [(2, 1, "a;"), (2, 2, "b;"), (10, 0, "c;")]
