@@ -36,13 +36,14 @@ def _facts_udf(data_marker: str, schema_marker: str):
         for sql in texts:
             sql = sql or ""
             masked = lexer.mask_sql(sql)
-            ddl_ev = lexer.pattern_evidence(masked, lexer._DDL_EVIDENCE_RE)
-            dml_ev = (lexer.pattern_evidence(masked, lexer._DML_EVIDENCE_RE) + lexer.update_evidence(masked))[:3]
+            ddl_ev = lexer.ddl_evidence(masked)
+            dml_ev = lexer.dml_evidence(masked)
+            has_comment = "--" in sql
             rows.append({
-                "has_ddl": lexer.DDL_ANY.search(masked) is not None,
-                "has_dml": lexer.DML_ANY.search(masked) is not None or len(dml_ev) > 0,
-                "has_data_marker": dm.search(sql) is not None,
-                "has_schema_marker": sm.search(sql) is not None,
+                "has_ddl": bool(ddl_ev) or lexer.DDL_ANY.search(masked) is not None,
+                "has_dml": bool(dml_ev) or lexer.DML_ANY.search(masked) is not None,
+                "has_data_marker": has_comment and dm.search(sql) is not None,
+                "has_schema_marker": has_comment and sm.search(sql) is not None,
                 "marker_matches": [dict(zip(("pattern", "line", "snippet"), m))
                                    for m in lexer.marker_evidence(sql, [data_marker, schema_marker])],
                 "ddl_matches": [dict(zip(("pattern", "line", "snippet"), m)) for m in ddl_ev],
