@@ -211,8 +211,9 @@ def fold_lines(
     re-running the Python pass.
 
     ``counters`` describes additive counters the fold advances (``zero``,
-    ``delta(out)``, ``add``); ``emit(key, row, state_before, out, counters_before)``
-    returns output records (dicts) for one line in pass 2.
+    ``delta(out)``, ``add``, ``origin``, ``chain``); ``emit(key, row, state_before,
+    out, counters_before)`` returns output records (lists in ``out_schema`` order)
+    for one line in pass 2.
     """
     group_cols = list(group_cols)
     x = range_sorted(lines.select(*group_cols, order_col, line_col), group_cols + [order_col], num_partitions)
@@ -303,7 +304,7 @@ def fold_lines(
                     recs.extend(emit(key, row, before, out, cnt))
                     cnt = counters.chain(cnt, counters.delta(out))
                 if recs:
-                    yield pd.DataFrame.from_records(recs, columns=out_schema.fieldNames())
+                    yield pd.DataFrame(recs, columns=out_schema.fieldNames())
 
     out = x.mapInPandas(apply, out_schema)
     return materialize(out) if pin else out

@@ -60,8 +60,7 @@ def kind_runs(df: DataFrame, group_cols: Sequence[str], order_col: str, kind_col
 
     def emit(key, row, before, out, cnt):
         filled, new = out
-        return [{**dict(zip(g, key)), order_col: getattr(row, order_col), "filled_kind": filled,
-                 "segment_no": cnt + (1 if new else 0)}]
+        return [[*key, getattr(row, order_col), filled, cnt + (1 if new else 0)]]
 
     runs = fold_lines(df, g, order_col, kind_col, KindFold, _RunCounters, emit, schema, num_partitions)
     return df.join(runs, g + [order_col])
