@@ -25,6 +25,7 @@ import pickle
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -52,8 +53,13 @@ def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None
     or coalesce downstream renumbers tasks).
     """
     n = _nparts(df, num_partitions)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return materialize(ranged.withColumn(PID, F.spark_partition_id()))
+    # the range bounds are sampled by a separate job: keep the input so it isn't computed twice
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        return materialize(ranged.withColumn(PID, F.spark_partition_id()))
+    finally:
+        src.unpersist()
 
 
 def _runs(batches, group_cols):
