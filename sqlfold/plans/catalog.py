@@ -43,7 +43,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _version(ts_col: str = "ts"):
-    return F.date_format(F.col(ts_col), "yyyyMMddHHmmss")
+    """``YYYYMMDDHHMMSS`` from a zone-less timestamp, independent of the session time zone."""
+    return F.substring(F.regexp_replace(F.col(ts_col).cast("string"), "[^0-9]", ""), 1, 14)
 
 
 def _map(col, mapping: dict):
