@@ -371,7 +371,13 @@ def greedy_pack(
     (an item never shares a chunk with nothing: a lone oversized item is kept).
     Limits may be per-group columns: pass column names in ``limits`` and the
     value is read from the first row of each group.
+
+    A count limit is required: the per-partition summary holds one entry per
+    position a chunk boundary can fall on from any entry state, which is at most
+    the count limit (W7: rows per INSERT, W8: statements per file).
     """
+    if not max_count:
+        raise ValueError("greedy_pack needs a positive count limit (number or column)")
     group_cols, order_cols, size_cols = list(group_cols), list(order_cols), list(size_cols)
     base = np.asarray(base if base is not None else [0.0] * len(size_cols), dtype=float)
     lim_cols = [c for c in limits if isinstance(c, str)]
