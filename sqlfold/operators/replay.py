@@ -80,3 +80,29 @@ def snapshot_replay(snapshot: DataFrame, changes: DataFrame, key_cols: Sequence[
     if delete_col:
         won = won.filter(~F.col(delete_col)).drop(delete_col)
     return won
+
+
+def plan_replay(scripts: DataFrame, group_cols: Sequence[str], cutoff, version_col: str = "version",
+                class_col: str = "classification", tie_cols: Sequence[str] = (), name_col: str | None = None,
+                strict: bool = False) -> DataFrame:
+    """R2 end to end: phase, action, mixed-script policy, replay order and no-op stubs.
+
+    Post-cutoff scripts are replayed in (version, ties) order, numbered per group with
+    the skew-safe ordinal; skipped data scripts get the X16 stub text when
+    ``name_col`` is given.
+    """
+    from ..functions.text import noop_stub
+    from .scan import ordinal
+
+    g = list(group_cols)
+    cut = cutoff if not isinstance(cutoff, str) else F.lit(cutoff)
+    e = scripts.withColumn("phase", phase(F.col(version_col), cut))
+    e = e.withColumn("action", replay_action(F.col("phase"), F.col(class_col)))
+    e = e.withColumn("policy_status", mixed_policy(F.col("phase"), F.col(class_col), strict))
+    post = e.filter(F.col("action") == "replay").withColumn("_vlen", F.length(version_col))
+    post = ordinal(post, g, ["_vlen", version_col, *tie_cols], "replay_seq").drop("_vlen")
+    pre = e.filter(F.col("action") != "replay").withColumn("replay_seq", F.lit(None).cast("long"))
+    out = post.unionByName(pre)
+    if name_col:
+        out = out.withColumn("stub", F.when(F.col("action") == "skip", noop_stub(F.col(name_col), cut)))
+    return out

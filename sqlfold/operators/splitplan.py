@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions import lexer
 from ..functions.text import strip_version_prefix

@@ -13,12 +13,12 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import class_phrase, deploy_date, deploy_date_short, js_trim_col, redact
+from ..functions.text import js_trim_col, redact
 from ..operators import audit, ledger, packing, queue, reconcile, replay, splitplan, statements
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
-from ..sources.text import parse_ledger, split_text_lines
-from .render import SLOT, injected_text, insert_dump, sql_quote, tuple_text
+from ..sources.text import parse_ledger
+from .render import injected_text, insert_dump, sql_quote, tuple_text
 
 # Fixed parameters of the registered queries ----------------------------------
 CUTOFF = "20240115000000"
@@ -246,14 +246,10 @@ def q_cutoff_grid(spark, sf):
 
 
 def q_replay_plan(spark, sf):
-    e = _classified_events(spark, sf)
-    e = e.withColumn("action", replay.replay_action(F.col("phase"), F.col("classification"))).withColumn(
-        "policy_status", replay.mixed_policy(F.col("phase"), F.col("classification")))
-    post = e.filter(F.col("action") == "replay").withColumn("_vlen", F.length("version"))
-    post = ordinal(post, ["user_id"], ["_vlen", "version", "event_id"], "replay_seq").drop("_vlen")
-    pre = e.filter(F.col("action") != "replay").withColumn("replay_seq", F.lit(None).cast("long"))
-    return post.unionByName(pre).select("user_id", "event_id", "version", "classification", "phase", "action",
-                                        "policy_status", "replay_seq")
+    e = _event_versions(spark, sf).withColumn("classification", _map(F.col("event_type"), CLASS_OF_TYPE))
+    plan = replay.plan_replay(e, ["user_id"], CUTOFF, tie_cols=["event_id"])
+    return plan.select("user_id", "event_id", "version", "classification", "phase", "action",
+                       "policy_status", "replay_seq")
 
 
 def q_snapshot_replay(spark, sf):

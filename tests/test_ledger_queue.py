@@ -121,3 +121,18 @@ def test_chunk_and_statement_files_roundtrip(spark, tmp_path):
         (d / name).write_text(txt)
     rows = read_chunk_files(spark, str(d), ignore=["999_*"]).orderBy("table_no", "part_no").collect()
     assert [(r.table_no, r.part_no, r.text) for r in rows] == [(2, 1, "a;"), (2, 2, "b;"), (10, 0, "c;")]
+
+
+def test_plan_replay_orders_and_stubs(spark):
+    from sqlfold.operators import replay
+
+    s = spark.createDataFrame([
+        ("c", "1_s.sql", "20260101000000", "schema"), ("c", "2_d.sql", "20260102000000", "data"),
+        ("c", "4_m.sql", "20260104000000", "mixed"), ("c", "3_d.sql", "20260103000000", "data"),
+        ("c", "0_m.sql", "20251231000000", "mixed"),
+    ], "corpus_id string, name string, version string, classification string")
+    p = {r.name: r for r in replay.plan_replay(s, ["corpus_id"], "20260102000000", name_col="name").collect()}
+    assert (p["1_s.sql"].action, p["2_d.sql"].action, p["3_d.sql"].action) == ("rebuild", "skip", "replay")
+    assert (p["3_d.sql"].replay_seq, p["4_m.sql"].replay_seq) == (1, 2)
+    assert (p["4_m.sql"].policy_status, p["0_m.sql"].policy_status) == ("needs_split", "warn")
+    assert p["2_d.sql"].stub.startswith("-- skipped: 2_d.sql") and p["1_s.sql"].stub is None
