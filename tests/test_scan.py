@@ -102,3 +102,10 @@ def test_scan_outputs_survive_union_renumbering(spark):
     pos = ordinal(df, ["g"], ["i"], "n", num_partitions=7)
     both = filler.drop("chunk_no").withColumn("n", F.lit(0).cast("long")).unionByName(pos).filter("g >= 0").collect()
     assert all(r.n == r.i + 1 for r in both)
+
+
+def test_dump_scan_ignores_input_order(spark):
+    lines, expect = _dump_lines(spark)
+    shuffled = lines.orderBy(F.rand(11)).repartition(5)
+    rows = statements.rows_from_scan(statements.dump_scan(shuffled, num_partitions=4)).select("target", "tuple").collect()
+    assert sorted((r.target, r.tuple) for r in rows) == sorted(expect)
