@@ -35,26 +35,32 @@ def mixed_policy(phase_col, classification, strict: bool = False) -> Column:
 
 def phase_grid(df: DataFrame, group_cols: Sequence[str], phase_col: str = "phase",
                class_col: str = "classification") -> DataFrame:
-    """A4: counts per (group, phase) and class in a fixed class list, zeros filled, plus the total."""
+    """A4: counts per (group, phase) for the fixed class list, plus the total.
+
+    One conditional aggregation (the class list is fixed, so no pivot pass is needed).
+    """
     g = list(group_cols)
-    grid = df.groupBy(*g, phase_col).pivot(class_col, CLASS_ORDER).count().fillna(0, CLASS_ORDER)
-    total = sum((F.col(c) for c in CLASS_ORDER), F.lit(0))
-    return grid.withColumn("total", total.cast("long"))
+    c = F.col(class_col)
+    return df.groupBy(*g, phase_col).agg(
+        *[F.count_if(c == k).alias(k) for k in CLASS_ORDER], F.count(F.lit(1)).alias("total"))
 
 
-def summary_row(grid: DataFrame, group_cols: Sequence[str], cutoff) -> DataFrame:
-    """One summary row per group from its pre/post grid."""
+def summary_row(df: DataFrame, group_cols: Sequence[str], cutoff, phase_col: str = "phase",
+                class_col: str = "classification") -> DataFrame:
+    """One summary row per group (pre/post totals, per-class phrases, X11 date), from the
+    classified rows in a single aggregation."""
     g = list(group_cols)
-    pre = grid.filter(F.col("phase") == "pre").select(*g, *[F.col(c).alias("pre_" + c) for c in CLASS_ORDER + ["total"]])
-    post = grid.filter(F.col("phase") == "post").select(*g, *[F.col(c).alias("post_" + c) for c in CLASS_ORDER + ["total"]])
-    j = pre.join(post, g, "full_outer").fillna(0)
-    pre_c = {c: F.col("pre_" + c) for c in CLASS_ORDER}
-    post_c = {c: F.col("post_" + c) for c in CLASS_ORDER}
+    c, ph = F.col(class_col), F.col(phase_col)
+    aggs = [F.count_if((ph == p) & (c == k)).alias(f"{p}_{k}") for p in ("pre", "post") for k in CLASS_ORDER]
+    aggs += [F.count_if(ph == "pre").alias("pre_total"), F.count_if(ph == "post").alias("post_total")]
+    j = df.groupBy(*g).agg(*aggs)
+    pre_c = {k: F.col("pre_" + k) for k in CLASS_ORDER}
+    post_c = {k: F.col("post_" + k) for k in CLASS_ORDER}
     return j.select(
         *g,
         deploy_date(cutoff).alias("last_deploy"),
-        F.col("pre_total").alias("pre_total"),
-        F.col("post_total").alias("post_total"),
+        "pre_total",
+        "post_total",
         class_phrase(pre_c, ["schema", "mixed", "unknown"]).alias("ran_during_rebuild"),
         class_phrase(pre_c, ["data"]).alias("skipped_in_snapshot"),
         class_phrase(post_c).alias("applied_after"),
