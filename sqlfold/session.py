@@ -100,3 +100,15 @@ def materialize(df: DataFrame) -> DataFrame:
         return staged.checkpoint(eager=True)
     finally:
         staged.unpersist()
+
+
+# Largest data-derived table we broadcast without a second thought (rows).
+BROADCAST_ROWS = 200_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only if it really is small (counted, not assumed); else leave the
+    join to the planner (shuffle join)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
