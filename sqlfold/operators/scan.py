@@ -42,7 +42,7 @@ def _nparts(df: DataFrame, num_partitions: int | None) -> int:
 
 PID = "_pid"
 # driver-side counters for observability (e.g. how often speculation missed)
-STATS = {"refolds": 0}
+STATS = {"refolds": 0, "speculated_partitions": 0}
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -230,6 +230,7 @@ def fold_lines(
             for pid, runs in _by_partition(batches, group_cols):
                 if forced is not None and pid not in forced:
                     continue
+                exact = forced.get(pid) if forced is not None else None
                 fold = fold_factory()
                 first_key = last_key = None
                 first_spec = None
@@ -239,8 +240,8 @@ def fold_lines(
                     texts = part[line_col].tolist()
                     if first_key is None:
                         first_key, groups = key, 1
-                        if forced is not None:
-                            entries = forced[pid]
+                        if exact is not None:
+                            entries = exact
                         else:
                             entries = list(fold.candidates)
                             if extra_candidates is not None:
@@ -260,12 +261,33 @@ def fold_lines(
 
         return summarize
 
-    summ = _collect_summaries(x, summarize_for(None))
+    # Which partitions share a group with a neighbour? Only those need the speculative pass
+    # (many small files: almost none do). A JVM aggregation over the group columns decides.
+    key = F.struct(*group_cols)
+    bounds = {
+        r[PID]: (tuple(r["lo"]), tuple(r["hi"]))
+        for r in x.groupBy(PID).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    }
+    order = sorted(bounds)
+    need: dict = {}
+    for i, pid in enumerate(order):
+        cont_in = i > 0 and bounds[order[i - 1]][1] == bounds[pid][0]
+        cont_out = i + 1 < len(order) and bounds[pid][1] == bounds[order[i + 1]][0]
+        if cont_in:
+            need[pid] = None  # entry unknown: speculate
+        elif cont_out:
+            need[pid] = [fold0.initial]  # starts fresh, but its last group runs on
+    summ = _collect_summaries(x, summarize_for(need)) if need else {}
+    STATS["speculated_partitions"] += len(need)
     entries: dict[int, tuple] = {}
     while True:
         missing = None
         carry = None  # (key, state, counters)
-        for pid in sorted(summ):
+        for pid in order:
+            if pid not in summ:
+                entries[pid] = (fold0.initial, counters.origin())
+                carry = None
+                continue
             first_key, table, groups, last_key, last_state, last_cnt = summ[pid]
             if carry is not None and carry[0] == first_key:
                 entry_state, entry_cnt = carry[1], carry[2]

@@ -109,3 +109,18 @@ def test_dump_scan_ignores_input_order(spark):
     shuffled = lines.orderBy(F.rand(11)).repartition(5)
     rows = statements.rows_from_scan(statements.dump_scan(shuffled, num_partitions=4)).select("target", "tuple").collect()
     assert sorted((r.target, r.tuple) for r in rows) == sorted(expect)
+
+
+def test_many_small_files_skip_speculation(spark):
+    """Files that never span a partition cut need no speculative pass; results stay exact."""
+    from sqlfold.operators import scan as S
+
+    rows, expect = [], []
+    for f in range(40):
+        rows.append((f"f{f:02d}.sql", 1, f"INSERT INTO public.t{f % 3} (a) VALUES ({f}, 'x;y'), ({f + 100}, 'z');"))
+        expect += [(f"public.t{f % 3}", f"({f}, 'x;y')"), (f"public.t{f % 3}", f"({f + 100}, 'z')")]
+    df = spark.createDataFrame(rows, "file_id string, line_no long, line string")
+    before = S.STATS["speculated_partitions"]
+    got = statements.rows_from_scan(statements.dump_scan(df, num_partitions=4)).select("target", "tuple").collect()
+    assert sorted((r.target, r.tuple) for r in got) == sorted(expect)
+    assert S.STATS["speculated_partitions"] == before  # one-line files never continue across partitions
