@@ -91,6 +91,22 @@ def _emit_summary(pid, obj):
     return pd.DataFrame({"pid": [int(pid)], "blob": [pickle.dumps(obj)]})
 
 
+def _neighbour_groups(x: DataFrame, group_cols: Sequence[str]):
+    """(ordered pids, {pid: (continues_in, continues_out)}) from each partition's first/last group key."""
+    key = F.struct(*group_cols)
+    bounds = {
+        r[PID]: (tuple(r["lo"]), tuple(r["hi"]))
+        for r in x.groupBy(PID).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    }
+    order = sorted(bounds)
+    flags = {}
+    for i, pid in enumerate(order):
+        cont_in = i > 0 and bounds[order[i - 1]][1] == bounds[pid][0]
+        cont_out = i + 1 < len(order) and bounds[pid][1] == bounds[order[i + 1]][0]
+        flags[pid] = (cont_in, cont_out)
+    return order, flags
+
+
 # ---------------------------------------------------------------------------
 # ordinal
 # ---------------------------------------------------------------------------
@@ -263,16 +279,10 @@ def fold_lines(
 
     # Which partitions share a group with a neighbour? Only those need the speculative pass
     # (many small files: almost none do). A JVM aggregation over the group columns decides.
-    key = F.struct(*group_cols)
-    bounds = {
-        r[PID]: (tuple(r["lo"]), tuple(r["hi"]))
-        for r in x.groupBy(PID).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
-    }
-    order = sorted(bounds)
+    order, flags = _neighbour_groups(x, group_cols)
     need: dict = {}
-    for i, pid in enumerate(order):
-        cont_in = i > 0 and bounds[order[i - 1]][1] == bounds[pid][0]
-        cont_out = i + 1 < len(order) and bounds[pid][1] == bounds[order[i + 1]][0]
+    for pid in order:
+        cont_in, cont_out = flags[pid]
         if cont_in:
             need[pid] = None  # entry unknown: speculate
         elif cont_out:
@@ -417,8 +427,13 @@ def greedy_pack(
     def weights(part):
         return part[size_cols].to_numpy(dtype=float).reshape(len(part), len(size_cols))
 
+    order, flags = _neighbour_groups(x, group_cols)
+    need = {pid for pid, (cin, cout) in flags.items() if cin or cout}
+
     def summarize(batches):
         for pid, runs in _by_partition(batches, group_cols):
+            if pid not in need:
+                continue
             first_key = None
             first_parts, last_key, last_parts = [], None, []
             groups = 0
@@ -468,10 +483,14 @@ def greedy_pack(
                 tail = (c, int(lw.shape[0] - s), (base + lw[s:].sum(axis=0)).tolist())
             yield _emit_summary(pid, (first_key, n, head_w, lim, mc, table, total, groups, last_key, tail))
 
-    summ = _collect_summaries(x.select(PID, *group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])), summarize)
+    cols = [PID, *group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])]
+    summ = _collect_summaries(x.select(*cols), summarize) if need else {}
     entries: dict[int, tuple] = {}
     carry = None  # (key, chunks_so_far, open_count, open_sums)
-    for pid in sorted(summ):
+    for pid in order:
+        if pid not in summ:  # no group crosses its edges: every group starts fresh
+            carry = None
+            continue
         first_key, n, head_w, lim, mc, table, total, groups, last_key, tail = summ[pid]
         if carry is not None and carry[0] == first_key:
             done, cnt, sums = carry[1], carry[2], np.asarray(carry[3])
