@@ -287,7 +287,11 @@ def fold_lines(
             need[pid] = None  # entry unknown: speculate
         elif cont_out:
             need[pid] = [fold0.initial]  # starts fresh, but its last group runs on
-    summ = _collect_summaries(x, summarize_for(need)) if need else {}
+    def only(pids):
+        # the JVM drops other partitions' rows before anything reaches Python
+        return x.filter(F.col(PID).isin([int(p) for p in pids]))
+
+    summ = _collect_summaries(only(need), summarize_for(need)) if need else {}
     STATS["speculated_partitions"] += len(need)
     entries: dict[int, tuple] = {}
     while True:
@@ -316,7 +320,7 @@ def fold_lines(
         if missing is None:
             break
         pid, state = missing
-        extra = _collect_summaries(x, summarize_for({pid: [state]}))
+        extra = _collect_summaries(only([pid]), summarize_for({pid: [state]}))
         summ[pid][1].update(extra[pid][1])
         STATS["refolds"] += 1
 
@@ -484,7 +488,8 @@ def greedy_pack(
             yield _emit_summary(pid, (first_key, n, head_w, lim, mc, table, total, groups, last_key, tail))
 
     cols = [PID, *group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])]
-    summ = _collect_summaries(x.select(*cols), summarize) if need else {}
+    picked = x.select(*cols).filter(F.col(PID).isin([int(p) for p in need]))
+    summ = _collect_summaries(picked, summarize) if need else {}
     entries: dict[int, tuple] = {}
     carry = None  # (key, chunks_so_far, open_count, open_sums)
     for pid in order:
