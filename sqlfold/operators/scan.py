@@ -91,7 +91,7 @@ def _emit_summary(pid, obj):
     return pd.DataFrame({"pid": [int(pid)], "blob": [pickle.dumps(obj)]})
 
 
-def _neighbour_groups(x: DataFrame, group_cols: Sequence[str]):
+def _neighbour_groups(x: DataFrame, group_cols: Sequence[str], with_bounds: bool = False):
     """(ordered pids, {pid: (continues_in, continues_out)}) from each partition's first/last group key."""
     key = F.struct(*group_cols)
     bounds = {
@@ -104,6 +104,8 @@ def _neighbour_groups(x: DataFrame, group_cols: Sequence[str]):
         cont_in = i > 0 and bounds[order[i - 1]][1] == bounds[pid][0]
         cont_out = i + 1 < len(order) and bounds[pid][1] == bounds[order[i + 1]][0]
         flags[pid] = (cont_in, cont_out)
+    if with_bounds:
+        return order, flags, bounds
     return order, flags
 
 
@@ -127,36 +129,35 @@ def ordinal(
         return ordinal(df.withColumn("_g0", F.lit(0)), ["_g0"], order_cols, name, num_partitions).drop("_g0")
     x = range_sorted(df, group_cols + order_cols, num_partitions)
 
-    def summarize(batches):
-        for pid, runs in _by_partition(batches, group_cols):
-            first = last = None
-            n_first = n_last = 0
-            groups = 0
-            for key, part in runs:
-                if first is None:
-                    first, groups = key, 1
-                if key == first and groups == 1:
-                    n_first += len(part)
-                if last is None or key != last:
-                    if last is not None:
-                        groups += 1
-                    last, n_last = key, 0
-                n_last += len(part)
-            yield _emit_summary(pid, (first, last, n_first, n_last, groups))
-
-    summ = _collect_summaries(x.select(PID, *group_cols), summarize)
+    # Bases come from the JVM: partition bounds say which partitions share a group with a
+    # neighbour; the row counts of those edge groups (at most two per partition) come from a
+    # semi join with a table of at most 2 x partitions rows.
+    order, flags, bounds = _neighbour_groups(x, group_cols, with_bounds=True)
+    need = [pid for pid in order if flags[pid][0] or flags[pid][1]]
+    counts: dict = {}
+    if need:
+        rows = set()
+        for pid in need:
+            lo, hi = bounds[pid]
+            rows.add((int(pid), *lo))
+            rows.add((int(pid), *hi))
+        edge_schema = T.StructType([T.StructField(PID, T.IntegerType())] + [x.schema[c] for c in group_cols])
+        edges = x.sparkSession.createDataFrame(sorted(rows, key=repr), edge_schema)
+        picked = (x.select(PID, *group_cols).join(F.broadcast(edges), [PID, *group_cols], "left_semi")
+                  .groupBy(PID, *group_cols).count().collect())
+        counts = {(r[PID], tuple(r[c] for c in group_cols)): r["count"] for r in picked}
     bases: dict[int, int] = {}
-    carry_key, carry_n = None, 0
-    for pid in sorted(summ):
-        first, last, n_first, n_last, groups = summ[pid]
-        if first is None:
-            continue
-        base = carry_n if first == carry_key else 0
-        bases[pid] = base
-        if groups == 1:
-            carry_key, carry_n = first, base + n_first
+    carry_n = 0
+    for pid in order:
+        cont_in, cont_out = flags[pid]
+        lo, hi = bounds[pid]
+        base = carry_n if cont_in else 0
+        if cont_in:
+            bases[pid] = base
+        if cont_out:
+            carry_n = base + counts.get((pid, lo), 0) if lo == hi else counts.get((pid, hi), 0)
         else:
-            carry_key, carry_n = last, n_last
+            carry_n = 0
 
     schema = T.StructType(x.schema.fields + [T.StructField(name, T.LongType(), False)])
 
