@@ -136,3 +136,18 @@ def test_plan_replay_orders_and_stubs(spark):
     assert (p["3_d.sql"].replay_seq, p["4_m.sql"].replay_seq) == (1, 2)
     assert (p["4_m.sql"].policy_status, p["0_m.sql"].policy_status) == ("needs_split", "warn")
     assert p["2_d.sql"].stub.startswith("-- skipped: 2_d.sql") and p["1_s.sql"].stub is None
+
+
+def test_written_chunk_files_read_back(spark, tmp_path):
+    from sqlfold.sources.text import read_chunk_files, write_chunk_files
+
+    plan = spark.createDataFrame([
+        ("002_public_t_01.sql", 1, "INSERT INTO public.t VALUES\n\t(1);"),
+        ("002_public_t_01.sql", 2, "INSERT INTO public.t VALUES\n\t(2);"),
+        ("002_public_t_02.sql", 3, "INSERT INTO public.t VALUES\n\t(3);"),
+    ], "file_name string, out_stmt_no long, text string")
+    out = str(tmp_path / "split")
+    write_chunk_files(plan, out)
+    back = read_chunk_files(spark, out).orderBy("table_no", "part_no").collect()
+    assert [(r.name, r.part_no) for r in back] == [("002_public_t_01.sql", 1), ("002_public_t_02.sql", 2)]
+    assert back[0].text == "INSERT INTO public.t VALUES\n\t(1);\n\nINSERT INTO public.t VALUES\n\t(2);"
