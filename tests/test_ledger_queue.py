@@ -151,3 +151,25 @@ def test_written_chunk_files_read_back(spark, tmp_path):
     back = read_chunk_files(spark, out).orderBy("table_no", "part_no").collect()
     assert [(r.name, r.part_no) for r in back] == [("002_public_t_01.sql", 1), ("002_public_t_02.sql", 2)]
     assert back[0].text == "INSERT INTO public.t VALUES\n\t(1);\n\nINSERT INTO public.t VALUES\n\t(2);"
+
+
+def test_failed_load_resumes_without_repeating(spark, tmp_path):
+    """Queue 001, 002; the load of 002 fails; the re-run takes only what the log lacks: three loads."""
+    files = spark.createDataFrame([("seeds/001_orders.sql",), ("seeds/002_orders.sql",)], "path string")
+    q = queue.load_queue(files, ["./seeds/*.sql"]).withColumn("file_id", F.col("base_name"))
+    out = str(tmp_path / "loaded")
+    attempts = []
+
+    def run(todo, fail_on=None):
+        for r in todo.orderBy("queue_no").collect():
+            attempts.append(r.base_name)
+            if r.base_name == fail_on:
+                return  # the failing file writes nothing; later files wait
+            rows = spark.createDataFrame([(r.base_name, r.queue_no)], "file_id string, queue_no long")
+            queue.load_wave(rows, out)
+
+    run(q, fail_on="002_orders.sql")
+    log = spark.read.parquet(out).select(F.col("file_id").alias("file_id"))
+    run(queue.pending(q, log, "file_id"))
+    assert attempts == ["001_orders.sql", "002_orders.sql", "002_orders.sql"]
+    assert sorted(r.file_id for r in spark.read.parquet(out).collect()) == ["001_orders.sql", "002_orders.sql"]
