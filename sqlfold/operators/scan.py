@@ -52,11 +52,13 @@ def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None
     per-partition state on that column, never on the task's partition index (a union
     or coalesce downstream renumbers tasks).
     """
-    n = _nparts(df, num_partitions)
     # the range bounds are sampled by a separate job: keep the input so it isn't computed twice
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+        # without an explicit count, AQE merges adjacent small ranges to its advisory size
+        # (order is kept: only neighbouring ranges are merged, and _pid is stamped afterwards)
+        ranged = src.repartitionByRange(num_partitions, *keys) if num_partitions else src.repartitionByRange(*keys)
+        ranged = ranged.sortWithinPartitions(*keys)
         return materialize(ranged.withColumn(PID, F.spark_partition_id()))
     finally:
         src.unpersist()
