@@ -41,3 +41,21 @@ def test_phrases_and_stubs(spark):
     assert _one(spark, X.wrap_transaction(F.lit("X;\n"), F.lit(True))) == "BEGIN;\nX;\n\nCOMMIT;\n"
     ev = spark.createDataFrame([([("CREATE TABLE", 3, "s")],), ([],)], "m array<struct<pattern:string,line:int,snippet:string>>")
     assert [r[0] for r in ev.select(X.evidence_phrase("m")).collect()] == ["CREATE TABLE@L3", "none"]
+
+
+def test_ignore_keep_guard_and_json(spark):
+    import pytest
+
+    from sqlfold.operators import queue
+    from sqlfold.sources.text import audit_json, guard_nonempty
+
+    names = spark.createDataFrame([("001_setup.sql",), ("002_a.sql",), ("999_cleanup.sql",), ("x.sql",)], "name string")
+    kept = queue.ignore_filter(names, ["999_*", "dir/x.sql"], "name").collect()
+    assert sorted(r.name for r in kept) == ["001_setup.sql", "002_a.sql"]
+    paths = spark.createDataFrame([("a/b/keep.sql",), ("a/other.sql",), ("c/keep.sql",)], "path string")
+    assert sorted(r.path for r in queue.keep_filter(paths, ["keep.sql"]).collect()) == ["a/b/keep.sql", "c/keep.sql"]
+    assert [r.path for r in queue.keep_filter(paths, ["a/b/keep.sql"]).collect()] == ["a/b/keep.sql"]
+    assert sorted(r.path for r in queue.keep_filter(paths, ["a/*"]).collect()) == ["a/b/keep.sql", "a/other.sql"]
+    with pytest.raises(ValueError):
+        guard_nonempty(names.filter("false"))
+    assert audit_json(names.limit(1)).first()["json"].startswith('{"name":')
