@@ -34,10 +34,23 @@ from ..session import materialize
 _SUMMARY = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
+# Target bytes per range partition when the count is derived from the input size.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
 def _nparts(df: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else input-size based: ~128 MB per partition (Catalyst's estimate),
+    at least the cluster's default parallelism, at most ``spark.sql.shuffle.partitions``."""
     if num_partitions:
         return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lower = min(upper, spark.sparkContext.defaultParallelism)
+    try:
+        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate: use the configured count
+        return upper
+    return max(lower, min(upper, -(-est // TARGET_PARTITION_BYTES)))
 
 
 PID = "_pid"
