@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import embed_join, packing, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,56 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_join.range_join(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cosine=0.9)
+    kept = F.col("id").eqNullSafe(F.col("component"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text", capacity=1024, with_ids=False)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc32").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0, k=20, scale=64)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_embedding_join": op3_embedding_join,
+    "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_exact_topk": op6_exact_topk,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+        ), s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_embedding_join": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CASE WHEN embedding IS NULL OR list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+                THEN NULL ELSE list_transform(embedding, x -> CAST(x AS DOUBLE)) END AS e
+            FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), reach(a, b) AS (
+            SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+        ), c AS (
+            SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id FROM v
+        )
+        SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+}
