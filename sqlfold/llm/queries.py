@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_join, packing, simhash, topk
+from . import embed_join, mixing, packing, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # dimensions that copies of a text share, so that they meet in one shard
+    dimensions = [F.col("n_chars"), sharding.text_code(F.col("lang"))]
+    found = sharding.kd_shards(_table(spark, sf_dir, "documents"), "doc_id", "text", dimensions, shards=8)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", F.col("crc32").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, radius=2)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
@@ -35,11 +45,18 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights=(3, 1, 2), share=1.5, cap=2.0)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
     "op3_embedding_join": op3_embedding_join,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_exact_topk": op6_exact_topk,
+    "op8_mix": op8_mix,
 }
 
 ORACLE: dict[str, str] = {
@@ -71,4 +88,31 @@ ORACLE: dict[str, str] = {
             SELECT vec_id, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id FROM v
         )
         SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op8_mix": """
+        WITH d AS (
+            SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   coalesce(greatest(0.1::DOUBLE, 1.0::DOUBLE - ((length(text) - length(translate(text, '*%#$&!|@<>{}~^=', ''))) / nullif(length(text), 0)::DOUBLE) * 4), 1.0::DOUBLE) AS w,
+                   (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1) / 4503599627370497::DOUBLE AS u
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size) AS most,
+                   [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+            FROM d GROUP BY source
+        ), l AS (
+            SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER o, 0))
+                   / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+            FROM s WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), m AS (
+            SELECT *, max(CASE WHEN most > level * weight THEN level END) OVER () AS final FROM l
+        ), t AS (
+            SELECT source, source_size, CASE WHEN most <= coalesce(final * weight, most) THEN most ELSE final * weight END AS target FROM m
+        ), p AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target,
+                   coalesce(floor(t.target / nullif(t.source_size, 0)), 0) AS epochs,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / d.w, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               ((epochs + CASE WHEN start < target - epochs * source_size AND target - epochs * source_size - start > size / 2.0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+        FROM p""",
 }
