@@ -62,13 +62,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op6_exact_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
+              AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), z -> z[1] * z[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
         ), r AS (
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
@@ -76,8 +76,8 @@ ORACLE: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op3_embedding_join": """
         WITH RECURSIVE v AS (
-            SELECT vec_id, CASE WHEN embedding IS NULL OR list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
-                THEN NULL ELSE list_transform(embedding, x -> CAST(x AS DOUBLE)) END AS e
+            SELECT vec_id, CASE WHEN embedding IS NULL OR list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+                THEN NULL ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e
             FROM embeddings
         ), l AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
