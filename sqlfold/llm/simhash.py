@@ -25,9 +25,8 @@ _QUARTERS = 4
 _BLOCK = 400_000
 
 
-def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
-    """64-bit fingerprints of a batch of texts as signed integers."""
-    raw, offsets = textvec.text_bytes(column)
+def _fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """64-bit fingerprints of texts, given as their bytes and offsets, as signed integers."""
     raw = textvec.lowered(raw)
     start, end, first_word = textvec.words(raw, offsets)
     n_words = np.diff(first_word)
@@ -75,7 +74,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) ->
 
     def run(batches):
         for batch in batches:
-            fp = _fingerprints(batch.column(1), shingle)
+            fp = np.concatenate([np.empty(0, np.int64), *[_fingerprints(raw, at, shingle) for raw, at in textvec.slices(batch.column(1))]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
     common.session(df)

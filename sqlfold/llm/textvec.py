@@ -30,6 +30,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def slices(column: pa.Array, most: int = 4_000_000):
+    """Runs of rows of about ``most`` bytes of text together, or of one longer row."""
+    raw, at = text_bytes(column)
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+        yield raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z to a-z, all other bytes as they are."""
     return _LOWER[raw]
