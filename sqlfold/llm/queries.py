@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embed_join, html_text, mixing, packing, sharding, simhash, topk
+from . import chat, embed_join, html_text, mixing, packing, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+#: A conversation whose texts look like marks, which the query formats beside the table's.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    found = chat.digests(chat.windows(told.unionByName(probe), "conv_id", "turn", "role", "text", budget=1024, history=256))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", weights=(3, 1, 2), share=1.5, cap=2.0)
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -61,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_exact_topk": op6_exact_topk,
+    "op7_chat_windows": op7_chat_windows,
     "op8_mix": op8_mix,
 }
 
