@@ -81,15 +81,11 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = pos[: len(a)], pos[len(a) :]
     label = np.arange(len(nodes))
     while len(i):
-        low = np.minimum(label[i], label[j])
+        # the larger root of each link goes under the smallest root it meets; members follow theirs
         new = label.copy()
-        # hooks the roots too, so that chains shrink by more than one step a round
-        for at in (i, j, label[i], label[j]):
-            np.minimum.at(new, at, low)
+        np.minimum.at(new, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
         while not np.array_equal(jumped := new[new], new):
             new = jumped
-        if np.array_equal(new, label):
-            break
         label = new
         live = label[i] != label[j]
         i, j = i[live], j[live]
