@@ -179,6 +179,7 @@ def render(page: str, widest: int = 60) -> str:
                 tables[-1].rows[-1].append((lines, *back))
         elif tag == "table" and back is not None:
             rows = tables.pop().lines(widest)
+            flow.block(True)  # stray text of the table comes before it
             for row in rows:
                 flow.buf.append(row)
                 flow.line(always=True)
