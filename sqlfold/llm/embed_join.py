@@ -25,17 +25,15 @@ _SLACK = 1e-7
 _STRIP = 1024
 
 
-def normalised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, dim, v): packed unit vectors in doubles; v is null for vectors that link with nothing."""
+def packed_vectors(df: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    """(id, dim, v): the components packed as ``kind``; v is null for vectors that link with nothing."""
 
     def run(batches):
         for batch in batches:
             packed, dims = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
             for at, m in vectors.blocks(batch.column(1)):
-                top = np.abs(m).max(axis=1, initial=0)
-                at, m, top = at[top > 0], m[top > 0], top[top > 0]
-                m = m / top[:, None]
-                m = m / np.sqrt((m * m).sum(axis=1))[:, None] + 0.0
+                some = m.any(axis=1)
+                at, m = at[some], (m[some] + 0.0).astype(kind)
                 dims[at] = m.shape[1]
                 for i, r in zip(at, m):
                     packed[i] = r.tobytes()
@@ -48,30 +46,33 @@ def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
 
 
-def _matrix(values, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values)).reshape(-1, dim)
+def _units(packed: bytes, dim: int, kind: str) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square is beyond a double."""
+    m = np.frombuffer(packed, kind).reshape(-1, dim).astype(np.float64)
+    m = m / np.abs(m).max(axis=1, initial=0)[:, None]
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
-def _homes(pivots: dict[int, np.ndarray]):
+def _homes(pivots: dict[int, np.ndarray], kind: str):
     def run(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 own = pivots.get(int(dim))
-                angle = _angles(_matrix(part["v"], int(dim)), own) if own is not None else np.zeros((len(part), 1))
+                angle = _angles(_units(b"".join(part["v"]), int(dim), kind), own) if own is not None else np.zeros((len(part), 1))
                 cell = angle.argmin(axis=1)
                 yield pd.DataFrame({"node": part["node"].to_numpy(), "many": part["many"].to_numpy(), "dim": dim, "cell": cell, "angle": angle[np.arange(len(part)), cell], "v": part["v"].to_numpy()})
 
     return run
 
 
-def _replicas(pivots: dict[int, np.ndarray], radii: dict[tuple[int, int], float], r: float):
+def _replicas(pivots: dict[int, np.ndarray], kind: str, radii: dict[tuple[int, int], float], r: float):
     def run(batches):
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 own = pivots.get(int(dim))
                 if own is None or len(own) < 2:
                     continue
-                angle = _angles(_matrix(part["v"], int(dim)), own)
+                angle = _angles(_units(b"".join(part["v"]), int(dim), kind), own)
                 home = part["cell"].to_numpy()[:, None]
                 j = np.arange(len(own))[None, :]
                 reach = np.array([radii.get((int(dim), c), -math.inf) for c in range(len(own))]) + r + _SLACK
@@ -84,13 +85,14 @@ def _replicas(pivots: dict[int, np.ndarray], radii: dict[tuple[int, int], float]
     return run
 
 
-def _join(cosine: float):
+def _join(cosine: float, kind: str):
     r = math.acos(cosine) + _SLACK
 
     def side(t, s):
         node, many, angle = (np.frombuffer(getattr(t, f"{s}_{c}"), k) for c, k in (("node", np.int64), ("many", np.int64), ("angle", np.float64)))
         order = np.argsort(angle, kind="stable")
-        return node[order], many[order], angle[order], np.frombuffer(getattr(t, f"{s}_v")).reshape(len(node), -1)[order]
+        packed = getattr(t, f"{s}_v")
+        return node[order], many[order], angle[order], _units(packed, len(packed) // len(node) // np.dtype(kind).itemsize, kind)[order]
 
     def run(batches):
         for pdf in batches:
@@ -123,7 +125,7 @@ def _join(cosine: float):
     return run
 
 
-def range_join(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9, cell_rows: int = 4096, max_pivots: int = 1024) -> DataFrame:
+def range_join(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9, cell_rows: int = 8192, max_pivots: int = 1024) -> DataFrame:
     """(id, n_links, component): one row per input row.
 
     ``n_links`` counts the other rows at ``cosine`` or above (a row that repeats the vector
@@ -135,19 +137,21 @@ def range_join(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9, ce
     """
     common.session(df)
     r = math.acos(cosine)
-    rows = common.stage(normalised(df, id_col, vec_col), "vectors")
+    # single-precision input travels as it is, and becomes double where it is used
+    kind = "float32" if df.schema[vec_col].dataType.elementType.simpleString() == "float" else "float64"
+    rows = common.stage(packed_vectors(df, id_col, vec_col, kind), "vectors")
     usable = rows.where("v is not null")
     groups = usable.groupBy("dim", "v").agg(F.count(F.lit(1)).alias("many"))
     groups = common.stage(groups.withColumn("node", F.monotonically_increasing_id()), "vector-groups")
 
     wanted = min(max_pivots, -(-groups.count() // cell_rows))
     chosen = groups.orderBy(F.xxhash64("v"), "v").select("dim", "v").limit(wanted).collect()
-    pivots = {dim: _matrix([p.v for p in chosen if p.dim == dim], dim) for dim in {p.dim for p in chosen}}
+    pivots = {dim: _units(b"".join(p.v for p in chosen if p.dim == dim), dim, kind) for dim in {p.dim for p in chosen}}
     schema = "node long, many long, dim long, cell long, angle double, v binary"
-    homes = common.stage(groups.mapInPandas(_homes(pivots), schema), "vector-homes")
+    homes = common.stage(groups.mapInPandas(_homes(pivots, kind), schema), "vector-homes")
     # at most max_pivots rows, and one per dimension that has no pivot
     radii = {(x.dim, x.cell): x.r for x in homes.where(F.col("dim").isin(list(pivots))).groupBy("dim", "cell").agg(F.max("angle").alias("r")).collect()}
-    copies = homes.mapInPandas(_replicas(pivots, radii, r), schema)
+    copies = homes.mapInPandas(_replicas(pivots, kind, radii, r), schema)
 
     def packed(part: DataFrame, kind: str) -> DataFrame:
         keyed = part.withColumn("key", F.concat_ws("/", "dim", "cell"))
@@ -162,7 +166,7 @@ def range_join(df: DataFrame, id_col: str, vec_col: str, cosine: float = 0.9, ce
     across = a.join(sent.select("dim", "cell", F.col("tile_id").alias("b")), ["dim", "cell"]).select("a", "b")
     columns = ["tile_id", "node", "many", "angle", "v"]
     both = own.select(columns).unionByName(sent.select(columns))
-    found = common.pair_up(inside.unionByName(across), own.select(columns), both).mapInPandas(_join(cosine), "a long, b long, n long")
+    found = common.pair_up(inside.unionByName(across), own.select(columns), both).mapInPandas(_join(cosine, kind), "a long, b long, n long")
     found = common.stage(found, "vector-links")
 
     counted = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
