@@ -9,6 +9,8 @@ from pyspark.sql import Column, functions as F
 # Fixed values -----------------------------------------------------------------
 # Whitespace removed by a JavaScript-style trim (Java regex class syntax).
 TRIM_CLASS = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same blanks, as a class inside another pattern.
+BLANK = TRIM_CLASS
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 CLASS_ORDER = ["schema", "data", "mixed", "unknown"]
 CLASS_LABEL = {"schema": "schema", "data": "data", "mixed": "schema+data", "unknown": "unrecognized"}
@@ -78,24 +80,27 @@ def normalize_script(c) -> Column:
 
 def normalize_statement(masked) -> Column:
     """Masked statement trimmed, lower-cased, blanks squeezed."""
-    return F.regexp_replace(F.lower(js_trim_col(masked)), r"\s+", " ")
+    return F.regexp_replace(F.lower(js_trim_col(masked)), rf"{BLANK}+", " ")
+
+
+BOM = "\ufeff"
 
 
 def prepend_marker(text, marker: str) -> Column:
-    """Put ``-- marker`` as the first line, after a BOM if there is one."""
+    """``-- marker``, a blank line, the text; a byte order mark stays in front."""
     t = _c(text)
-    bom = "\ufeff"
-    return F.when(
-        t.startswith(bom), F.concat(F.lit(bom + f"-- {marker}\n"), F.substring(t, 2, 1 << 30))
-    ).otherwise(F.concat(F.lit(f"-- {marker}\n"), t))
+    head = F.lit(f"-- {marker}\n\n")
+    return F.when(t.startswith(BOM), F.concat(F.lit(BOM), head, F.substr(t, F.lit(2)))).otherwise(F.concat(head, t))
 
 
 def remove_marker_lines(text, markers: Sequence[str]) -> Column:
-    """Drop lines that are exactly ``-- marker`` (blank-insensitive); returns the new text."""
-    lines = F.split(_c(text), "\n", -1)
-    alts = "|".join(_re_escape(m) for m in markers)
-    keep = F.filter(lines, lambda ln: ~ln.rlike(rf"^\s*--\s*(?:{alts})\s*$"))
-    return F.array_join(keep, "\n")
+    """(text, removed): the text without the lines that, trimmed, are ``-- marker`` or ``--marker``."""
+    t = _c(text)
+    bom = F.when(t.startswith(BOM), F.lit(BOM)).otherwise(F.lit(""))
+    lines = F.split(F.when(t.startswith(BOM), F.substr(t, F.lit(2))).otherwise(t), "\n", -1)
+    exact = [f"--{blank}{m}" for m in markers for blank in (" ", "")]
+    keep = F.filter(lines, lambda ln: ~js_trim_col(ln).isin(exact))
+    return F.struct(F.concat(bom, F.array_join(keep, "\n")).alias("text"), (F.size(keep) < F.size(lines)).alias("removed"))
 
 
 def _re_escape(s: str) -> str:

@@ -1,63 +1,28 @@
-"""Script audit: masking, DDL/DML evidence, markers, class decision and summaries."""
+"""Script audit: class decision, markers, summaries and documents."""
 
 from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import lexer
 from ..functions.text import prepend_marker, remove_marker_lines
+from . import evidence
 
 # Default markers (our own names; configurable per call).
 DATA_MARKER = "sqlfold:data-migration"
 SCHEMA_MARKER = "sqlfold:schema-migration"
 
-_EV = T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("line", T.IntegerType()),
-                                T.StructField("snippet", T.StringType())]))
-FACTS = T.StructType([
-    T.StructField("has_ddl", T.BooleanType()),
-    T.StructField("has_dml", T.BooleanType()),
-    T.StructField("has_data_marker", T.BooleanType()),
-    T.StructField("has_schema_marker", T.BooleanType()),
-    T.StructField("marker_matches", _EV),
-    T.StructField("ddl_matches", _EV),
-    T.StructField("dml_matches", _EV),
-])
-
-
-def _facts_udf(data_marker: str, schema_marker: str):
-    dm, sm = lexer.marker_regex(data_marker), lexer.marker_regex(schema_marker)
-
-    @F.pandas_udf(FACTS)
-    def facts(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for sql in texts:
-            sql = sql or ""
-            masked = lexer.mask_sql(sql)
-            ddl_ev = lexer.ddl_evidence(masked)
-            dml_ev = lexer.dml_evidence(masked)
-            has_comment = "--" in sql
-            rows.append({
-                "has_ddl": bool(ddl_ev) or lexer.DDL_ANY.search(masked) is not None,
-                "has_dml": bool(dml_ev) or lexer.DML_ANY.search(masked) is not None,
-                "has_data_marker": has_comment and dm.search(sql) is not None,
-                "has_schema_marker": has_comment and sm.search(sql) is not None,
-                "marker_matches": [dict(zip(("pattern", "line", "snippet"), m))
-                                   for m in lexer.marker_evidence(sql, [data_marker, schema_marker])],
-                "ddl_matches": [dict(zip(("pattern", "line", "snippet"), m)) for m in ddl_ev],
-                "dml_matches": [dict(zip(("pattern", "line", "snippet"), m)) for m in dml_ev],
-            })
-        return pd.DataFrame(rows, columns=FACTS.fieldNames())
-
-    return facts
-
 
 def classify_scripts(scripts: DataFrame, text_col: str = "text", data_marker: str = DATA_MARKER,
-                     schema_marker: str = SCHEMA_MARKER, evidence: bool = True) -> DataFrame:
-    """F2-F6 + D11-D14: classification, source, reason and recommended marker per script."""
-    f = scripts.withColumn("_f", _facts_udf(data_marker, schema_marker)(F.col(text_col))).select("*", "_f.*").drop("_f")
+                     schema_marker: str = SCHEMA_MARKER) -> DataFrame:
+    """has_ddl, has_dml, markers, classification, source, reason and recommended marker per
+    script. Evidence rows are :func:`evidence.script_evidence`'s."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    f = scripts.withColumn("_masked", evidence.mask(text))
+    f = f.select("*", evidence.has_ddl(F.col("_masked")).alias("has_ddl"), evidence.has_dml(F.col("_masked")).alias("has_dml"),
+                 evidence.has_marker(text, data_marker).alias("has_data_marker"),
+                 evidence.has_marker(text, schema_marker).alias("has_schema_marker")).drop("_masked")
     both_m = F.col("has_data_marker") & F.col("has_schema_marker")
     cls = (
         F.when(both_m, "mixed")
@@ -99,8 +64,6 @@ def classify_scripts(scripts: DataFrame, text_col: str = "text", data_marker: st
         .when(F.col("classification") == "unknown", F.lit("review manually"))
         .otherwise(F.lit("none")),
     )
-    if not evidence:
-        out = out.drop("marker_matches", "ddl_matches", "dml_matches")
     return out
 
 
@@ -129,6 +92,13 @@ def mark_candidates(audit: DataFrame, text_col: str = "text", data_marker: str =
 
 
 def unmark(scripts: DataFrame, text_col: str = "text", markers: Sequence[str] = (DATA_MARKER, SCHEMA_MARKER)) -> DataFrame:
-    """R10 (unmark): text without exact marker lines, and whether anything was removed."""
+    """R10 (unmark): text without exact marker lines, and whether any was removed."""
     new = remove_marker_lines(text_col, list(markers))
-    return scripts.withColumn("new_text", new).withColumn("removed", F.col("new_text") != F.col(text_col))
+    return scripts.withColumn("_new", new).withColumns({"new_text": F.col("_new.text"), "removed": F.col("_new.removed")}).drop("_new")
+
+
+def audit_documents(audit: DataFrame, found: DataFrame, keys: Sequence[str], limit: int = evidence.TOP_ROWS) -> DataFrame:
+    """One JSON document per script: its columns and its first evidence rows per family."""
+    lists = evidence.evidence_lists(evidence.top_evidence(found, keys, limit), keys)
+    per = lists.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("family", "matches"))).alias("evidence"))
+    return audit.join(per, list(keys), "left").select(*keys, F.to_json(F.struct(*audit.columns, "evidence")).alias("json"))

@@ -4,27 +4,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions import lexer
-from ..functions.text import strip_version_prefix
+from ..functions.text import normalize_statement, strip_version_prefix
+from .evidence import mask, statement_kind
 from .ledger import version_key
 from .scan import fold_lines, ordinal
 
 
-@F.pandas_udf(T.StringType())
-def statement_kind(stmts: pd.Series) -> pd.Series:
-    """'schema' / 'data' / null per statement (DDL wins)."""
-    return stmts.map(lexer.statement_kind)
-
-
-@F.pandas_udf(T.StringType())
-def statement_norm(stmts: pd.Series) -> pd.Series:
-    """Masked, trimmed, lower-cased, blank-squeezed statement."""
-    return stmts.map(lexer.normalize_statement)
-
-
 class KindFold:
     """W3 + W4 as a line fold: forward-fill unknown kinds, count runs of equal kind."""
 
@@ -84,7 +71,7 @@ def transaction_check(stmts: DataFrame, group_cols: Sequence[str], order_col: st
                       text_col: str = "statement") -> DataFrame:
     """per script, whether it is wrapped in one BEGIN ... COMMIT, or why it can't be split."""
     g = list(group_cols)
-    n = F.col("_norm") if "_norm" in stmts.columns else statement_norm(F.col(text_col))
+    n = F.col("_norm") if "_norm" in stmts.columns else normalize_statement(mask(F.col(text_col)))
     s = stmts.withColumn("_n", n)
     begin = F.col("_n").isin("begin;", "begin", "begin transaction;", "begin transaction")
     commit = F.col("_n").isin("commit;", "commit", "commit transaction;", "commit transaction")
@@ -177,8 +164,9 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
 
     # statements come from a Python split; pin them (and their kinds) once for the branches below
     st = materialize(script_statements(is_target.filter("_t"), "text")
-                     .withColumn("kind", statement_kind(F.col("statement")))
-                     .withColumn("_norm", statement_norm(F.col("statement"))))
+                     .withColumn("_masked", mask(F.col("statement")))
+                     .withColumn("kind", statement_kind(F.col("_masked")))
+                     .withColumn("_norm", normalize_statement(F.col("_masked"))).drop("_masked"))
     tx = transaction_check(st, c + ["name"])
     core = st.join(tx.select(*c, "name", "wrapped"), c + ["name"])
     core = core.join(tx.select(*c, "name", "n_statements"), c + ["name"])

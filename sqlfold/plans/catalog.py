@@ -13,8 +13,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import js_trim_col, redact
-from ..operators import audit, ledger, packing, queue, reconcile, replay, splitplan, statements
+from ..functions.text import evidence_phrase, redact
+from ..operators import audit, evidence, ledger, packing, queue, reconcile, replay, splitplan, statements
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
 from ..sources.text import parse_ledger
@@ -29,6 +29,8 @@ KIND_OF_TYPE = {"click": "schema", "signup": "schema", "view": "data", "purchase
 QUEUE_PATTERNS = ["*.example.com/en/*", "*.example.org/*/*", "blog.*/*/*", "*.example.com/en/*"]
 IGNORE_PATTERNS = ["*.html", "*#top", "fr"]
 KEEP_PATTERNS = ["*.example.org*", "*utm_source=feed"]
+MARKER_HEADS = ["", f"-- {audit.DATA_MARKER}\n", f"\ufeff-- {audit.DATA_MARKER}\n\n", f"--{audit.SCHEMA_MARKER}\r\n", f"  --   {audit.SCHEMA_MARKER} and more\n",
+                f"-- {audit.DATA_MARKER}\n-- {audit.SCHEMA_MARKER}\n", f"-- {audit.DATA_MARKER}x\n", f"SELECT 1; -- {audit.DATA_MARKER}\n", f"-- {audit.SCHEMA_MARKER.upper()}\n"]
 LIMIT_RULES = {
     "1-URGENT": {"maxRowsPerInsert": 50},
     "2-HIGH": {"skip": True},
@@ -255,10 +257,10 @@ def q_replay_plan(spark, sf):
 def q_snapshot_replay(spark, sf):
     e = _event_versions(spark, sf).withColumn("is_delete", F.col("event_type") == "error")
     cols = ["event_id", "event_type", "value", "version", "is_delete"]
-    pre = e.filter((replay.phase(F.col("version"), F.lit(CUTOFF)) == "pre") & ~F.col("is_delete"))
+    pre = e.filter(replay.phase(F.col("version"), F.lit(CUTOFF)) == "pre")
     snap = pre.groupBy("user_id").agg(
         F.max_by(F.struct(*cols), F.struct(ledger.version_key("version"), F.col("event_id"))).alias("s")
-    ).select("user_id", "s.*")
+    ).select("user_id", "s.*").filter(~F.col("is_delete"))  # a delete is applied: its key is not in the snapshot
     return replay.snapshot_replay(snap, e.select("user_id", *cols), ["user_id"], "version", CUTOFF,
                                   delete_col="is_delete", tie_cols=["event_id"])
 
@@ -295,19 +297,9 @@ def q_renumber(spark, sf):
 # audits
 # ---------------------------------------------------------------------------
 def q_pattern_evidence(spark, sf):
-    d = _t(spark, sf, "documents")
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select(
-        "doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
-    pats = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("pattern_no")) for p, n in EVIDENCE_PATTERNS])
-    m = lines.select("*", F.explode(pats).alias("pt")).select("doc_id", "line_no", "line", "pt.*")
-    m = m.withColumn("n", F.regexp_count("line", F.concat(F.lit("(?i)"), F.col("pattern")))).filter("n > 0")
-    m = m.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    w = Window.partitionBy("doc_id").orderBy("pattern_no", "line_no", "k")  # one document: bounded
-    top = m.withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
-    snip = js_trim_col("line")
-    snip = F.when(F.length(snip) > 180, F.concat(F.substring(snip, 1, 177), F.lit("..."))).otherwise(snip)
-    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), "pattern", F.col("line_no").alias("line"),
-                      snip.alias("snippet"))
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    found = evidence.pattern_matches(d, ["doc_id"], "text", [(p, "(?i)" + p) for p, _ in EVIDENCE_PATTERNS])
+    return evidence.top_evidence(found, ["doc_id"]).select("doc_id", "rank", "pattern", "line", "snippet")
 
 
 SCRIPT_TEMPLATES = {
@@ -329,33 +321,83 @@ def _scripts(spark, sf):
 
 
 def q_script_classes(spark, sf):
-    a = audit.classify_scripts(_scripts(spark, sf))
-    return a.select("user_id", "event_id", "classification", "source", "recommended_marker",
-                    F.size("ddl_matches").cast("long").alias("n_ddl"), F.size("dml_matches").cast("long").alias("n_dml"))
+    keys = ["user_id", "event_id"]
+    scripts = _scripts(spark, sf)
+    found = evidence.script_evidence(scripts, keys, "text")
+    n = evidence.top_evidence(found, keys).groupBy(*keys).agg(F.count_if(F.col("family") == "ddl").alias("n_ddl"), F.count_if(F.col("family") == "dml").alias("n_dml"))
+    a = audit.classify_scripts(scripts).join(n, keys, "left")
+    return a.select(*keys, "classification", "source", "recommended_marker",
+                    F.coalesce("n_ddl", F.lit(0)).cast("long").alias("n_ddl"), F.coalesce("n_dml", F.lit(0)).cast("long").alias("n_dml"))
+
+
+def _document_scripts(spark, sf):
+    """Whole documents with statements between their paragraphs: before a line that starts like
+    one of these, in comments and strings, and on a line of their own."""
+    made = F.concat(F.lit("CREATE\n  TABLE t"), F.col("doc_id").cast("string"), F.lit(" (a int); update u set b = 1;\n"))
+    quiet = F.lit("-- drop table x\n/* insert into y */ SELECT 'delete from z', $a$ alter table q $a$;\nselect 1 for update of t;\n")
+    kept = F.replace(F.replace(F.col("text"), F.lit("'"), F.lit("")), F.lit("$"), F.lit(""))
+    kept = F.replace(F.replace(F.replace(kept, F.lit('"'), F.lit("")), F.lit("--"), F.lit("")), F.lit("/*"), F.lit(""))
+    body = F.replace(kept, F.lit("\n"), F.lit("\nINSERT INTO p VALUES (1);\n"))
+    return _t(spark, sf, "documents").select("doc_id", F.concat(quiet, made, body, F.lit("\n  UPDATE v SET c = 2;\nDROP TABLE w;")).alias("text"))
+
+
+def q_script_evidence(spark, sf):
+    """D12, D13, U3, W6, X18 over whole documents: every evidence row, and the display phrase of the first three."""
+    found = evidence.script_evidence(_document_scripts(spark, sf), ["doc_id"], "text")
+    per = found.groupBy("doc_id", "family").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("line").cast("long").alias("lines"),
+        F.max(F.when(F.col("pattern") == "UPDATE", F.col("snippet"))).alias("last_update"))
+    lists = evidence.evidence_lists(evidence.top_evidence(found, ["doc_id"]), ["doc_id"])
+    return per.join(lists, ["doc_id", "family"]).select("doc_id", "family", "n", "lines", "last_update", evidence_phrase("matches").alias("phrase"))
+
+
+def _marked_scripts(spark, sf):
+    """Documents with a marker line in one of several spellings in front, some after a byte order mark."""
+    d = _t(spark, sf, "documents")
+    head = F.element_at(F.array(*[F.lit(x) for x in MARKER_HEADS]), (F.pmod("doc_id", F.lit(len(MARKER_HEADS))) + 1).cast("int"))
+    return d.select("doc_id", F.concat(head, F.replace(F.col("text"), F.lit("--"), F.lit(""))).alias("text"))
+
+
+def q_marker_facts(spark, sf):
+    """F2, D14, X10 on marker spellings: is there one, where, and what is left without it."""
+    scripts = _marked_scripts(spark, sf)
+    found = evidence.script_evidence(scripts, ["doc_id"], "text", [audit.DATA_MARKER, audit.SCHEMA_MARKER]).where("family = 'marker'")
+    n = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_markers"), F.min("line").alias("first_line"))
+    c = audit.unmark(audit.classify_scripts(scripts)).join(n, "doc_id", "left")
+    return c.select("doc_id", "has_data_marker", "has_schema_marker", F.coalesce("n_markers", F.lit(0)).alias("n_markers"), "first_line", "removed", F.md5("new_text").alias("left_md5"))
+
+
+#: One statement of each of the 13 classes; %1$s is the part's key, %2$s its size.
+SCHEMA_TEMPLATES = [
+    "CREATE TABLE public.part_%1$s (\n  id bigint\n);",
+    "CREATE INDEX idx_part_%1$s ON public.part (p_size);",
+    "CREATE OR REPLACE FUNCTION public.fn_%1$s()\nRETURNS int AS $$\nBEGIN\n  -- CREATE TYPE in a body\n  RETURN %2$s;\nEND;\n$$ LANGUAGE plpgsql;",
+    "ALTER TABLE ONLY public.part\n    ADD CONSTRAINT part_pk_%1$s PRIMARY KEY (p_partkey);",
+    "GRANT SELECT ON public.part TO role_%1$s;",
+    "-- promo part\nCREATE VIEW public.v_%1$s AS SELECT 1;",
+    "CREATE EXTENSION IF NOT EXISTS \"ext_%1$s\";",
+    "SET lock_timeout = %2$s;",
+    "CREATE TYPE public.kind_%1$s AS ENUM ('a', 'b;');",
+    "ALTER TABLE public.part ADD CONSTRAINT \"fk_%1$s\" FOREIGN KEY (a) REFERENCES b (c);",
+    "CREATE POLICY \"p %1$s\" ON public.part;",
+    "ALTER TABLE public.part OWNER TO owner_%1$s;",
+    "/* a; comment */\nTRUNCATE part_%1$s;",
+    "ALTER TABLE part_%1$s ENABLE ROW LEVEL SECURITY;",
+]
 
 
 def _schema_lines(spark, sf):
     p = _t(spark, sf, "part")
-    k = F.col("p_partkey").cast("string")
-    text = (
-        F.when(F.col("p_type") == "ECONOMY", F.concat(F.lit("CREATE TABLE public.part_"), k, F.lit(" (\n  id bigint\n);")))
-        .when(F.col("p_type") == "SMALL", F.concat(F.lit("CREATE INDEX idx_part_"), k, F.lit(" ON public.part (p_size);")))
-        .when(F.col("p_type") == "MEDIUM", F.concat(F.lit("CREATE OR REPLACE FUNCTION public.fn_"), k,
-                                                     F.lit("()\nRETURNS int AS $$\nBEGIN\n  RETURN "), F.col("p_size").cast("string"),
-                                                     F.lit(";\nEND;\n$$ LANGUAGE plpgsql;")))
-        .when(F.col("p_type") == "LARGE", F.concat(F.lit("ALTER TABLE ONLY public.part\n    ADD CONSTRAINT part_pk_"), k,
-                                                    F.lit(" PRIMARY KEY (p_partkey);")))
-        .when(F.col("p_type") == "STANDARD", F.concat(F.lit("GRANT SELECT ON public.part TO role_"), k, F.lit(";")))
-        .otherwise(F.concat(F.lit("-- promo part\nCREATE VIEW public.v_"), k, F.lit(" AS SELECT 1;")))
-    )
-    return p.select(F.lit("schema.sql").alias("file_id"), "p_partkey", F.posexplode(F.split(text, "\n", -1)).alias("i", "line")).select(
-        "file_id", (F.col("p_partkey") * 16 + F.col("i") + 1).alias("line_no"), "line")
+    key, n = F.col("p_partkey").cast("string"), len(SCHEMA_TEMPLATES)
+    text = F.element_at(F.array(*[F.format_string(t, key, F.col("p_size").cast("string")) for t in SCHEMA_TEMPLATES]), (F.pmod("p_partkey", F.lit(n)) + 1).cast("int"))
+    lines = p.select(F.lit("schema.sql").alias("file_id"), "p_partkey", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
+    return ordinal(lines, ["file_id"], ["p_partkey", "i"], "line_no").select("file_id", "line_no", "line")
 
 
 def q_category_sequence(spark, sf):
     st = statements.ddl_statements(_schema_lines(spark, sf))
     cat = statements.categorise(st)
-    return cat.select("line_start", "category", "object_name", F.col("cat_seq").cast("long").alias("cat_seq"), "file_name")
+    return cat.select("line_start", "line_end", "category", "object_name", F.col("cat_seq").cast("long").alias("cat_seq"), "file_name", F.md5("text").alias("text_md5"))
 
 
 # ---------------------------------------------------------------------------
@@ -382,11 +424,12 @@ def q_redact_literals(spark, sf):
 
 
 def q_markers_roundtrip(spark, sf):
-    d = _t(spark, sf, "documents")
-    marked = audit.mark_candidates(
-        d.select("doc_id", "text", F.lit("data").alias("recommended_marker")), "text")
-    back = audit.unmark(marked.select("doc_id", F.col("new_text").alias("text"), F.col("text").alias("orig")), "text")
-    return back.select("doc_id", F.col("text").alias("marked"), (F.col("new_text") == F.col("orig")).alias("restored_equal"))
+    """Mark, then unmark; every third text starts with a byte order mark."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text"))
+    d = _t(spark, sf, "documents").select("doc_id", text.alias("text"), F.lit("data").alias("recommended_marker"))
+    marked = audit.mark_candidates(d, "text")
+    back = audit.unmark(marked.select("doc_id", F.col("new_text").alias("text")), "text")
+    return back.select("doc_id", F.col("text").alias("marked"), F.md5("new_text").alias("unmarked_md5"), "removed")
 
 
 def q_deploy_phrase(spark, sf):
@@ -411,7 +454,7 @@ def q_resumable_load(spark, sf):
 
 
 def q_audit_summary(spark, sf):
-    a = audit.classify_scripts(_scripts(spark, sf), evidence=False)
+    a = audit.classify_scripts(_scripts(spark, sf))
     return audit.audit_summary(a, ["user_id"])
 
 
@@ -520,6 +563,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "renumber": q_renumber,
     "pattern_evidence": q_pattern_evidence,
     "script_classes": q_script_classes,
+    "script_evidence": q_script_evidence,
+    "marker_facts": q_marker_facts,
     "category_sequence": q_category_sequence,
     "load_queue": q_load_queue,
     "ignore_filter": q_ignore_filter,

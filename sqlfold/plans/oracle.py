@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.audit import DATA_MARKER
+from ..operators.audit import DATA_MARKER, SCHEMA_MARKER
 
 _V = "strftime(ts, '%Y%m%d%H%M%S')"
 _CUT = "'20240115000000'"
@@ -197,7 +197,7 @@ FROM a LEFT JOIN s USING (user_id, event_id)
 WITH e AS (SELECT user_id, event_id, event_type, value, {_V} AS version, event_type = 'error' AS is_delete FROM events),
 snap AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_id
            ORDER BY length(version) DESC, version DESC, event_id DESC) AS rn
-         FROM e WHERE version <= {_CUT} AND NOT is_delete) WHERE rn = 1),
+         FROM e WHERE version <= {_CUT}) WHERE rn = 1 AND NOT is_delete),
 u AS (SELECT * FROM snap UNION ALL SELECT * FROM e WHERE version > {_CUT}),
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length(version) DESC, version DESC, event_id DESC) AS rn FROM u)
 SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS event_id, event_type, value, version
@@ -258,22 +258,6 @@ SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS event_id,
        CAST(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS BIGINT) AS n_ddl,
        CAST(CASE WHEN event_type IN ('view', 'purchase', 'signup') THEN 1 ELSE 0 END AS BIGINT) AS n_dml
 FROM events
-""",
-    "category_sequence": """
-WITH c AS (SELECT p_partkey,
-             CASE p_type WHEN 'ECONOMY' THEN 'tables' WHEN 'SMALL' THEN 'indexes' WHEN 'MEDIUM' THEN 'functions'
-                         WHEN 'LARGE' THEN 'constraints' WHEN 'STANDARD' THEN 'permissions' ELSE 'views' END AS category,
-             CASE p_type WHEN 'ECONOMY' THEN '04_tables' WHEN 'SMALL' THEN '07_indexes' WHEN 'MEDIUM' THEN '03_functions'
-                         WHEN 'LARGE' THEN '06_constraints' WHEN 'STANDARD' THEN '10_permissions' ELSE '05_views' END AS folder
-           FROM part),
-s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p_partkey) AS cat_seq FROM c),
-n AS (SELECT *, CASE category WHEN 'tables' THEN 'part_' || p_partkey WHEN 'indexes' THEN 'idx_part_' || p_partkey
-                              WHEN 'functions' THEN 'fn_' || p_partkey WHEN 'constraints' THEN 'part_pk_' || p_partkey
-                              WHEN 'permissions' THEN 'grant_' || cat_seq ELSE 'v_' || p_partkey END AS object_name FROM s)
-SELECT CAST(p_partkey * 16 + 1 AS BIGINT) AS line_start, category, object_name, CAST(cat_seq AS BIGINT) AS cat_seq,
-       folder || '/' || printf('%04d', cat_seq) || '_' || lower(regexp_replace(object_name, '[^a-zA-Z0-9_]', '_', 'g'))
-         || '.sql' AS file_name
-FROM n
 """,
     "load_queue": r"""
 WITH f AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages),
@@ -297,10 +281,6 @@ WHERE (regexp_full_match(path, '.*\.example\.org.*') OR regexp_full_match(base_n
 SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
        replace(replace(replace(text, 'the', '[REDACTED]'), 'de', '[REDACTED]'), 'la', '[REDACTED]') AS text
 FROM conversations
-""",
-    "markers_roundtrip": f"""
-SELECT CAST(doc_id AS BIGINT) AS doc_id, '-- {DATA_MARKER}' || chr(10) || text AS marked, true AS restored_equal
-FROM documents
 """,
     "deploy_phrase": f"""
 WITH e AS (SELECT user_id, {_CLASS} AS c, {_V} <= {_CUT} AS pre FROM events),
@@ -405,3 +385,87 @@ FROM documents
 UNION ALL SELECT 'public.orders', count(*), count(*), 'ok' FROM orders
 UNION ALL SELECT '(sequence lines)', 4, 4, 'ok'
 """
+
+_PART_TEXTS = r"""
+parts AS (SELECT p_partkey, p_partkey % 14 AS t, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS z FROM part),
+texts AS (SELECT *, CASE t
+    WHEN 0 THEN 'CREATE TABLE public.part_' || k || ' (' || chr(10) || '  id bigint' || chr(10) || ');'
+    WHEN 1 THEN 'CREATE INDEX idx_part_' || k || ' ON public.part (p_size);'
+    WHEN 2 THEN 'CREATE OR REPLACE FUNCTION public.fn_' || k || '()' || chr(10) || 'RETURNS int AS $$' || chr(10) || 'BEGIN' || chr(10)
+        || '  -- CREATE TYPE in a body' || chr(10) || '  RETURN ' || z || ';' || chr(10) || 'END;' || chr(10) || '$$ LANGUAGE plpgsql;'
+    WHEN 3 THEN 'ALTER TABLE ONLY public.part' || chr(10) || '    ADD CONSTRAINT part_pk_' || k || ' PRIMARY KEY (p_partkey);'
+    WHEN 4 THEN 'GRANT SELECT ON public.part TO role_' || k || ';'
+    WHEN 5 THEN '-- promo part' || chr(10) || 'CREATE VIEW public.v_' || k || ' AS SELECT 1;'
+    WHEN 6 THEN 'CREATE EXTENSION IF NOT EXISTS "ext_' || k || '";'
+    WHEN 7 THEN 'SET lock_timeout = ' || z || ';'
+    WHEN 8 THEN 'CREATE TYPE public.kind_' || k || ' AS ENUM (''a'', ''b;'');'
+    WHEN 9 THEN 'ALTER TABLE public.part ADD CONSTRAINT "fk_' || k || '" FOREIGN KEY (a) REFERENCES b (c);'
+    WHEN 10 THEN 'CREATE POLICY "p ' || k || '" ON public.part;'
+    WHEN 11 THEN 'ALTER TABLE public.part OWNER TO owner_' || k || ';'
+    WHEN 12 THEN '/* a; comment */' || chr(10) || 'TRUNCATE part_' || k || ';'
+    ELSE 'ALTER TABLE part_' || k || ' ENABLE ROW LEVEL SECURITY;' END AS body FROM parts),
+sized AS (SELECT *, len(string_split(body, chr(10))) AS n FROM texts),
+placed AS (SELECT *, coalesce(sum(n) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS line_start FROM sized)
+"""
+
+ORACLE["category_sequence"] = f"""
+WITH {_PART_TEXTS},
+c AS (SELECT *, CASE t WHEN 0 THEN 'tables' WHEN 1 THEN 'indexes' WHEN 2 THEN 'functions' WHEN 3 THEN 'constraints' WHEN 4 THEN 'permissions'
+    WHEN 5 THEN 'views' WHEN 6 THEN 'extensions' WHEN 7 THEN 'setup' WHEN 8 THEN 'types' WHEN 9 THEN 'foreign_keys' WHEN 10 THEN 'rls'
+    WHEN 11 THEN 'ownership' WHEN 12 THEN 'others' ELSE 'rls' END AS category FROM placed),
+f(category, folder) AS (VALUES ('extensions', '00_extensions'), ('setup', '01_setup'), ('types', '02_types'), ('functions', '03_functions'),
+    ('tables', '04_tables'), ('views', '05_views'), ('constraints', '06_constraints'), ('indexes', '07_indexes'), ('foreign_keys', '08_foreign_keys'),
+    ('rls', '09_rls'), ('permissions', '10_permissions'), ('ownership', '11_ownership'), ('others', '12_others')),
+s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p_partkey) AS cat_seq FROM c JOIN f USING (category)),
+n AS (SELECT *, CASE t WHEN 0 THEN 'part_' || k WHEN 1 THEN 'idx_part_' || k WHEN 2 THEN 'fn_' || k WHEN 3 THEN 'part_pk_' || k WHEN 4 THEN 'grant_' || cat_seq
+    WHEN 5 THEN 'v_' || k WHEN 6 THEN 'ext_' || k WHEN 7 THEN 'setup_' || cat_seq WHEN 8 THEN 'kind_' || k WHEN 9 THEN 'fk_' || k WHEN 10 THEN 'p ' || k
+    WHEN 11 THEN 'ownership_' || cat_seq WHEN 12 THEN 'other_' || cat_seq ELSE 'rls_enable' END AS object_name FROM s)
+SELECT CAST(line_start AS BIGINT) AS line_start, CAST(line_start + n - 1 AS BIGINT) AS line_end, category, object_name, CAST(cat_seq AS BIGINT) AS cat_seq,
+       folder || '/' || printf('%04d', cat_seq) || '_' || lower(regexp_replace(object_name, '[^a-zA-Z0-9_]', '_', 'g')) || '.sql' AS file_name,
+       md5(body || chr(10)) AS text_md5
+FROM n
+"""
+
+ORACLE["schema_roundtrip"] = f"""
+WITH {_PART_TEXTS}
+SELECT 'schema.sql' AS file_id, CAST(count(*) AS BIGINT) AS n_statements, CAST(sum(n) AS BIGINT) AS n_lines,
+       CAST(sum(n) AS BIGINT) AS n_lines_back, true AS fingerprint_equal, CAST(NULL AS BIGINT) AS first_diff_line
+FROM sized
+"""
+
+ORACLE["markers_roundtrip"] = f"""
+WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN chr(65279) ELSE '' END AS bom FROM documents)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, bom || '-- {DATA_MARKER}' || chr(10) || chr(10) || text AS marked,
+       md5(bom || chr(10) || text) AS unmarked_md5, true AS removed
+FROM d
+"""
+
+ORACLE["marker_facts"] = f"""
+WITH d AS (SELECT doc_id, doc_id % 9 AS m, replace(text, '--', '') AS text FROM documents),
+h(m, head, bare, is_data, is_schema, n, removed) AS (VALUES
+    (0, '', '', false, false, 0, false),
+    (1, '-- {DATA_MARKER}' || chr(10), '', true, false, 1, true),
+    (2, chr(65279) || '-- {DATA_MARKER}' || chr(10) || chr(10), chr(65279) || chr(10), true, false, 1, true),
+    (3, '--{SCHEMA_MARKER}' || chr(13) || chr(10), '', false, true, 1, true),
+    (4, '  --   {SCHEMA_MARKER} and more' || chr(10), '  --   {SCHEMA_MARKER} and more' || chr(10), false, true, 1, false),
+    (5, '', '', true, true, 2, true),
+    (6, '', '-- {DATA_MARKER}x' || chr(10), false, false, 0, false),
+    (7, '', 'SELECT 1; -- {DATA_MARKER}' || chr(10), false, false, 0, false),
+    (8, '', '-- ' || upper('{SCHEMA_MARKER}') || chr(10), false, true, 1, false))
+SELECT CAST(doc_id AS BIGINT) AS doc_id, is_data AS has_data_marker, is_schema AS has_schema_marker, CAST(n AS BIGINT) AS n_markers,
+       CAST(CASE WHEN n > 0 THEN 1 END AS BIGINT) AS first_line, removed, md5(bare || text) AS left_md5
+FROM d JOIN h USING (m)
+"""
+
+ORACLE["script_evidence"] = """
+WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) - 1 AS n FROM documents),
+dml AS (SELECT doc_id, n, list_slice(list_concat(list_transform(range(1, n + 1), lambda k: 'INSERT INTO@L' || (5 + 2 * k)),
+               ['UPDATE@L5', 'UPDATE@L' || (7 + 2 * n)]), 1, 3) AS top FROM d)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, 'ddl' AS family, CAST(2 AS BIGINT) AS n, CAST(12 + 2 * n AS BIGINT) AS lines,
+       CAST(NULL AS VARCHAR) AS last_update, 'CREATE TABLE@L4, DROP TABLE@L' || (8 + 2 * n) AS phrase
+FROM d
+UNION ALL
+SELECT CAST(doc_id AS BIGINT), 'dml', CAST(n + 2 AS BIGINT), CAST(5 * n + n * (n + 1) + 12 + 2 * n AS BIGINT),
+       'UPDATE v SET c = 2;', array_to_string(top, ', ')
+FROM dml
+"""

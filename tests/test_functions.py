@@ -25,9 +25,12 @@ def test_trims_and_normalising(spark):
 
 
 def test_markers(spark):
-    assert _one(spark, X.prepend_marker(F.lit("﻿SELECT 1;"), "m")) == "﻿-- m\nSELECT 1;"
-    assert _one(spark, X.prepend_marker(F.lit("SELECT 1;"), "m")) == "-- m\nSELECT 1;"
-    assert _one(spark, X.remove_marker_lines(F.lit("-- m\nSELECT 1;\n  --  m  "), ["m"])) == "SELECT 1;"
+    assert _one(spark, X.prepend_marker(F.lit("﻿SELECT 1;"), "m")) == "﻿-- m\n\nSELECT 1;"
+    assert _one(spark, X.prepend_marker(F.lit("SELECT 1;"), "m")) == "-- m\n\nSELECT 1;"
+    # exactly "-- m" or "--m", whatever is around; other spellings stay
+    assert tuple(_one(spark, X.remove_marker_lines(F.lit("-- m\nSELECT 1;\n  --m\r\n--  m"), ["m"]))) == ("SELECT 1;\n--  m", True)
+    assert tuple(_one(spark, X.remove_marker_lines(F.lit("\ufeff-- m\nSELECT 1;"), ["m"]))) == ("\ufeffSELECT 1;", True)
+    assert tuple(_one(spark, X.remove_marker_lines(F.lit("-- mm"), ["m"]))) == ("-- mm", False)
 
 
 def test_phrases_and_stubs(spark):
@@ -47,7 +50,7 @@ def test_ignore_keep_guard_and_json(spark):
     import pytest
 
     from sqlfold.operators import queue
-    from sqlfold.sources.text import audit_json, guard_nonempty
+    from sqlfold.sources.text import guard_nonempty
 
     names = spark.createDataFrame([("001_setup.sql",), ("002_a.sql",), ("999_cleanup.sql",), ("x.sql",)], "name string")
     kept = queue.ignore_filter(names, ["999_*", "dir/x.sql"], "name").collect()
@@ -58,4 +61,3 @@ def test_ignore_keep_guard_and_json(spark):
     assert sorted(r.path for r in queue.keep_filter(paths, ["a/*"]).collect()) == ["a/b/keep.sql", "a/other.sql"]
     with pytest.raises(ValueError):
         guard_nonempty(names.filter("false"))
-    assert audit_json(names.limit(1)).first()["json"].startswith('{"name":')
