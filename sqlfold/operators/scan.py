@@ -38,19 +38,16 @@ _SUMMARY = T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("b
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def _nparts(df: DataFrame, num_partitions: int | None) -> int:
-    """Explicit count, else input-size based: ~128 MB per partition (Catalyst's estimate),
-    at least the cluster's default parallelism, at most ``spark.sql.shuffle.partitions``."""
+def _nparts(cached: DataFrame, num_partitions: int | None) -> int:
+    """Explicit count, else ~128 MB per partition of a cached input, whose size Spark has measured;
+    at least the cluster's default parallelism, or ``spark.sql.shuffle.partitions`` where that is less."""
     if num_partitions:
         return num_partitions
-    spark = df.sparkSession
-    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lower = min(upper, spark.sparkContext.defaultParallelism)
-    try:
-        est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate: use the configured count
-        return upper
-    return max(lower, min(upper, -(-est // TARGET_PARTITION_BYTES)))
+    spark = cached.sparkSession
+    lower = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cached.count()  # fills the cache, which the range bounds' sample reads next
+    size = cached.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(lower, -(-int(str(size)) // TARGET_PARTITION_BYTES))
 
 
 PID = "_pid"
@@ -65,10 +62,10 @@ def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None
     per-partition state on that column, never on the task's partition index (a union
     or coalesce downstream renumbers tasks).
     """
-    n = _nparts(df, num_partitions)
     # the range bounds are sampled by a separate job: keep the input so it isn't computed twice
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        n = _nparts(src, num_partitions)
         ranged = src.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         return materialize(ranged.withColumn(PID, F.spark_partition_id()))
     finally:
@@ -175,22 +172,26 @@ def ordinal(
     schema = T.StructType(x.schema.fields + [T.StructField(name, T.LongType(), False)])
 
     def apply(batches):
-        cur_pid, cur, n = None, None, 0
+        last, n = None, 0  # (partition, group) of the row before, and its number
         for pdf in batches:
             if pdf.empty:
                 continue
-            pids = pdf[PID].tolist()
-            keys = list(zip(*(pdf[c].tolist() for c in group_cols)))
-            out = np.empty(len(keys), dtype=np.int64)
-            for i, k in enumerate(keys):
-                if pids[i] != cur_pid:
-                    cur_pid, cur = pids[i], None
-                    first_of_partition = True
-                if k != cur:
-                    n = bases.get(cur_pid, 0) if first_of_partition else 0
-                    cur, first_of_partition = k, False
-                n += 1
-                out[i] = n
+            starts = np.zeros(len(pdf), dtype=bool)
+            for c in (PID, *group_cols):
+                codes = pd.factorize(pdf[c], use_na_sentinel=False)[0]
+                starts[1:] |= codes[1:] != codes[:-1]
+            heads = np.flatnonzero(starts | (np.arange(len(pdf)) == 0))
+            keys = list(zip(*(pdf[c].iloc[heads].tolist() for c in (PID, *group_cols))))
+            before = np.zeros(len(heads), dtype=np.int64)
+            for i, (pid, *key) in enumerate(keys):
+                if i == 0 and last == (pid, *key):
+                    before[i] = n
+                elif last is None or last[0] != pid:  # the first group of a partition may go on from the one before
+                    before[i] = bases.get(pid, 0)
+                last = (pid, *key)
+            run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pdf))))
+            out = np.arange(len(pdf)) - heads[run] + before[run] + 1
+            n = int(out[-1])
             yield pdf.assign(**{name: out})
 
     return x.mapInPandas(apply, schema).drop(PID)
@@ -240,9 +241,12 @@ def fold_lines(
     num_partitions: int | None = None,
     extra_candidates=None,
     pin: bool = False,
+    payload: Sequence[str] = (),
 ) -> DataFrame:
     """Run a line fold over ordered lines of many groups, partition-parallel.
 
+    ``payload`` columns travel along for ``emit``, which then needs no join back.
+
     ``pin=True`` checkpoints the fold output so several consumers read it without
     re-running the Python pass.
 
@@ -252,7 +256,7 @@ def fold_lines(
     for one line in pass 2.
     """
     group_cols = list(group_cols)
-    x = range_sorted(lines.select(*group_cols, order_col, line_col), group_cols + [order_col], num_partitions)
+    x = range_sorted(lines.select(*group_cols, order_col, line_col, *payload), group_cols + [order_col], num_partitions)
     fold0 = fold_factory()
 
     def summarize_for(forced: dict | None):
@@ -333,9 +337,14 @@ def fold_lines(
                 carry = (last_key, last_state, counters.chain(counters.origin(), last_cnt))
         if missing is None:
             break
+        # the state may well run on (inside one long quote): one job tries it on the rest of the group
         pid, state = missing
-        extra = _collect_summaries(only([pid]), summarize_for({pid: [state]}))
-        summ[pid][1].update(extra[pid][1])
+        later = order[order.index(pid) + 1:]
+        chain = [pid, *itertools.takewhile(lambda p: flags[p][0], later)]
+        chain = [p for p in chain if p in summ and state not in summ[p][1]]
+        extra = _collect_summaries(only(chain), summarize_for({p: [state] for p in chain}))
+        for p in chain:
+            summ[p][1].update(extra[p][1])
         STATS["refolds"] += 1
 
     def apply(batches):
@@ -422,12 +431,9 @@ def greedy_pack(
     Limits may be per-group columns: pass column names in ``limits`` and the
     value is read from the first row of each group.
 
-    A count limit is required: the per-partition summary holds one entry per
-    position a chunk boundary can fall on from any entry state, which is at most
-    the count limit (W7: rows per INSERT, W8: statements per file).
+    ``max_count`` may be None. What a partition tells the driver is bounded by the rows of one
+    chunk: whatever it is entered with, its first chunk ends no later than a chunk opened there.
     """
-    if not max_count:
-        raise ValueError("greedy_pack needs a positive count limit (number or column)")
     group_cols, order_cols, size_cols = list(group_cols), list(order_cols), list(size_cols)
     base = np.asarray(base if base is not None else [0.0] * len(size_cols), dtype=float)
     lim_cols = [c for c in limits if isinstance(c, str)]
@@ -481,7 +487,7 @@ def greedy_pack(
                 else:
                     chunks[j], last_start[j] = 1 + chunks[k], last_start[k]
             # only starts reachable as a first boundary are needed by the driver
-            horizon = min(n, (mc if mc else n) + 1)
+            horizon = min(n, int(nxt[0]) + 1)
             head_w = w[: max(horizon, 1)]
             table = {
                 j: (int(chunks[j]), int(n - last_start[j]), (base + w[last_start[j]:].sum(axis=0)).tolist())

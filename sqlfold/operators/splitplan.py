@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.text import normalize_statement, strip_version_prefix
+from ..functions.text import js_trim_col, normalize_statement, strip_version_prefix, wrap_transaction
 from .evidence import mask, statement_kind
 from .ledger import version_key
 from .scan import fold_lines, ordinal
@@ -35,22 +35,21 @@ def kind_runs(df: DataFrame, group_cols: Sequence[str], order_col: str, kind_col
               num_partitions: int | None = None) -> DataFrame:
     """``filled_kind`` and ``segment_no`` (1-based) per row.
 
-    Runs as a partition-parallel fold (all three entry states are speculated, so
-    it is always one pass), joined back on (group, order); a group holding a
-    third of all rows is still spread over many tasks.
+    Runs as a partition-parallel fold (all three entry states are speculated, so it is always
+    one pass) that hands on whole rows: rows of equal order key stay rows of their own, and a
+    group holding a third of all rows is still spread over many tasks.
     """
     g = list(group_cols)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType([T.StructField(c, types[c]) for c in g] + [
-        T.StructField(order_col, types[order_col]), T.StructField("filled_kind", T.StringType()),
-        T.StructField("segment_no", T.LongType())])
+    schema = T.StructType(df.schema.fields + [T.StructField("filled_kind", T.StringType()), T.StructField("segment_no", T.LongType())])
+    own = [c for c in df.columns if c not in (*g, order_col, kind_col)]
 
     def emit(key, row, before, out, cnt):
         filled, new = out
-        return [[*key, getattr(row, order_col), filled, cnt + (1 if new else 0)]]
+        values = dict(zip([*g, order_col, kind_col, *own], row))
+        return [[*(values[c] for c in df_columns), filled, cnt + (1 if new else 0)]]
 
-    runs = fold_lines(df, g, order_col, kind_col, KindFold, _RunCounters, emit, schema, num_partitions)
-    return df.join(runs, g + [order_col])
+    df_columns = df.columns
+    return fold_lines(df, g, order_col, kind_col, KindFold, _RunCounters, emit, schema, num_partitions, payload=own)
 
 
 def segment_bodies(runs: DataFrame, group_cols: Sequence[str], order_col: str, text_col: str,
@@ -67,15 +66,17 @@ def segment_bodies(runs: DataFrame, group_cols: Sequence[str], order_col: str, t
     )
 
 
+# The statements that open, commit and undo a transaction, normalised.
+_BEGIN, _COMMIT, _ROLLBACK = ([w, f"{w};", f"{w} transaction", f"{w} transaction;"] for w in ("begin", "commit", "rollback"))
+
+
 def transaction_check(stmts: DataFrame, group_cols: Sequence[str], order_col: str = "stmt_no",
                       text_col: str = "statement") -> DataFrame:
     """per script, whether it is wrapped in one BEGIN ... COMMIT, or why it can't be split."""
     g = list(group_cols)
     n = F.col("_norm") if "_norm" in stmts.columns else normalize_statement(mask(F.col(text_col)))
     s = stmts.withColumn("_n", n)
-    begin = F.col("_n").isin("begin;", "begin", "begin transaction;", "begin transaction")
-    commit = F.col("_n").isin("commit;", "commit", "commit transaction;", "commit transaction")
-    rollback = F.col("_n").isin("rollback;", "rollback", "rollback transaction;", "rollback transaction")
+    begin, commit, rollback = (F.col("_n").isin(words) for words in (_BEGIN, _COMMIT, _ROLLBACK))
     s = s.withColumn("_b", begin).withColumn("_c", commit).withColumn("_r", rollback)
     a = s.groupBy(*g).agg(
         F.min_by("_b", order_col).alias("first_begin"),
@@ -94,36 +95,46 @@ def transaction_check(stmts: DataFrame, group_cols: Sequence[str], order_col: st
     return a.withColumn("wrapped", F.col("first_begin") & err.isNull()).withColumn("tx_error", err)
 
 
+def number_key(v) -> F.Column:
+    """Order of digit strings by value, whatever their length and leading zeros (W5; O2 keeps its own order)."""
+    digits = F.regexp_replace(js_trim_col(v), r"^0+(?=[0-9])", "")
+    return F.struct(F.length(digits).alias("len"), digits.alias("v"))
+
+
 def renumber(outputs: DataFrame, corpus_cols: Sequence[str], targets_earliest: DataFrame,
              version_col: str = "version", name_col: str = "name", out_col: str = "segment_no",
              suffix_col: str = "suffix") -> DataFrame:
     """Every output from the earliest target version on gets ``earliest + position - 1``.
 
     ``outputs``: one row per planned output script (source version/name, segment).
-    ``targets_earliest``: per corpus, column ``earliest`` (decimal). Position is a
-    skew-safe ordinal in (version, name, segment) order; numbers are decimals.
+    ``targets_earliest``: per corpus, column ``earliest`` (digits). Versions compare by value: position is a
+    skew-safe ordinal in (version, name, segment) order; numbers are decimals of 38 digits.
     """
     c = list(corpus_cols)
-    o = outputs.join(targets_earliest, c)
-    o = o.filter(version_key(version_col) >= version_key(F.col("earliest").cast("string")))
-    o = o.withColumn("_vlen", F.length(version_col))
-    o = ordinal(o, c, ["_vlen", version_col, name_col, out_col], "_pos")
+    o = outputs.join(targets_earliest, c).withColumn("_key", number_key(version_col))
+    o = o.filter(F.col("_key") >= number_key(F.col("earliest").cast("string")))
+    o = o.withColumns({"_len": F.col("_key.len"), "_digits": F.col("_key.v")}).drop("_key")
+    o = ordinal(o, c, ["_len", "_digits", name_col, out_col], "_pos")
     nv = (F.col("earliest").cast("decimal(38,0)") + F.col("_pos") - 1).cast("decimal(38,0)").cast("string")
     return o.withColumn("new_version", nv).withColumn(
         "new_name", F.concat(F.col("new_version"), F.lit("_"), F.col(suffix_col))
-    ).drop("_vlen", "_pos")
+    ).drop("_len", "_digits", "_pos")
 
 
 def changes_by_source(renumbered: DataFrame, corpus_cols: Sequence[str], source_col: str = "name",
-                      kind_col: str = "kind") -> DataFrame:
-    """Before -> after names per source script; ``split`` if any of its outputs is a split."""
+                      kind_col: str = "kind", version_col: str = "version") -> DataFrame:
+    """Before -> after names per source script; ``split`` if any of its outputs is a split;
+    ``change_no`` numbers a corpus's changes by version (by value), then name."""
     c = list(corpus_cols)
     names = F.sort_array(F.collect_list(F.struct(F.col("new_version").cast("decimal(38,0)").alias("v"),
                                                  F.col("new_name").alias("n"))))
-    return renumbered.groupBy(*c, source_col).agg(
+    per = renumbered.groupBy(*c, source_col).agg(
         F.transform(names, lambda s: s["n"]).alias("after_names"),
         F.when(F.max((F.col(kind_col) == "split").cast("int")) == 1, "split").otherwise("renumber").alias("kind"),
+        F.min(number_key(version_col)).alias("_key"),
     )
+    per = per.withColumns({"_len": F.col("_key.len"), "_digits": F.col("_key.v")}).drop("_key")
+    return ordinal(per, c, ["_len", "_digits", source_col], "change_no").drop("_len", "_digits")
 
 
 def blocked_by_remote(touched: DataFrame, remote_versions: DataFrame, corpus_cols: Sequence[str],
@@ -139,64 +150,60 @@ def missing_requests(requested: DataFrame, scripts: DataFrame, corpus_cols: Sequ
     return requested.join(scripts.select(*c, name_col), c + [name_col], "left_anti")
 
 
-def class_lookup(names: DataFrame, audit: DataFrame, corpus_cols: Sequence[str], name_col: str = "name") -> DataFrame:
-    """Classification by name, ``unknown`` when the audit has no row."""
-    c = list(corpus_cols)
-    return names.join(audit.select(*c, name_col, "classification"), c + [name_col], "left").withColumn(
-        "classification", F.coalesce("classification", F.lit("unknown"))
-    )
-
-
 def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str] = ("corpus_id",)) -> DataFrame:
     """End-to-end plan for splitting the target scripts of each corpus.
 
-    ``scripts``: corpus cols, name, version, text. ``targets``: corpus cols, name.
-    Returns one row per output: source name, kind (split/renumber), new version,
-    new name and content; the tx/parse error per target is kept in ``error``.
+    ``scripts``: corpus cols, name, version, text. ``targets``: corpus cols, name; a name given
+    twice is one target. Returns one row per output: source name, kind (split/renumber),
+    new version, new name and content. A target that can't be split is one row without
+    content whose ``error`` says why: not in the corpus (J6; it has no number), transaction
+    statements in the way (F12), nothing to separate. A plan with any error is not to be applied.
     """
+    from ..session import materialize
     from .statements import script_statements
 
     c = list(corpus_cols)
-    tg = targets.join(scripts.select(*c, "name", "version"), c + ["name"])
-    earliest = tg.groupBy(*c).agg(F.min(version_key("version"))["v"].cast("decimal(38,0)").alias("earliest"))
-    is_target = scripts.join(targets.withColumn("_t", F.lit(True)), c + ["name"], "left").fillna(False, ["_t"])
-    from ..session import materialize
+    asked = targets.select(*c, "name").distinct()
+    known = scripts.select(*c, "name", "version", "text").join(asked.withColumn("_t", F.lit(True)), c + ["name"], "left")
+    known = known.withColumn("_t", F.coalesce("_t", F.lit(False)))
+    earliest = known.filter("_t").groupBy(*c).agg(F.min(number_key("version"))["v"].alias("earliest"))
 
     # statements come from a Python split; pin them (and their kinds) once for the branches below
-    st = materialize(script_statements(is_target.filter("_t"), "text")
-                     .withColumn("_masked", mask(F.col("statement")))
-                     .withColumn("kind", statement_kind(F.col("_masked")))
-                     .withColumn("_norm", normalize_statement(F.col("_masked"))).drop("_masked"))
-    tx = transaction_check(st, c + ["name"])
-    core = st.join(tx.select(*c, "name", "wrapped"), c + ["name"])
-    core = core.join(tx.select(*c, "name", "n_statements"), c + ["name"])
-    core = core.filter(~(F.col("wrapped") & ((F.col("stmt_no") == 1) | (F.col("stmt_no") == F.col("n_statements")))))
+    st = script_statements(known.filter("_t").drop("_t"), "text").drop("text").withColumn("_masked", mask(F.col("statement")))
+    st = materialize(st.withColumn("kind", statement_kind(F.col("_masked"))).withColumn("_norm", normalize_statement(F.col("_masked"))).drop("_masked"))
+    tx = transaction_check(st, c + ["name"]).select(*c, "name", "wrapped", "tx_error", F.col("n_statements").alias("_last"))
+    core = st.join(tx, c + ["name"]).filter(F.col("tx_error").isNull())
+    core = core.filter(~(F.col("wrapped") & F.col("stmt_no").isin(F.lit(1), F.col("_last"))))
+    # one shuffle: the windows and the grouping share the script
     w = Window.partitionBy(*c, "name").orderBy("stmt_no")
-    core = core.withColumn("filled", F.coalesce(F.last("kind", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("schema")))
-    core = core.withColumn("_chg", F.when(F.lag("filled").over(w).isNull() | (F.lag("filled").over(w) != F.col("filled")), 1).otherwise(0))
-    core = core.withColumn("segment_no", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    segs = core.groupBy(*c, "name").agg(F.max("segment_no").alias("n_segments"))
-    bodies = core.groupBy(*c, "name", "version", "wrapped", "segment_no").agg(
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    core = core.withColumn("filled", F.coalesce(F.last("kind", ignorenulls=True).over(upto), F.lit("schema")))
+    core = core.withColumn("_new", (~F.col("filled").eqNullSafe(F.lag("filled").over(w))).cast("int"))
+    core = core.withColumn("segment_no", F.sum("_new").over(upto))
+    core = core.withColumn("n_segments", F.max("segment_no").over(Window.partitionBy(*c, "name"))).filter("n_segments > 1")
+    bodies = core.groupBy(*c, "name", "version", "wrapped", "segment_no", "n_segments").agg(
         F.first("filled").alias("seg_kind"),
         F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stmt_no", "statement"))), lambda s: s["statement"]), "\n\n"), F.lit("\n")).alias("body"),
     )
     base = F.regexp_replace(strip_version_prefix("name"), r"(?i)\.sql$", "")
+    columns = [*c, "name", "version", "segment_no", "n_segments", "kind", "suffix", "content", "error"]
+    none = F.lit(None).cast("string")
     split_out = bodies.select(
-        *c, "name", "version", "segment_no",
-        F.lit("split").alias("kind"),
+        *c, "name", "version", "segment_no", "n_segments", F.lit("split").alias("kind"),
         F.concat(base, F.lit("_"), F.col("seg_kind"), F.lit("_"), F.col("segment_no").cast("string"), F.lit(".sql")).alias("suffix"),
-        F.when(F.col("wrapped"), F.concat(F.lit("BEGIN;\n"), F.col("body"), F.lit("\nCOMMIT;\n"))).otherwise(F.col("body")).alias("content"),
+        wrap_transaction("body", "wrapped").alias("content"), none.alias("error"),
     )
-    others = is_target.filter(~F.col("_t")).join(earliest, c).filter(
-        version_key("version") >= version_key(F.col("earliest").cast("string"))
-    ).select(*c, "name", "version", F.lit(1).cast("long").alias("segment_no"), F.lit("renumber").alias("kind"),
-             strip_version_prefix("name").alias("suffix"), F.col("text").alias("content"))
-    plan = renumber(split_out.unionByName(others), c, earliest)
-    plan = plan.join(segs.select(*c, "name", "n_segments"), c + ["name"], "left")
-    plan = plan.join(tx.select(*c, "name", "tx_error"), c + ["name"], "left")
-    err = (F.when(F.col("tx_error").isNotNull(), F.col("tx_error"))
-           .when((F.col("kind") == "split") & (F.col("n_segments") <= 1), F.lit("no separable schema/data groups")))
-    return plan.withColumn("error", err).drop("tx_error")
+    failed = known.filter("_t").join(bodies.select(*c, "name").distinct(), c + ["name"], "left_anti").join(tx, c + ["name"], "left")
+    failed = failed.withColumns({
+        "segment_no": F.lit(1).cast("long"), "n_segments": F.lit(None).cast("long"), "kind": F.lit("split"), "suffix": strip_version_prefix("name"), "content": none,
+        "error": F.coalesce("tx_error", F.lit("no separable schema/data groups"))}).select(columns)
+    others = known.filter(~F.col("_t")).withColumns({
+        "segment_no": F.lit(1).cast("long"), "n_segments": F.lit(None).cast("long"), "kind": F.lit("renumber"), "suffix": strip_version_prefix("name"),
+        "content": F.col("text"), "error": none}).select(columns)
+    plan = renumber(split_out.unionByName(failed).unionByName(others), c, earliest)
+    plan = plan.select(*columns, "new_version", "new_name")
+    lost = missing_requests(asked, scripts, c)
+    return plan.unionByName(lost.select(*c, "name", F.lit("split").alias("kind"), F.lit("script not found").alias("error")), allowMissingColumns=True)
 
 
 def split_scope(audit_df: DataFrame, cutoff: str | None = None, scope: str = "cutoff",

@@ -8,6 +8,7 @@ local mode (tests, the driver's smoke checks).
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -25,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -33,7 +36,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", "16g")
+    builder = builder.config("spark.driver.memory", os.environ.get("SQLFOLD_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
@@ -69,6 +72,7 @@ def ship_package(spark: SparkSession) -> None:
     with os.fdopen(fd, "wb") as fh:
         fh.write(buf.getvalue())
     sc.addPyFile(path)
+    atexit.register(os.unlink, path)  # executors that start late still fetch it
     _SHIPPED.add(key)
 
 
@@ -100,15 +104,3 @@ def materialize(df: DataFrame) -> DataFrame:
         return staged.checkpoint(eager=True)
     finally:
         staged.unpersist()
-
-
-# Largest data-derived table we broadcast without a second thought (rows).
-BROADCAST_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it really is small (counted, not assumed); else leave the
-    join to the planner (shuffle join)."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -13,18 +13,22 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession, functions as F
 
+from ..operators.queue import load_wave
+from ..sources.text import number_lines
+
 
 def stream_load(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_location: str,
                 max_files_per_trigger: int = 100):
+    """Lines as (line_no, line) in one partition per file; ``file_id`` is the file's full path, so
+    files of one name in different folders stay apart. Returns the query, stopped when no file is left."""
     lines = (
         spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files_per_trigger)
-        .text(source_dir)
-        .select(F.col("_metadata.file_name").alias("file_id"), F.col("value").alias("line"))
+        .option("recursiveFileLookup", True).text(source_dir)
+        .select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     )
 
     def write_batch(df, epoch_id):
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("file_id").parquet(out_dir))
+        load_wave(number_lines(df).select("file_id", "line_no", "line"), out_dir, "file_id", ["file_id", "line_no"])
 
     q = (
         lines.writeStream.foreachBatch(write_batch)

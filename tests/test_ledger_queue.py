@@ -107,20 +107,28 @@ def test_split_scope(spark):
 def test_chunk_and_statement_files_roundtrip(spark, tmp_path):
     from sqlfold.sources.text import read_chunk_files, read_statement_files, write_statement_files
 
-    st = spark.createDataFrame([("04_tables/0001_a.sql", 1, 2, "CREATE TABLE a (\n x int);\n"),
-                                ("07_indexes/0001_i.sql", 3, 3, "CREATE INDEX i ON a (x);\n")],
-                               "file_name string, line_start long, line_end long, text string")
+    # two dumps with members of one name: each keeps its own
+    st = spark.createDataFrame([("f1.sql", "tables", "04_tables/0001_a.sql", 1, 2, "CREATE TABLE a (\n x int);\n"),
+                                ("f2.sql", "tables", "04_tables/0001_a.sql", 1, 1, "CREATE TABLE a (y int);\n"),
+                                ("f1.sql", "indexes", "07_indexes/0001_i.sql", 3, 3, "CREATE INDEX i ON a (x);\n")],
+                               "file_id string, category string, file_name string, line_start long, line_end long, text string")
     out = str(tmp_path / "schema")
     write_statement_files(st, out)
-    back = read_statement_files(spark, out + "/members").orderBy("line_start").collect()
-    assert [(r.line_start, r.text) for r in back] == [(1, "CREATE TABLE a (\n x int);\n"), (3, "CREATE INDEX i ON a (x);\n")]
+    back = read_statement_files(spark, out).orderBy("file_id", "line_start").collect()
+    assert [(r.file_id, r.category, r.line_start, r.text) for r in back] == [
+        ("f1.sql", "tables", 1, "CREATE TABLE a (\n x int);\n"), ("f1.sql", "indexes", 3, "CREATE INDEX i ON a (x);\n"), ("f2.sql", "tables", 1, "CREATE TABLE a (y int);\n")]
+    index = spark.read.json(out + "/index").orderBy("file_id", "startLine").collect()
+    assert [(r.file_id, r.startLine) for r in index] == [("f1.sql", 1), ("f1.sql", 3), ("f2.sql", 1)]
+    assert all(spark.read.parquet(f"{out}/{r.path}").filter(F.col("file_name") == r.member).count() == 1 for r in index)
+    with pytest.raises(ValueError):
+        write_statement_files(st.limit(0), out)
     d = tmp_path / "chunks"
-    d.mkdir()
-    for name, txt in [("002_public_t_01.sql", "a;\n"), ("002_public_t_02.sql", "b;"), ("010_public_u.sql", "c;  \n"),
+    (d / "x").mkdir(parents=True)
+    for name, txt in [("002_public_t_01.sql", "a;\n"), ("002_public_t_02.sql", "b;\nb2"), ("x/002_public_t_02.sql", "other;"), ("010_public_log_2024.sql", "c;\n"),
                       ("keep.txt", "x"), ("999_cleanup.sql", "RESET ALL;")]:
         (d / name).write_text(txt)
-    rows = read_chunk_files(spark, str(d), ignore=["999_*"]).orderBy("table_no", "part_no").collect()
-    assert [(r.table_no, r.part_no, r.text) for r in rows] == [(2, 1, "a;"), (2, 2, "b;"), (10, 0, "c;")]
+    rows = read_chunk_files(spark, str(d), ignore=["999_*"]).orderBy("table_no", "suffix_no", "file_id", "line_no").collect()
+    assert [(r.table_no, r.suffix_no, r.line_no, r.line) for r in rows] == [(2, 1, 1, "a;"), (2, 2, 1, "b;"), (2, 2, 2, "b2"), (2, 2, 1, "other;"), (10, 2024, 1, "c;")]
 
 
 def test_plan_replay_orders_and_stubs(spark):
@@ -139,18 +147,52 @@ def test_plan_replay_orders_and_stubs(spark):
 
 
 def test_written_chunk_files_read_back(spark, tmp_path):
+    from sqlfold.plans.split_validate import reassembled_files
     from sqlfold.sources.text import read_chunk_files, write_chunk_files
 
     plan = spark.createDataFrame([
-        ("002_public_t_01.sql", 1, "INSERT INTO public.t VALUES\n\t(1);"),
-        ("002_public_t_01.sql", 2, "INSERT INTO public.t VALUES\n\t(2);"),
-        ("002_public_t_02.sql", 3, "INSERT INTO public.t VALUES\n\t(3);"),
-    ], "file_name string, out_stmt_no long, text string")
+        ("002_public_t_01.sql", 1, True, 1, "INSERT INTO public.t VALUES\n\t(1);"),
+        ("002_public_t_01.sql", 2, True, 1, "INSERT INTO public.t VALUES\n\t(2);"),
+        ("002_public_t_02.sql", 1, True, 2, "INSERT INTO public.t VALUES\n\t(3);"),
+    ], "file_name string, position long, gap boolean, part_no long, text string")
     out = str(tmp_path / "split")
     write_chunk_files(plan, out)
-    back = read_chunk_files(spark, out).orderBy("table_no", "part_no").collect()
-    assert [(r.name, r.part_no) for r in back] == [("002_public_t_01.sql", 1), ("002_public_t_02.sql", 2)]
-    assert back[0].text == "INSERT INTO public.t VALUES\n\t(1);\n\nINSERT INTO public.t VALUES\n\t(2);"
+    back = read_chunk_files(spark, out)
+    assert {(r.name, r.suffix_no) for r in back.collect()} == {("002_public_t_01.sql", 1), ("002_public_t_02.sql", 2)}
+    lines = [r.line for r in reassembled_files(back).orderBy("line_no").collect()]
+    insert = "INSERT INTO public.t VALUES"
+    assert lines == [insert, "\t(1);", "", insert, "\t(2);", "", insert, "\t(3);"]
+
+
+def test_split_plan_errors_and_numbers(spark):
+    tx = "BEGIN;\nCREATE TABLE b (x int);\nINSERT INTO b VALUES (1);\nCOMMIT;\n"
+    scripts = spark.createDataFrame([
+        ("c", "0008_z.sql", "0008", "SELECT 8;"), ("c", "0009_a.sql", "0009", tx), ("c", "10_empty.sql", "10", "BEGIN; COMMIT;"),
+        ("c", "11_open.sql", "11", "BEGIN;\nSELECT 1;"), ("c", "12_back.sql", "12", "ROLLBACK;\nSELECT 1;"), ("c", "13_last.sql", "13", "SELECT 13;"),
+    ], "corpus_id string, name string, version string, text string")
+    names = ["0009_a.sql", "0009_a.sql", "10_empty.sql", "11_open.sql", "12_back.sql", "nowhere.sql"]
+    plan = splitplan.split_plan(scripts, spark.createDataFrame([("c", n) for n in names], "corpus_id string, name string"))
+    got = sorted((r.new_name or "", r.name, r.error or "", r.content or "") for r in plan.collect())
+    assert [(n, e) for n, _, e, _ in got] == [
+        ("", "script not found"), ("10_a_data_2.sql", ""), ("11_empty.sql", "no separable schema/data groups"), ("12_open.sql", "unbalanced BEGIN/COMMIT"),
+        ("13_back.sql", "top-level ROLLBACK"), ("14_last.sql", ""), ("9_a_schema_1.sql", "")]
+    assert got[-1][3] == "BEGIN;\nCREATE TABLE b (x int);\n\nCOMMIT;\n"
+    changes = splitplan.changes_by_source(plan.filter("new_name is not null"), ["corpus_id"]).orderBy("change_no").collect()
+    assert [(r.name, r.kind) for r in changes][:2] == [("0009_a.sql", "split"), ("10_empty.sql", "split")] and changes[-1].name == "13_last.sql"
+
+
+def test_runs_keep_repeated_order_keys(spark):
+    df = spark.createDataFrame([("g", 1, "schema", "a"), ("g", 1, None, "b"), ("g", 2, "data", "c"), (None, 1, None, "d")], "g string, i long, kind string, t string")
+    got = splitplan.kind_runs(df, ["g"], "i").collect()
+    assert sorted(r.t for r in got) == ["a", "b", "c", "d"] and {r.t: r.segment_no for r in got}["c"] == 2
+
+
+def test_resume_points_of_groups(spark):
+    q = spark.createDataFrame([("a", 1, "x/1.sql", "1.sql"), ("a", 2, "x/2.sql", "2.sql"), ("b", 1, "y/1.sql", "1.sql")], "g string, queue_no long, path string, base_name string")
+    assert {r.g: r.resume_no for r in queue.resume_points(q, "2.sql", ["g"]).collect()} == {"a": 2, "b": None}
+    assert queue.resume_from(q, "1.sql", ["g"]).count() == 3
+    with pytest.raises(Exception, match="resume point not found"):
+        queue.resume_from(q, "2.sql", ["g"]).collect()
 
 
 def test_failed_load_resumes_without_repeating(spark, tmp_path):

@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from sqlfold.streaming.load import stream_load
 from conftest import SF
 
@@ -12,18 +10,24 @@ from conftest import SF
 def test_stream_load_resumes(spark):
     root = tempfile.mkdtemp(prefix="sqlfold-stream-")
     src, out, ck = (os.path.join(root, p) for p in ("src", "out", "ck"))
-    os.makedirs(src)
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(3).collect()
-    for d in docs[:2]:
-        with open(os.path.join(src, f"{d.doc_id:03d}.sql"), "w", encoding="utf-8") as fh:
-            fh.write(d.text)
+    # files of one name in different folders are different files
+    paths = [os.path.join(src, folder, name) for folder, name in (("a", "x.sql"), ("b", "x.sql"), ("b", "y.sql"))]
+
+    def put(i):
+        os.makedirs(os.path.dirname(paths[i]), exist_ok=True)
+        with open(paths[i], "w", encoding="utf-8") as fh:
+            fh.write(docs[i].text)
+
+    def loaded():
+        rows = spark.read.parquet(out).collect()
+        return {p: [r.line for r in sorted((r for r in rows if r.file_id.endswith(p)), key=lambda r: r.line_no)] for p in paths}
+
+    put(0)
+    put(1)
     stream_load(spark, src, out, ck)
-    first = spark.read.parquet(out)
-    assert first.select("file_id").distinct().count() == 2
-    n_before = first.count()
-    with open(os.path.join(src, f"{docs[2].doc_id:03d}.sql"), "w", encoding="utf-8") as fh:
-        fh.write(docs[2].text)
+    want = [d.text.split("\n") for d in docs]
+    assert loaded() == {paths[0]: want[0], paths[1]: want[1], paths[2]: []}
+    put(2)
     stream_load(spark, src, out, ck)
-    after = spark.read.parquet(out)
-    assert after.select("file_id").distinct().count() == 3
-    assert after.filter(F.col("file_id") != f"{docs[2].doc_id:03d}.sql").count() == n_before
+    assert loaded() == dict(zip(paths, want))
