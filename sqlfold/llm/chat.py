@@ -21,12 +21,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import common
+from . import common, packing
 
 _ESCAPED = re.compile(r"([\\<>])")
 _PLAIN = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*+)>\n((?:[^\\<>]|\\.)*+)</turn>\n", re.DOTALL)
-_TOKENIZERS: dict = {}
 
 
 def escape(s: str) -> str:
@@ -49,19 +48,14 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _count_tokens(vocabulary: str):
+def _count_tokens(vocabulary: str, ranks: str):
     def run(batches):
-        from tokenizers import Tokenizer
-
-        if vocabulary not in _TOKENIZERS:
-            _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
-            _TOKENIZERS[vocabulary].encode_special_tokens = True
-        count = _TOKENIZERS[vocabulary].encode_batch_fast
+        codes = packing.encoder(vocabulary, ranks)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             sizes: list[int] = []
-            for lo in range(0, len(texts), 200):
-                sizes += [len(e.ids) for e in count(texts.slice(lo, 200).to_pylist(), add_special_tokens=False)]
+            for lo in range(0, len(texts), 500):
+                sizes += [len(ids) // 4 for ids in codes.encode(texts.slice(lo, 500).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "tokens"])
 
     return run
@@ -106,7 +100,7 @@ def _write(batches):
         yield pd.DataFrame({"conv": pdf["conv"], "span": pdf["span"], "text": texts, "loss": masks, "repeated": repeated, "tokens": tokens})
 
 
-def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, budget: int = 1024, history: int = 256, vocabulary: str | None = None) -> DataFrame:
+def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, budget: int = 1024, history: int = 256, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """(conv, span, text, loss, repeated, tokens): one row per window.
 
     ``loss`` lists the (start, end) code points of ``text`` that train; ``repeated`` counts the
@@ -116,11 +110,12 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
     text; rows that repeat a turn are turns each. Null roles and texts are empty; null
     conversations are one conversation. The system turn is the first turn, if its role is
     system and it has a quarter of the budget at most. A window is above ``budget`` only if it
-    has a turn above half of it; such a window repeats nothing. ``vocabulary`` is a tokenizers
-    file (byte_bpe_50k by default). An empty table gives no window.
+    has a turn above half of it; such a window repeats nothing. ``vocabulary`` (a tokenizers
+    file) and ``ranks`` (the same as ranks) are byte_bpe_50k by default. An empty table gives no window.
     """
     common.session(df)
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     # the id travels as text: null-safe, and whatever its type
     kind = df.schema[conv_col].dataType.simpleString()
     given = df.select(
@@ -128,7 +123,7 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("counted", F.concat_ws("\n", "role", "text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    turns = given.mapInArrow(_count_tokens(vocabulary), f"{fields}, tokens long")
+    turns = given.mapInArrow(_count_tokens(vocabulary, ranks), f"{fields}, tokens long")
     grid = max(1, budget // 2)
     turns = prefix_sums(turns, ["conv"], ["turn", "role", "text"], "tokens", "start")
     turns = turns.withColumn("span", F.floor(F.col("start") / grid))
