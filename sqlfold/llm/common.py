@@ -31,8 +31,17 @@ def unstage(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Arrow batches between Spark and Python hold this many bytes, however long the texts are.
+BATCH_BYTES = 8 * 1024 * 1024
+
+
 def session(df: DataFrame) -> SparkSession:
-    return prepare(df.sparkSession)
+    """The session of ``df``, ready for jobs: checkpoint folder, package on the executors, bounded batches."""
+    spark = prepare(df.sparkSession)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, "0").rstrip("b") in ("0", "-1", str(64 * 1024 * 1024)):  # not set by the user
+        spark.conf.set(limit, str(BATCH_BYTES))
+    return spark
 
 
 def bucket_of(ids: Column, buckets: Column | int) -> Column:

@@ -185,10 +185,10 @@ def _vectors(batches):
 def fit(x: np.ndarray, junk: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps on balanced classes; (weights, bias)."""
     scale = 1 / np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-3)
-    z = x * scale
+    z = x * scale.astype(np.float32)
     weight = np.where(junk, 0.5 / max(1, junk.sum()), 0.5 / max(1, (~junk).sum()))
     y = junk.astype(float)
-    rate = 4.0 / max(1e-9, float((weight[:, None] * z * z).sum()) + 1)
+    rate = 4.0 / (float(weight @ np.einsum("ij,ij->i", z, z)) + 1)
     w = v = np.zeros(x.shape[1])
     b = vb = 0.0
     for k in range(rounds):
@@ -218,7 +218,7 @@ class Model:
         return np.concatenate([np.zeros(0), *[self.of(raw, _tokens(raw, at)) for raw, at in textvec.slices(column)]])
 
 
-def train(df: DataFrame, id_col: str, text_col: str, sample: int = 1500) -> tuple[Model, DataFrame]:
+def train(df: DataFrame, id_col: str, text_col: str, sample: int = 1000) -> tuple[Model, DataFrame]:
     """A model from ``df`` alone, without labels, and the staged statistics with votes.
 
     The scorer is fitted on at most ``sample`` documents of each class: those of the
@@ -242,7 +242,7 @@ def train(df: DataFrame, id_col: str, text_col: str, sample: int = 1500) -> tupl
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = texts.join(F.broadcast(ids), F.col("_id") == F.col("_sample_id")).select("_junk", "_text").mapInArrow(_vectors, "junk boolean, x binary").collect()
     found.sort(key=lambda r: (r["junk"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]).astype(np.float64)
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in found])
     weights, bias = fit(x, np.array([r["junk"] for r in found]))
     # fitted on as much junk as clean text; the corpus has them at the posteriors' odds
     share = min(0.5, max(0.01, sum(posteriors[p] * n for p, n in patterns) / sum(n for _, n in patterns)))
@@ -260,7 +260,7 @@ def keep_clean(df: DataFrame, text_col: str, model: Model, threshold: float = 0.
     return df.mapInArrow(run, df.schema)
 
 
-def classify(df: DataFrame, id_col: str, text_col: str, sample: int = 1500, threshold: float = 0.5) -> DataFrame:
+def classify(df: DataFrame, id_col: str, text_col: str, sample: int = 1000, threshold: float = 0.5) -> DataFrame:
     """(id, votes, posterior_junk, score, keep), one row per document.
 
     Null texts and texts without words score 0 and are not kept. Rows with a null id vote

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, textvec
 
 _QUARTERS = 4
-_BLOCK = 400_000
+_BLOCK = 100_000
 
 
 def _fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
@@ -91,7 +91,7 @@ def _compare(radius: int):
         for pdf in batches:
             for a, b in zip(pdf["a_fp"], pdf["b_fp"]):
                 x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                strip = max(1, 2_000_000 // len(y))
+                strip = max(1, 500_000 // len(y))
                 for lo in range(0, len(x), strip):
                     part = x[lo : lo + strip]
                     near = np.bitwise_count(part.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= limit
@@ -101,7 +101,7 @@ def _compare(radius: int):
                     if own.any():
                         held.append((i[own], j[own]))
                         size += int(own.sum())
-                    if size > 2_000_000:
+                    if size > 500_000:
                         held = [common.spanning(*(np.concatenate(v) for v in zip(*held)))]
                         size = 0
         links = common.spanning(*(np.concatenate(v) for v in zip(*held)))

@@ -30,7 +30,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(column: pa.Array, most: int = 4_000_000):
+def slices(column: pa.Array, most: int = 1_000_000):
     """Runs of rows of about ``most`` bytes of text together, or of one longer row."""
     raw, at = text_bytes(column)
     lo = 0
