@@ -39,7 +39,7 @@ def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, ready for jobs: checkpoint folder, package on the executors, bounded batches."""
     spark = prepare(df.sparkSession)
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(limit, "0").rstrip("b") in ("0", "-1", str(64 * 1024 * 1024)):  # not set by the user
+    if spark.conf.get(limit).rstrip("b") == str(64 * 1024 * 1024):  # Spark's own, so not set by the user
         spark.conf.set(limit, str(BATCH_BYTES))
     return spark
 
