@@ -57,34 +57,34 @@ def _map(col, mapping: dict):
 # ---------------------------------------------------------------------------
 # dump -> statements -> rows
 # ---------------------------------------------------------------------------
+def _dump(df, file_id, target, key, **more):
+    """Dump of all columns of ``df``: the key as a number, the rest quoted, null as NULL."""
+    rest = [c for c in df.columns if c != key]
+    values = [F.coalesce(sql_quote(injected_text(F.col(c)) if c == "text" else F.col(c).cast("string")), F.lit("NULL")) for c in rest]
+    return insert_dump(df, file_id, target, key, values, ", ".join([key, *rest]), **more)
+
+
 def _roundtrip_lines(spark, sf):
-    nation = _t(spark, sf, "nation")
-    region = _t(spark, sf, "region")
-    docs = _t(spark, sf, "documents")
-    return (
-        insert_dump(nation, "nation.sql", "public.nation", "n_nationkey", [sql_quote(F.col("n_name"))], "n_nationkey, n_name")
-        .unionByName(insert_dump(region, "region.sql", "public.region", "r_regionkey", [sql_quote(F.col("r_name"))], "r_regionkey, r_name"))
-        .unionByName(insert_dump(docs, "documents.sql", '"public"."documents"', "doc_id",
-                                 [sql_quote(injected_text(F.col("text")))], "doc_id, text"))
-    )
+    nation, region, docs = (_t(spark, sf, t) for t in ("nation", "region", "documents"))
+    return (_dump(nation, "nation.sql", "public.nation", "n_nationkey").unionByName(_dump(region, "region.sql", "public.region", "r_regionkey"))
+            .unionByName(_dump(docs, "documents.sql", '"public"."documents"', "doc_id")))
 
 
 def q_dump_roundtrip(spark, sf):
     scan = statements.dump_scan(_roundtrip_lines(spark, sf))
     rows = statements.rows_from_scan(scan)
     key = F.regexp_extract("tuple", r"^\((\d+), ", 1).cast("long")
-    val = F.replace(F.regexp_extract("tuple", r"(?s)^\(\d+, '(.*)'\)\z", 1), F.lit("''"), F.lit("'"))
-    return rows.select("target", key.alias("row_key"), val.alias("value"))
+    rest = F.regexp_extract("tuple", r"(?s)^\(\d+, (.*)\)\z", 1)
+    return rows.select("target", key.alias("row_key"), F.md5(rest).alias("values_md5"), F.length(rest).cast("long").alias("n_chars"))
 
 
 def q_dump_row_counts(spark, sf):
-    specs = [("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"),
-             ("customer", "c_custkey", "c_name"), ("part", "p_partkey", "p_name"), ("orders", "o_orderkey", "o_orderpriority")]
+    specs = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")]
     lines = None
-    for t, k, v in specs:
-        d = insert_dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k, [sql_quote(F.col(v))], f"{k}, {v}", rows_per_stmt=100)
+    for t, k in specs:
+        d = _dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k, rows_per_stmt=100)
         lines = d if lines is None else lines.unionByName(d)
-    st = statements.statements_from_scan(statements.dump_scan(lines), with_text=False)
+    st = statements.statements_from_scan(statements.dump_scan(lines))
     return st.groupBy("target").agg(F.sum("n_rows").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_statements"))
 
 
@@ -437,20 +437,17 @@ def q_deploy_phrase(spark, sf):
 
 
 def q_resumable_load(spark, sf):
-    """Load documents grouped into one seed file per source, in two waves. Each file is
+    """Load documents, one seed file per source, in queue order and in two waves. Each file is
     one output partition, overwritten atomically; the second wave takes only the files the
     load log doesn't hold yet. Returns the loaded table."""
     root = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-load-{uuid.uuid4().hex}"
-    d = _t(spark, sf, "documents").select(F.col("source").alias("file_id"), "doc_id", "lang", "n_chars")
-    files = d.select("file_id").distinct()
-    q = ordinal(files, [], ["file_id"], "queue_no")
-    half = q.agg(F.max("queue_no")).first()[0] // 2
-    first = d.join(q.filter(F.col("queue_no") <= half).select("file_id"), "file_id", "left_semi")
-    queue.load_wave(first, root)
-    log = spark.read.parquet(root).select("file_id").distinct()
-    todo = queue.pending(q, log, "file_id")
-    queue.load_wave(d.join(todo.select("file_id"), "file_id", "left_semi"), root)
-    return spark.read.parquet(root).select("doc_id", "lang", "n_chars")
+    d = _t(spark, sf, "documents").withColumn("file_id", F.coalesce("source", F.lit("")))
+    q = ordinal(d.select("file_id").distinct(), [], ["file_id"], "queue_no")
+    half = (q.agg(F.max("queue_no")).first()[0] or 0) // 2
+    queue.load_wave(d.join(q.filter(F.col("queue_no") <= half), "file_id"), root, "file_id", ["queue_no", "doc_id"])
+    log = spark.read.schema("file_id string").parquet(root).distinct()
+    queue.load_wave(d.join(queue.pending(q, log, "file_id"), "file_id"), root, "file_id", ["queue_no", "doc_id"])
+    return spark.read.parquet(root).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def q_audit_summary(spark, sf):
@@ -467,17 +464,15 @@ SPLIT_TEMPLATES = {
 }
 
 
-def q_split_plan(spark, sf):
+def _split_scripts(spark, sf):
     e = _event_versions(spark, sf)
-    text = None
-    for t, tmpl in SPLIT_TEMPLATES.items():
-        piece = F.format_string(tmpl, F.col("event_id"))
-        text = F.when(F.col("event_type") == t, piece) if text is None else text.when(F.col("event_type") == t, piece)
-    scripts = e.select(
-        "user_id", "version", text.alias("text"),
-        F.concat(F.col("version"), F.lit("_"), F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"),
-                 F.lit(".sql")).alias("name"),
-        "event_type")
+    text = F.coalesce(*[F.when(F.col("event_type") == t, F.format_string(tmpl, F.col("event_id"))) for t, tmpl in SPLIT_TEMPLATES.items()])
+    name = F.concat(F.col("version"), F.lit("_"), F.col("event_type"), F.lit("_"), F.col("event_id").cast("string"), F.lit(".sql"))
+    return e.select("user_id", "version", text.alias("text"), name.alias("name"), "event_type")
+
+
+def q_split_plan(spark, sf):
+    scripts = _split_scripts(spark, sf)
     targets = scripts.filter(F.col("event_type") == "purchase").select("user_id", "name")
     plan = splitplan.split_plan(scripts.drop("event_type"), targets, ["user_id"])
     return plan.select("user_id", "name", "new_name", "kind", "content", "error")
@@ -489,7 +484,7 @@ def q_rechunk_statements(spark, sf):
                         "o_orderkey, o_orderpriority", rows_per_stmt=100)
     scan = statements.dump_scan(lines)
     rows = statements.rows_from_scan(scan)
-    st = statements.statements_from_scan(scan, with_text=False)
+    st = statements.statements_from_scan(scan)
     lim = rows.select("target").distinct().select(
         "target", F.lit(100.0).alias("max_rows"), F.lit(2100.0).alias("max_bytes"))
     ch = packing.rechunk_inserts(rows, st, lim)
@@ -527,20 +522,105 @@ def q_schema_roundtrip(spark, sf):
                       (F.col("fp_o") == F.col("fp_b")).alias("fingerprint_equal"), "first_diff_line")
 
 
-SPLIT_RULES = {"public.documents": {"maxRowsPerInsert": 7, "maxBytesPerFile": 60000},
+def q_schema_members(spark, sf):
+    """Members of two schema dumps written, with their index, and read back."""
+    from ..sources.text import read_statement_files, write_statement_files
+
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-schema-{uuid.uuid4().hex}"
+    lines = _schema_lines(spark, sf)
+    both = lines.unionByName(lines.withColumn("file_id", F.lit("copy.sql")))
+    write_statement_files(statements.categorise(statements.ddl_statements(both)), out)
+    back = read_statement_files(spark, out)
+    index = spark.read.json(out + "/index").select("file_id", F.col("member").alias("file_name"), "path", F.col("endLine").alias("index_end"))
+    return back.join(index, ["file_id", "file_name"]).select("file_id", "file_name", "line_start", "line_end", "index_end", F.md5("text").alias("text_md5"),
+                                                             F.regexp_extract("path", "category=(.*)$", 1).alias("folder_class"))
+
+
+SPLIT_RULES = {"public.documents": {"maxRowsPerInsert": 7},
                "public.orders": {"maxRowsPerInsert": 30}}
 
 
+def _split_dumps(spark, sf):
+    return (_dump(_t(spark, sf, "documents"), "documents.sql", "public.documents", "doc_id")
+            .unionByName(_dump(_t(spark, sf, "orders"), "orders.sql", "public.orders", "o_orderkey")))
+
+
 def q_dump_split_validate(spark, sf):
-    """Split a documents + orders dump into files under rules, reassemble, reconcile."""
+    """Split a documents + orders dump into files under rules, write them, read them back, reconcile."""
     from ..sources.text import rules_from_json
     from .split_validate import split_and_validate
 
-    docs = insert_dump(_t(spark, sf, "documents"), "documents.sql", "public.documents", "doc_id",
-                       [sql_quote(injected_text(F.col("text")))], "doc_id, text")
-    orders = insert_dump(_t(spark, sf, "orders"), "orders.sql", "public.orders", "o_orderkey",
-                         [sql_quote(F.col("o_orderpriority"))], "o_orderkey, o_orderpriority")
-    return split_and_validate(docs.unionByName(orders), rules_from_json(spark, SPLIT_RULES))
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-split-{uuid.uuid4().hex}"
+    return split_and_validate(_split_dumps(spark, sf), rules_from_json(spark, SPLIT_RULES), out_dir=out)
+
+
+PLAN_RULES = {"public.mid": {"maxRowsPerInsert": 30}, "public.beta": {"skip": True}}
+
+
+def q_dump_file_plan(spark, sf):
+    """The files of two dumps, one row per statement in them. Tables come out of
+    alphabetic order, one is skipped, one has only INSERT ... SELECT, one ends its statements with
+    a tail; sequence lines of both dumps are in one member."""
+    from ..sources.text import rules_from_json
+    from .split_validate import file_plan
+
+    nation = _t(spark, sf, "nation").select("n_nationkey", "n_name")
+    region = _t(spark, sf, "region").select("r_regionkey", "r_name")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    copied = ("INSERT INTO public.copied SELECT *", "FROM public.zeta;")
+    dumps = [_dump(nation, "1-a.sql", "public.zeta", "n_nationkey", extra=copied), _dump(orders, "2-b.sql", "public.mid", "o_orderkey", tail=" ON CONFLICT DO NOTHING"),
+             _dump(nation, "3-c.sql", "public.beta", "n_nationkey"), _dump(region, "4-d.sql", "public.alpha", "r_regionkey")]
+    lines = dumps[0]
+    for d in dumps[1:]:
+        lines = lines.unionByName(d)
+    plan = file_plan(lines, rules_from_json(spark, PLAN_RULES))
+    return plan.select("section", F.col("table_no").cast("long").alias("table_no"), "part_no", "position", "file_name", F.md5("text").alias("text_md5"))
+
+
+ERROR_TEMPLATES = {
+    "purchase": "BEGIN;\nCREATE TABLE p_%1$s (id bigint);\nINSERT INTO p_%1$s VALUES (1);\nCOMMIT;\n",
+    "click": "BEGIN; COMMIT;\n",
+    "view": "BEGIN;\nINSERT INTO t VALUES (%1$s);\n",
+    "error": "SELECT %1$s;\nROLLBACK;\n",
+    "signup": "UPDATE u SET n = %1$s;\nCOMMIT;\nSELECT 1;\n",
+}
+
+
+def _error_scripts(spark, sf):
+    """Scripts of all users, by event as a target that splits, holds nothing, or breaks a rule; versions are
+    event numbers, some with zeros in front."""
+    e = _t(spark, sf, "events")
+    text = F.coalesce(*[F.when(F.col("event_type") == t, F.format_string(tmpl, F.col("event_id"))) for t, tmpl in ERROR_TEMPLATES.items()])
+    version = F.concat(F.when(F.col("event_id") % 2 == 0, F.lit("000")).otherwise(F.lit("")), (F.col("event_id") + 1).cast("string"))
+    return e.select("user_id", "event_id", "event_type", version.alias("version"), F.concat(version, F.lit("_"), "event_type", F.lit(".sql")).alias("name"), text.alias("text"))
+
+
+def q_split_plan_errors(spark, sf):
+    """Targets that can't be split, are asked for twice or don't exist."""
+    scripts = _error_scripts(spark, sf)
+    asked = scripts.filter(F.col("event_id") % 3 != 0).select("user_id", "name")
+    ghosts = scripts.filter(F.col("event_id") % 50 == 0).select("user_id", F.concat(F.lit("ghost_"), "name").alias("name"))
+    plan = splitplan.split_plan(scripts.select("user_id", "name", "version", "text"), asked.unionByName(asked).unionByName(ghosts), ["user_id"])
+    return plan.select("user_id", "name", "segment_no", "new_name", "kind", "error")
+
+
+def q_split_blocked(spark, sf):
+    """The ordered changes of a plan, and which of them the remote history blocks."""
+    scripts = _split_scripts(spark, sf)
+    targets = scripts.filter(F.col("event_type") == "purchase").select("user_id", "name")
+    changes = splitplan.changes_by_source(splitplan.split_plan(scripts.drop("event_type"), targets, ["user_id"]), ["user_id"])
+    versions = changes.withColumn("version", F.split("name", "_")[0])
+    remote = scripts.filter(F.col("event_type") == "click").select("user_id", F.col("version").alias("remote")).distinct()
+    blocked = splitplan.blocked_by_remote(versions, remote, ["user_id"]).select("user_id", "name", F.lit(True).alias("blocked"))
+    return changes.join(blocked, ["user_id", "name"], "left").select("user_id", "change_no", "name", "kind", F.size("after_names").cast("long").alias("n_after"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+def q_resume_points(spark, sf):
+    """A queue per language, and where each goes on from a page; null where it has none."""
+    p = _t(spark, sf, "pages").select(F.regexp_replace("url", r"^https?://", "").alias("path")).distinct()
+    p = p.withColumn("lang", F.element_at(F.split("path", "/"), 2))
+    q = queue.load_queue(p, QUEUE_PATTERNS, group_cols=["lang"])
+    return queue.resume_points(q, " index.html ", ["lang"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -577,4 +657,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rechunk_statements": q_rechunk_statements,
     "schema_roundtrip": q_schema_roundtrip,
     "dump_split_validate": q_dump_split_validate,
+    "dump_file_plan": q_dump_file_plan,
+    "schema_members": q_schema_members,
+    "split_plan_errors": q_split_plan_errors,
+    "split_blocked": q_split_blocked,
+    "resume_points": q_resume_points,
 }

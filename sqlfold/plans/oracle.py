@@ -12,11 +12,6 @@ _CLASS = ("CASE event_type WHEN 'click' THEN 'schema' WHEN 'view' THEN 'data' WH
           "ELSE 'unknown' END")
 
 ORACLE = {
-    "dump_roundtrip": """
-SELECT 'public.nation' AS target, CAST(n_nationkey AS BIGINT) AS row_key, n_name AS value FROM nation
-UNION ALL SELECT 'public.region', CAST(r_regionkey AS BIGINT), r_name FROM region
-UNION ALL SELECT 'public.documents', CAST(doc_id AS BIGINT), replace(text, '.', '.'';--') FROM documents
-""",
     "dump_row_counts": """
 SELECT 'public.region' AS target, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT r_regionkey // 100) AS BIGINT) AS n_statements FROM region
 UNION ALL SELECT 'public.nation', count(*), count(DISTINCT n_nationkey // 100) FROM nation
@@ -303,7 +298,7 @@ SELECT CAST(user_id AS BIGINT) AS user_id, 'Jan 15 2024' AS last_deploy,
 FROM g
 """,
     "resumable_load": """
-SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents
+SELECT CAST(doc_id AS BIGINT) AS doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents
 """,
 }
 
@@ -371,20 +366,7 @@ SELECT CAST(stmt_no AS BIGINT) AS stmt_no, CAST(chunk_no AS BIGINT) AS chunk_no,
 FROM r GROUP BY stmt_no, chunk_no
 """
 
-ORACLE["schema_roundtrip"] = """
-WITH c AS (SELECT CASE p_type WHEN 'ECONOMY' THEN 3 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 6 WHEN 'LARGE' THEN 2
-                              WHEN 'STANDARD' THEN 1 ELSE 2 END AS n FROM part)
-SELECT 'schema.sql' AS file_id, CAST(count(*) AS BIGINT) AS n_statements, CAST(sum(n) AS BIGINT) AS n_lines,
-       CAST(sum(n) AS BIGINT) AS n_lines_back, true AS fingerprint_equal, CAST(NULL AS BIGINT) AS first_diff_line
-FROM c
-"""
 
-ORACLE["dump_split_validate"] = """
-SELECT 'public.documents' AS key, CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right, 'ok' AS status
-FROM documents
-UNION ALL SELECT 'public.orders', count(*), count(*), 'ok' FROM orders
-UNION ALL SELECT '(sequence lines)', 4, 4, 'ok'
-"""
 
 _PART_TEXTS = r"""
 parts AS (SELECT p_partkey, p_partkey % 14 AS t, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS z FROM part),
@@ -469,3 +451,101 @@ SELECT CAST(doc_id AS BIGINT), 'dml', CAST(n + 2 AS BIGINT), CAST(5 * n + n * (n
        'UPDATE v SET c = 2;', array_to_string(top, ', ')
 FROM dml
 """
+
+
+def _quoted(column: str) -> str:
+    return f"coalesce(chr(39) || replace(CAST({column} AS VARCHAR), chr(39), chr(39) || chr(39)) || chr(39), 'NULL')"
+
+
+_DOC_TEXT = "replace(text, '.', '.'';--')"
+_DOC_REST = " || ', ' || ".join(_quoted(c) for c in (_DOC_TEXT, "lang", "source", "n_chars"))
+
+ORACLE["dump_roundtrip"] = f"""
+WITH r AS (
+  SELECT 'public.nation' AS target, n_nationkey AS k, {_quoted("n_name")} || ', ' || {_quoted("n_regionkey")} AS rest FROM nation
+  UNION ALL SELECT 'public.region', r_regionkey, {_quoted("r_name")} FROM region
+  UNION ALL SELECT 'public.documents', doc_id, {_DOC_REST} FROM documents)
+SELECT target, CAST(k AS BIGINT) AS row_key, md5(rest) AS values_md5, CAST(length(rest) AS BIGINT) AS n_chars FROM r
+"""
+
+ORACLE["dump_split_validate"] = """
+WITH o AS (SELECT o_orderkey // 50 AS g, count(*) AS n FROM orders GROUP BY 1),
+d AS (SELECT doc_id // 50 AS g, count(*) AS n FROM documents GROUP BY 1),
+r AS (SELECT 'rows' AS what, 'public.documents' AS target, count(*) AS n FROM documents
+      UNION ALL SELECT 'rows', 'public.orders', count(*) FROM orders
+      UNION ALL SELECT 'statements', 'public.documents', sum(ceil(n / 7)) FROM d
+      UNION ALL SELECT 'statements', 'public.orders', sum(ceil(n / 30)) FROM o
+      UNION ALL SELECT 'sequence lines', NULL, 4)
+SELECT what, target, CAST(n AS BIGINT) AS n_left, CAST(n AS BIGINT) AS n_right, 'ok' AS status FROM r
+"""
+
+ORACLE["dump_file_plan"] = f"""
+WITH nat AS (SELECT 'INSERT INTO public.zeta (n_nationkey, n_name) VALUES' || string_agg(chr(10) || chr(9) || '(' || n_nationkey || ', ' || {_quoted("n_name")} || ')', ',' ORDER BY n_nationkey) || ';' AS text FROM nation),
+reg AS (SELECT 'INSERT INTO public.alpha (r_regionkey, r_name) VALUES' || string_agg(chr(10) || chr(9) || '(' || r_regionkey || ', ' || {_quoted("r_name")} || ')', ',' ORDER BY r_regionkey) || ';' AS text FROM region),
+o AS (SELECT o_orderkey, o_orderkey // 50 AS g, '(' || o_orderkey || ', ' || {_quoted("o_orderpriority")} || ')' AS tup FROM orders),
+c AS (SELECT *, (row_number() OVER (PARTITION BY g ORDER BY o_orderkey) - 1) // 30 AS c FROM o),
+ch AS (SELECT g, c, 'INSERT INTO public.mid (o_orderkey, o_orderpriority) VALUES' || string_agg(chr(10) || chr(9) || tup, ',' ORDER BY o_orderkey) || ' ON CONFLICT DO NOTHING;' AS text FROM c GROUP BY g, c),
+n AS (SELECT *, row_number() OVER (ORDER BY g, c) - 1 AS i FROM ch),
+seq(i, t) AS (VALUES (0, 'public.zeta'), (1, 'public.mid'), (2, 'public.beta'), (3, 'public.alpha')),
+sl AS (SELECT 2 * i + 1 AS p, 'SELECT pg_catalog.setval(' || chr(39) || t || '_id_seq' || chr(39) || ', 1, true);' AS text FROM seq
+       UNION ALL SELECT 2 * i + 2, '-- Name: ' || string_split(t, '.')[2] || '_id_seq; Type: SEQUENCE SET' FROM seq),
+r AS (
+  SELECT 0 AS section, 1 AS table_no, NULL AS part_no, 1 AS position, '001_setup.sql' AS file_name,
+         '-- Initial setup' || chr(10) || 'SET session_replication_role = ' || chr(39) || 'replica' || chr(39) || ';' AS text
+  UNION ALL SELECT 1, 2, NULL, 1, '002_public_zeta.sql', text FROM nat
+  UNION ALL SELECT 1, 3, NULL, 1, '003_public_copied.sql', 'INSERT INTO public.copied SELECT *' || chr(10) || 'FROM public.zeta;'
+  UNION ALL SELECT 1, 4, i // 20 + 1, i % 20 + 1, '004_public_mid_' || printf('%02d', i // 20 + 1) || '.sql', text FROM n
+  UNION ALL SELECT 1, 5, NULL, 1, '005_public_alpha.sql', text FROM reg
+  UNION ALL SELECT 2, 6, NULL, 1, '006_sequences.sql', '-- Sequence values'
+  UNION ALL SELECT 2, 6, NULL, p + 1, '006_sequences.sql', text FROM sl
+  UNION ALL SELECT 3, 999, NULL, 1, '999_cleanup.sql', '-- Cleanup' || chr(10) || 'RESET ALL;')
+SELECT CAST(section AS INTEGER) AS section, CAST(table_no AS BIGINT) AS table_no, CAST(part_no AS BIGINT) AS part_no, CAST(position AS BIGINT) AS position,
+       file_name, md5(text) AS text_md5
+FROM r
+"""
+
+ORACLE["schema_members"] = ORACLE["category_sequence"].rsplit("SELECT CAST(line_start", 1)[0] + """
+SELECT f.file_id, folder || '/' || printf('%04d', cat_seq) || '_' || lower(regexp_replace(object_name, '[^a-zA-Z0-9_]', '_', 'g')) || '.sql' AS file_name,
+       CAST(line_start AS BIGINT) AS line_start, CAST(line_start + n - 1 AS BIGINT) AS line_end, CAST(line_start + n - 1 AS BIGINT) AS index_end,
+       md5(body || chr(10)) AS text_md5, category AS folder_class
+FROM n AS named CROSS JOIN (VALUES ('schema.sql'), ('copy.sql')) f(file_id)
+"""
+
+ORACLE["split_plan_errors"] = """
+WITH s AS (SELECT user_id, event_id, event_type, event_id + 1 AS v,
+                  CASE WHEN event_id % 2 = 0 THEN '000' ELSE '' END || (event_id + 1) || '_' || event_type || '.sql' AS name,
+                  event_id % 3 <> 0 AS asked FROM events),
+ear AS (SELECT user_id, min(v) AS earliest FROM s WHERE asked GROUP BY 1),
+seg(segment_no) AS (VALUES (1), (2)),
+outs AS (SELECT s.*, earliest, segment_no, asked AND event_type = 'purchase' AS splits FROM s JOIN ear USING (user_id)
+         JOIN seg ON segment_no = 1 OR (asked AND event_type = 'purchase') WHERE v >= earliest),
+p AS (SELECT *, earliest + row_number() OVER (PARTITION BY user_id ORDER BY v, name, segment_no) - 1 AS nv FROM outs)
+SELECT CAST(user_id AS BIGINT) AS user_id, name, CAST(segment_no AS BIGINT) AS segment_no,
+       nv || '_' || CASE WHEN splits THEN event_type || CASE segment_no WHEN 1 THEN '_schema_1' ELSE '_data_2' END ELSE event_type END || '.sql' AS new_name,
+       CASE WHEN asked THEN 'split' ELSE 'renumber' END AS kind,
+       CASE WHEN NOT asked OR splits THEN NULL WHEN event_type = 'click' THEN 'no separable schema/data groups' WHEN event_type = 'view' THEN 'unbalanced BEGIN/COMMIT'
+            WHEN event_type = 'error' THEN 'top-level ROLLBACK' ELSE 'transaction statements inside the script' END AS error
+FROM p
+UNION ALL
+SELECT CAST(user_id AS BIGINT), 'ghost_' || name, NULL, NULL, 'split', 'script not found' FROM s WHERE event_id % 50 = 0
+"""
+
+ORACLE["split_blocked"] = f"""
+WITH e AS (SELECT user_id, event_id, event_type, {_V} AS version FROM events),
+ear AS (SELECT user_id, min(version) AS earliest FROM e WHERE event_type = 'purchase' GROUP BY 1),
+t AS (SELECT e.*, version || '_' || event_type || '_' || event_id || '.sql' AS name FROM e JOIN ear USING (user_id) WHERE version >= earliest),
+rem AS (SELECT DISTINCT user_id, version, true AS blocked FROM e WHERE event_type = 'click')
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY length(version), version, name) AS BIGINT) AS change_no, name,
+       CASE WHEN event_type = 'purchase' THEN 'split' ELSE 'renumber' END AS kind, CAST(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS BIGINT) AS n_after,
+       coalesce(blocked, false) AS blocked
+FROM t LEFT JOIN rem USING (user_id, version)
+"""
+
+ORACLE["resume_points"] = r"""
+WITH f AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages),
+p(pattern_no, rx) AS (VALUES (1, '[^/]*\.example\.com/en/[^/]*'), (2, '[^/]*\.example\.org/[^/]*/[^/]*'), (3, 'blog\.[^/]*/[^/]*/[^/]*')),
+m AS (SELECT path, string_split(path, '/')[2] AS lang, min(pattern_no) AS pattern_no FROM f JOIN p ON regexp_full_match(path, rx) GROUP BY path),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pattern_no, path) AS queue_no FROM m)
+SELECT lang, CAST(min(CASE WHEN string_split(path, '/')[-1] = 'index.html' OR path = 'index.html' OR ends_with(path, '/index.html') THEN queue_no END) AS BIGINT) AS resume_no
+FROM q GROUP BY lang
+"""
