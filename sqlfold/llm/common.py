@@ -116,17 +116,18 @@ def _contract(batches):
     yield pd.DataFrame({"a": held[0], "b": held[1]})
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, spanned: bool = False, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (a long, b long) reaches.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) on tables in the
-    shared folder, after each partition has replaced its links by spanning ones. A round is
+    shared folder, after each partition has replaced its links by spanning ones (``spanned``:
+    the links come so; a second Python worker beside theirs would do nothing). A round is
     a grouping with partial aggregation and a join on the node; nothing but two sums reaches
     the driver, which stops when a round changes no link.
     """
     spark = session(links)
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = stage(ends.mapInPandas(_contract, "a long, b long").where("a <> b").distinct(), "links")
+    now = stage((ends if spanned else ends.mapInPandas(_contract, "a long, b long")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u moves to the smallest of u and its neighbours

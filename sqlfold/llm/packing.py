@@ -33,7 +33,7 @@ class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers. Each new segment is encoded once;
     what is held is forgotten at ``held`` segments."""
 
-    def __init__(self, vocabulary: str, ranks: str, held: int = 400_000):
+    def __init__(self, vocabulary: str, ranks: str, held: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -97,7 +97,7 @@ def cut_table(capacity: int, max_waste: float) -> list[list[tuple[int, int]]]:
     return table
 
 
-def _cut(capacity: int, max_waste: float, vocabulary: str, ranks: str, end_id: int, with_ids: bool, batch_pieces: int = 20_000):
+def _cut(capacity: int, max_waste: float, vocabulary: str, ranks: str, end_id: int, with_ids: bool, batch_pieces: int = 2_000):
     def run(batches):
         from pyspark import TaskContext
 
@@ -126,7 +126,7 @@ def _cut(capacity: int, max_waste: float, vocabulary: str, ranks: str, end_id: i
     return run
 
 
-def _encoded(codes: Encoder, pdf: pd.DataFrame, chars: int = 2_000_000):
+def _encoded(codes: Encoder, pdf: pd.DataFrame, chars: int = 1_000_000):
     """(id, ids) of each row; texts are encoded together up to ``chars`` characters."""
     docs, texts, size = [], [], 0
     for doc, text in zip(pdf["id"], pdf["text"]):

@@ -17,7 +17,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, textvec
 
@@ -144,7 +144,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     """
     prints = common.stage(fingerprints(df, id_col, text_col, shingle), "simhash")
     groups = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    comps = common.connected_components(links(prints, radius))
+    comps = common.connected_components(links(prints, radius), spanned=True)
     rooted = groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
@@ -158,9 +158,13 @@ def representatives(df: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     smallest text stays. Rows with a null id stay only in groups without any other id.
     """
     found = near_duplicates(df, id_col, text_col, shingle, radius)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_keep_id")).distinct()
-    kept = df.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    from pyspark.sql import Window
-
+    own = found.where(F.col("id").eqNullSafe(F.col("component")))
+    keep = common.stage(own.groupBy(F.col("id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_copies")), "simhash-kept")
+    # the ids are the side that is hashed: texts are shuffled, but neither sorted nor held
+    kept = df.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_keep_id")))
     first = Window.partitionBy(F.col(id_col)).orderBy(F.col(text_col).asc_nulls_last())
-    return kept.withColumn("_copy_no", F.row_number().over(first)).where("_copy_no = 1").drop("_copy_no")
+    single = kept.where("_copies = 1")
+    if not keep.where("_copies > 1").isEmpty():
+        repeated = kept.where("_copies > 1").withColumn("_copy_no", F.row_number().over(first)).where("_copy_no = 1").drop("_copy_no")
+        single = single.unionByName(repeated)
+    return single.drop("_keep_id", "_copies")
