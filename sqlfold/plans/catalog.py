@@ -18,7 +18,7 @@ from ..operators import audit, evidence, ledger, packing, queue, reconcile, repl
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
 from ..sources.text import parse_ledger
-from .render import injected_text, insert_dump, sql_quote, tuple_text
+from .render import injected_text, insert_dump, numbered, sql_quote, tuple_text
 
 # Fixed parameters of the registered queries ----------------------------------
 CUTOFF = "20240115000000"
@@ -66,8 +66,8 @@ def _dump(df, file_id, target, key, **more):
 
 def _roundtrip_lines(spark, sf):
     nation, region, docs = (_t(spark, sf, t) for t in ("nation", "region", "documents"))
-    return (_dump(nation, "nation.sql", "public.nation", "n_nationkey").unionByName(_dump(region, "region.sql", "public.region", "r_regionkey"))
-            .unionByName(_dump(docs, "documents.sql", '"public"."documents"', "doc_id")))
+    return numbered(_dump(nation, "nation.sql", "public.nation", "n_nationkey"), _dump(region, "region.sql", "public.region", "r_regionkey"),
+                    _dump(docs, "documents.sql", '"public"."documents"', "doc_id"))
 
 
 def q_dump_roundtrip(spark, sf):
@@ -80,11 +80,8 @@ def q_dump_roundtrip(spark, sf):
 
 def q_dump_row_counts(spark, sf):
     specs = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")]
-    lines = None
-    for t, k in specs:
-        d = _dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k, rows_per_stmt=100)
-        lines = d if lines is None else lines.unionByName(d)
-    st = statements.statements_from_scan(statements.dump_scan(lines))
+    lines = numbered(*[_dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k, rows_per_stmt=100) for t, k in specs])
+    st = statements.statements_from_counts(statements.count_scan(lines))
     return st.groupBy("target").agg(F.sum("n_rows").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_statements"))
 
 
@@ -482,7 +479,7 @@ def q_rechunk_statements(spark, sf):
     o = _t(spark, sf, "orders")
     lines = insert_dump(o, "orders.sql", "public.orders", "o_orderkey", [sql_quote(F.col("o_orderpriority"))],
                         "o_orderkey, o_orderpriority", rows_per_stmt=100)
-    scan = statements.dump_scan(lines)
+    scan = statements.dump_scan(numbered(lines))
     rows = statements.rows_from_scan(scan)
     st = statements.statements_from_scan(scan)
     lim = rows.select("target").distinct().select(
@@ -541,8 +538,8 @@ SPLIT_RULES = {"public.documents": {"maxRowsPerInsert": 7},
 
 
 def _split_dumps(spark, sf):
-    return (_dump(_t(spark, sf, "documents"), "documents.sql", "public.documents", "doc_id")
-            .unionByName(_dump(_t(spark, sf, "orders"), "orders.sql", "public.orders", "o_orderkey")))
+    return numbered(_dump(_t(spark, sf, "documents"), "documents.sql", "public.documents", "doc_id"),
+                    _dump(_t(spark, sf, "orders"), "orders.sql", "public.orders", "o_orderkey"))
 
 
 def q_dump_split_validate(spark, sf):
@@ -570,10 +567,7 @@ def q_dump_file_plan(spark, sf):
     copied = ("INSERT INTO public.copied SELECT *", "FROM public.zeta;")
     dumps = [_dump(nation, "1-a.sql", "public.zeta", "n_nationkey", extra=copied), _dump(orders, "2-b.sql", "public.mid", "o_orderkey", tail=" ON CONFLICT DO NOTHING"),
              _dump(nation, "3-c.sql", "public.beta", "n_nationkey"), _dump(region, "4-d.sql", "public.alpha", "r_regionkey")]
-    lines = dumps[0]
-    for d in dumps[1:]:
-        lines = lines.unionByName(d)
-    plan = file_plan(lines, rules_from_json(spark, PLAN_RULES))
+    plan = file_plan(numbered(*dumps), rules_from_json(spark, PLAN_RULES))
     return plan.select("section", F.col("table_no").cast("long").alias("table_no"), "part_no", "position", "file_name", F.md5("text").alias("text_md5"))
 
 

@@ -124,3 +124,15 @@ def test_many_small_files_skip_speculation(spark):
     got = statements.rows_from_scan(statements.dump_scan(df, num_partitions=4)).select("target", "tuple").collect()
     assert sorted((r.target, r.tuple) for r in got) == sorted(expect)
     assert S.STATS["speculated_partitions"] == before  # one-line files never continue across partitions
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_counts_equal_the_full_scan(spark, parts):
+    lines = ["INSERT INTO public.f (id) VALUES", "\t(1), (2),", "\t('a;", "b');", "SELECT pg_catalog.setval('x', 1);", "INSERT INTO public.g SELECT 1;",
+             "INSERT INTO public.f (id) VALUES (1) ON CONFLICT DO NOTHING;"]
+    df = spark.createDataFrame([("d.sql", i + 1, ln) for i, ln in enumerate(lines)], "file_id string, line_no long, line string")
+    full = statements.statements_from_scan(statements.dump_scan(df, num_partitions=parts))
+    counts = statements.count_scan(df, num_partitions=parts)
+    cols = ["stmt_no", "line_start", "line_end", "target", "n_lines", "n_bytes", "n_rows"]
+    assert sorted(map(tuple, statements.statements_from_counts(counts).select(cols).collect())) == sorted(map(tuple, full.select(cols).collect()))
+    assert counts.filter("stmt_no is null").count() == 1
