@@ -150,6 +150,13 @@ def missing_requests(requested: DataFrame, scripts: DataFrame, corpus_cols: Sequ
     return requested.join(scripts.select(*c, name_col), c + [name_col], "left_anti")
 
 
+def class_lookup(names: DataFrame, audit: DataFrame, corpus_cols: Sequence[str], name_col: str = "name") -> DataFrame:
+    """Classification by name, ``unknown`` when the audit has no row."""
+    c = list(corpus_cols)
+    found = names.join(audit.select(*c, name_col, "classification"), c + [name_col], "left")
+    return found.withColumn("classification", F.coalesce("classification", F.lit("unknown")))
+
+
 def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str] = ("corpus_id",)) -> DataFrame:
     """End-to-end plan for splitting the target scripts of each corpus.
 

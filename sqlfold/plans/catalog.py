@@ -13,7 +13,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import evidence_phrase, redact
+from ..functions.text import evidence_phrase, quoted_entries, redact
 from ..operators import audit, evidence, ledger, packing, queue, reconcile, replay, splitplan, statements
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
@@ -153,6 +153,11 @@ def q_reconcile_counts(spark, sf):
     return reconcile.reconcile_counts(left, right)
 
 
+def q_first_mismatches(spark, sf):
+    """The first ten problems of a reconciliation; the limit is the report's."""
+    return reconcile.first_mismatches(q_reconcile_counts(spark, sf), 10)
+
+
 def q_fingerprint_by_group(spark, sf):
     d = _t(spark, sf, "documents")
     return reconcile.member_fingerprint(d, ["source", "lang"], "doc_id", "text").withColumn(
@@ -404,6 +409,25 @@ def _paths(spark, sf):
     return _t(spark, sf, "pages").select(F.regexp_replace("url", r"^https?://", "").alias("path")).distinct()
 
 
+def q_quoted_entries(spark, sf):
+    """Entries of a quoted list in a text, and the pattern that the first of them is as a glob."""
+    p = _t(spark, sf, "pages")
+    text = F.concat(F.lit('sql_paths = ["./'), F.col("url"), F.lit("\", 'seed/"), F.col("page_id").cast("string"), F.lit("_*.sql', \"\" ]"))
+    entries = quoted_entries(text)
+    return p.select("page_id", F.size(entries).cast("long").alias("n"), F.array_join(entries, "|").alias("entries"))
+
+
+def q_split_scope(spark, sf):
+    """Mixed scripts to split, all of them and those after the cutoff; what the strict policy says of them."""
+    scripts = _scripts(spark, sf).join(_event_versions(spark, sf).select("event_id", "version"), "event_id")
+    audited = audit.classify_scripts(scripts)
+    every = splitplan.split_scope(audited, scope="all").select("user_id", "event_id", "version", "classification")
+    later = splitplan.split_scope(audited, CUTOFF).select("event_id", F.lit(True).alias("after_cutoff"))
+    both = every.join(later, "event_id", "left").withColumn("phase", replay.phase(F.col("version"), F.lit(CUTOFF)))
+    return both.select("user_id", "event_id", F.coalesce("after_cutoff", F.lit(False)).alias("after_cutoff"),
+                       replay.mixed_policy(F.col("phase"), F.col("classification"), strict=True).alias("strict_policy"))
+
+
 def q_load_queue(spark, sf):
     q = queue.load_queue(_paths(spark, sf), QUEUE_PATTERNS)
     return q.withColumn("pattern_no", F.col("pattern_no").cast("long"))
@@ -606,7 +630,10 @@ def q_split_blocked(spark, sf):
     versions = changes.withColumn("version", F.split("name", "_")[0])
     remote = scripts.filter(F.col("event_type") == "click").select("user_id", F.col("version").alias("remote")).distinct()
     blocked = splitplan.blocked_by_remote(versions, remote, ["user_id"]).select("user_id", "name", F.lit(True).alias("blocked"))
-    return changes.join(blocked, ["user_id", "name"], "left").select("user_id", "change_no", "name", "kind", F.size("after_names").cast("long").alias("n_after"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    # The audit knows the scripts that are no clicks
+    known = audit.classify_scripts(scripts.filter(F.col("event_type") != "click"))
+    marked = splitplan.class_lookup(changes.join(blocked, ["user_id", "name"], "left"), known, ["user_id"])
+    return marked.select("user_id", "change_no", "name", "kind", F.size("after_names").cast("long").alias("n_after"), F.coalesce("blocked", F.lit(False)).alias("blocked"), "classification")
 
 
 def q_resume_points(spark, sf):
@@ -656,4 +683,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_plan_errors": q_split_plan_errors,
     "split_blocked": q_split_blocked,
     "resume_points": q_resume_points,
+    "first_mismatches": q_first_mismatches,
+    "quoted_entries": q_quoted_entries,
+    "split_scope": q_split_scope,
 }

@@ -537,7 +537,8 @@ t AS (SELECT e.*, version || '_' || event_type || '_' || event_id || '.sql' AS n
 rem AS (SELECT DISTINCT user_id, version, true AS blocked FROM e WHERE event_type = 'click')
 SELECT CAST(user_id AS BIGINT) AS user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY length(version), version, name) AS BIGINT) AS change_no, name,
        CASE WHEN event_type = 'purchase' THEN 'split' ELSE 'renumber' END AS kind, CAST(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS BIGINT) AS n_after,
-       coalesce(blocked, false) AS blocked
+       coalesce(blocked, false) AS blocked,
+       CASE event_type WHEN 'purchase' THEN 'mixed' WHEN 'view' THEN 'data' WHEN 'signup' THEN 'data' ELSE 'unknown' END AS classification
 FROM t LEFT JOIN rem USING (user_id, version)
 """
 
@@ -549,3 +550,16 @@ q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pattern_no, path)
 SELECT lang, CAST(min(CASE WHEN string_split(path, '/')[-1] = 'index.html' OR path = 'index.html' OR ends_with(path, '/index.html') THEN queue_no END) AS BIGINT) AS resume_no
 FROM q GROUP BY lang
 """
+
+ORACLE["first_mismatches"] = f"""
+SELECT * FROM ({ORACLE["reconcile_counts"]}) WHERE status <> 'ok' ORDER BY key LIMIT 10
+"""
+
+ORACLE["quoted_entries"] = """
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(2 AS BIGINT) AS n, './' || url || '|seed/' || page_id || '_*.sql' AS entries FROM pages
+"""
+
+ORACLE["split_scope"] = f"""
+SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS event_id, {_V} > {_CUT} AS after_cutoff, 'fail' AS strict_policy
+FROM events WHERE event_type = 'purchase'
+"""
