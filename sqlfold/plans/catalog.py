@@ -81,8 +81,7 @@ def q_dump_roundtrip(spark, sf):
 def q_dump_row_counts(spark, sf):
     specs = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")]
     lines = numbered(*[_dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k, rows_per_stmt=100) for t, k in specs])
-    st = statements.statements_from_counts(statements.count_scan(lines))
-    return st.groupBy("target").agg(F.sum("n_rows").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_statements"))
+    return reconcile.rows_per_target(statements.statements_from_counts(statements.count_scan(lines)))
 
 
 # ---------------------------------------------------------------------------
