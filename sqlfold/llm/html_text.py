@@ -33,7 +33,11 @@ CLOSES = {
     "td": ({"td", "th", "caption"}, {"tr", "table"}), "th": ({"td", "th", "caption"}, {"tr", "table"}), "tr": ({"tr", "caption"}, {"table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"}), "caption": ({"tr", "caption"}, {"table"}),
+    "rp": ({"rb", "rp", "rt"}, {"ruby", "table"}), "rt": ({"rb", "rp", "rt"}, {"ruby", "table"}),
+    "rb": ({"rb", "rp", "rt", "rtc"}, {"ruby", "table"}), "rtc": ({"rb", "rp", "rt", "rtc"}, {"ruby", "table"}),
 }
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 BARRIER = frozenset("table td th caption button object template html".split())
 
@@ -212,6 +216,8 @@ def render(page: str, widest: int = 60) -> str:
         return False
 
     def put(s: str) -> None:
+        if stack and stack[-1][0] == "head" and html.unescape(s).strip(" \t\n\f\r"):
+            close()  # its end tag may be left out
         if hidden or shaded or not s:
             return
         if "&" in s:
@@ -253,6 +259,8 @@ def render(page: str, widest: int = 60) -> str:
             for a in _ATTR.finditer(m[3]):
                 given.setdefault(a[1].lower(), html.unescape(a[2].strip("\"'")) if a[2] else "")
         # implied ends
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close()
         if tag in ENDS_P and count.get("p"):
             close_to({"p"}, BARRIER)
         if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:

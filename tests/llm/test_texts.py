@@ -44,6 +44,10 @@ SF = "/root/testdata/sf0.001"
         ("<textarea>\n k &amp;\n l</textarea>", " k &\n l"),
         ("<table>lost<tr><td>in</table>out", "lost\n\nin\n\nout"),
         ("", ""),
+        ("<html><head><title>t</title><body><p>Hello", "Hello"),
+        ("<head><meta charset=utf-8><title>t</title> <noscript><p>n</noscript><p>Hello", "Hello"),
+        ("<head><script>s</script> &#32; Hello <b>you</b>", "Hello you"),
+        ("<ruby>x<rp>(<rt>y<rp>)</ruby>z", "xyz"),
     ],
 )
 def test_render(page, text):
