@@ -43,9 +43,11 @@ BARRIER = frozenset("table td th caption button object template html".split())
 
 _TAG = re.compile(
     r"<(?:!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z>][^>]*+(?:>|\Z)|/>"
-    r"|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z))"
+    r"|(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+    # a quote opens a value right after the equals sign only
+    r"(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?+)?+)*+)(>|\Z))"
 )
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
+_ATTR = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+))?+)?+")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _DEEPEST = 60
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
@@ -257,7 +259,7 @@ def render(page: str, widest: int = 60) -> str:
         given = dict()
         if m[3]:
             for a in _ATTR.finditer(m[3]):
-                given.setdefault(a[1].lower(), html.unescape(a[2].strip("\"'")) if a[2] else "")
+                given.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         # implied ends
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             close()

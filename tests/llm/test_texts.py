@@ -48,6 +48,10 @@ SF = "/root/testdata/sf0.001"
         ("<head><meta charset=utf-8><title>t</title> <noscript><p>n</noscript><p>Hello", "Hello"),
         ("<head><script>s</script> &#32; Hello <b>you</b>", "Hello you"),
         ("<ruby>x<rp>(<rt>y<rp>)</ruby>z", "xyz"),
+        ("<p title=it's>Hello <b>world</b> tail", "Hello world tail"),
+        ('<a href="x"">link</a> text', "link text"),
+        ("""<a ' href=x"y' title = 'a>b'c>link</a> it's "text\"""", """link it's "text\""""),
+        ("<p =\"x>a</p =' ><i style='display:none'\">no</i>b<p title=>c", "a\n\nb\n\nc"),
     ],
 )
 def test_render(page, text):
