@@ -4,7 +4,8 @@ Markup goes through a stack of open elements that adds the end tags HTML leaves
 (paragraphs, list items, table parts, options); what scripts, styles, templates, hidden
 elements and comments hold is not visible and not emitted. Blocks become lines, with a
 blank line where a margin is; list items get markers and indents; the cells of a table
-are set in aligned columns. Everything runs in one pass over a page without recursion,
+are set in aligned columns. Of svg and math, the labels and the formula are text of the
+line they stand in. Everything runs in one pass over a page without recursion,
 so depth and length are bounded by the page itself.
 """
 
@@ -20,7 +21,7 @@ from . import common
 
 # Element names of the HTML standard, by what they do here.
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript iframe noembed noframes object audio video canvas svg math title datalist rp head".split())
+UNSEEN = frozenset("script style template noscript iframe noembed noframes object audio video canvas title datalist rp head".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre listing xmp table figure fieldset hr form".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog div dd dt figcaption footer header hgroup legend li main nav option optgroup search section select summary caption".split())
@@ -36,10 +37,19 @@ CLOSES = {
     "rp": ({"rb", "rp", "rt"}, {"ruby", "table"}), "rt": ({"rb", "rp", "rt"}, {"ruby", "table"}),
     "rb": ({"rb", "rp", "rt", "rtc"}, {"ruby", "table"}), "rtc": ({"rb", "rp", "rt", "rtc"}, {"ruby", "table"}),
 }
+#: HTML start tags that end open svg and math, and what holds HTML inside them.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {"svg": frozenset({"foreignobject", "desc", "title"}), "math": frozenset("mi mo mn ms mtext".split())}
+#: Elements of svg and math that show nothing, and parts of a formula that stand apart.
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient style script".split()),
+    "math": frozenset("annotation annotation-xml mphantom style script".split()),
+}
+APART = frozenset("mfrac mtable mtr mlabeledtr".split())
 #: Start tags that leave an open head open.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
-BARRIER = frozenset("table td th caption button object template html".split())
+BARRIER = frozenset("table td th caption button object template html foreignobject desc mi mo mn ms mtext".split())
 
 _TAG = re.compile(
     r"<(?:!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z>][^>]*+(?:>|\Z)|/>"
@@ -160,7 +170,8 @@ def _number(value: str | None, default: int, low: int, high: int) -> int:
 def render(page: str, widest: int = 60) -> str:
     """The visible text of one page."""
     flow = _Flow()
-    #: (tag, hidden before, shaded before, what ending it has to put back)
+    #: (tag, hidden before, shaded before, what ending it has to put back, what its content is:
+    #: "" for HTML, "math", "svg" (only text elements show text), "label" for such an element)
     stack: list[tuple] = []
     count: dict[str, int] = {}
     hidden = shaded = False
@@ -171,8 +182,13 @@ def render(page: str, widest: int = 60) -> str:
 
     def close() -> None:
         nonlocal hidden, shaded, pre, flow
-        tag, was_hidden, was_shaded, back = stack.pop()
+        tag, was_hidden, was_shaded, back, foreign = stack.pop()
         count[tag] -= 1
+        if foreign:
+            if tag == "text":
+                flow.space = True
+            hidden, shaded = was_hidden, was_shaded
+            return
         if tag in ("td", "th", "caption") and back is not None:
             flow.line()
             lines = flow.lines
@@ -217,14 +233,16 @@ def render(page: str, widest: int = 60) -> str:
                 return False
         return False
 
-    def put(s: str) -> None:
+    def put(s: str, marked: bool = True) -> None:
         if stack and stack[-1][0] == "head" and html.unescape(s).strip(" \t\n\f\r"):
             close()  # its end tag may be left out
         if hidden or shaded or not s:
             return
-        if "&" in s:
+        if marked and "&" in s:
             s = html.unescape(s)
-        inside = stack[-1] if stack else ("", False, False, None)
+        inside = stack[-1] if stack else ("", False, False, None, "")
+        if inside[4] == "svg" or inside[4] == "math" and not s.strip(" \t\n\f\r"):
+            return
         if inside[0] == "details" and inside[3] == "shut":
             return  # its summary is shown, text right under it is not
         if inside[0] in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip(" \t\n\f\r"):
@@ -243,10 +261,17 @@ def render(page: str, widest: int = 60) -> str:
             break
         pos = m.end()
         if m[2] is None:
+            if stack and stack[-1][4] and page.startswith("<![CDATA[", m.start()):
+                end = page.find("]]>", m.start() + 9)
+                put(page[m.start() + 9 : end if end >= 0 else len(page)], marked=False)
+                pos = end + 3 if end >= 0 else len(page)
             continue
         if m[4] != ">":
             break  # the page ends inside a tag
         tag = m[2].lower()
+        if tag == "br" or m[1] and tag == "p":
+            while stack and stack[-1][4]:
+                close()
         if m[1] and tag != "br":  # </br> is read as <br>
             if count.get(tag):
                 # an end tag closes nothing outside the cell it stands in, but for table parts
@@ -257,12 +282,35 @@ def render(page: str, widest: int = 60) -> str:
                 flow.block(True)
             continue
         given = dict()
+        a = None
         if m[3]:
             for a in _ATTR.finditer(m[3]):
                 given.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         # implied ends
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             close()
+        if tag in BREAKOUT or tag == "font" and given.keys() & {"color", "face", "size"}:
+            while stack and stack[-1][4]:
+                close()
+        around = stack[-1][4] if stack else ""
+        foreign = around or (tag if tag in ("svg", "math") else "")
+        if foreign:
+            style = given.get("style", "")
+            kind = "math" if foreign == "math" else "svg"
+            gone = tag in FOREIGN_UNSEEN[kind] or "hidden" in given or bool(style and _HIDES.search(style))
+            gone = gone or kind == "svg" and given.get("display", "").strip().lower() == "none"
+            gone = gone or not around and bool(stack) and stack[-1][0] == "details" and stack[-1][3] == "shut"
+            shade = _SHADE.search(style or (f"visibility:{given['visibility']}" if kind == "svg" and "visibility" in given else ""))
+            if kind == "math" and around and stack[-1][0] in APART or tag == "text" or tag == "tspan" and given.keys() & {"x", "y", "dy"}:
+                flow.space = True
+            if m[3].endswith("/") and not (a and a.end() == len(m[3])):
+                continue  # <path/> has no content
+            if kind == "svg":
+                foreign = "label" if tag == "text" or around == "label" and tag in ("tspan", "textpath", "a") else "svg"
+            stack.append((tag, hidden, shaded, None, "" if tag in HOLDS_HTML[kind] else foreign))
+            count[tag] = count.get(tag, 0) + 1
+            hidden, shaded = hidden or gone, shade[1].lower() != "visible" if shade else shaded
+            continue
         if tag in ENDS_P and count.get("p"):
             close_to({"p"}, BARRIER)
         if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
@@ -275,7 +323,7 @@ def render(page: str, widest: int = 60) -> str:
             while stack and stack[-1][0] not in ("table", "tbody", "thead", "tfoot", "tr"):
                 close()
             if not stack or stack[-1][0] != "tr":
-                stack.append(("tr", hidden, shaded, None))
+                stack.append(("tr", hidden, shaded, None, ""))
                 count["tr"] = count.get("tr", 0) + 1
                 tables[-1].rows.append([])
 
@@ -347,7 +395,7 @@ def render(page: str, widest: int = 60) -> str:
             pre += 1
             if page.startswith("\n", pos):
                 pos += 1
-        stack.append((tag, hidden, shaded, back))
+        stack.append((tag, hidden, shaded, back, ""))
         count[tag] = count.get(tag, 0) + 1
         hidden, shaded = now_hidden, now_shaded
     while stack:

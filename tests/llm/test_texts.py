@@ -51,6 +51,11 @@ SF = "/root/testdata/sf0.001"
         ("<p title=it's>Hello <b>world</b> tail", "Hello world tail"),
         ('<a href="x"">link</a> text', "link text"),
         ("""<a ' href=x"y' title = 'a>b'c>link</a> it's "text\"""", """link it's "text\""""),
+        ("<p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn><annotation>x=2</annotation></math> be", "Let x=2 be"),
+        ("<math><mfrac><mn>1</mn><mrow><mn>2</mn><mi>n</mi></mrow></mfrac><mspace/><mtext>if <b>so</b></mtext></math>.", "1 2nif so."),
+        ("a <svg><title>t</title><desc>d</desc><defs><text>no</text></defs><path d='M0'/>no<text>one <tspan>two</tspan></text><text y=3>three</text></svg> b", "a one two three b"),
+        ("<svg><style>s</style><title/><g display=none><text>no</text></g><a><text><![CDATA[1 < 2 &amp;]]></text></a><foreignObject><p>in</p></foreignObject></svg>z", "1 < 2 &amp;\n\nin\n\nz"),
+        ("<svg><path d=x><p>Hello</p><svg><g></p>there", "Hello\n\nthere"),
         ("<p =\"x>a</p =' ><i style='display:none'\">no</i>b<p title=>c", "a\n\nb\n\nc"),
     ],
 )
