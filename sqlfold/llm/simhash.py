@@ -17,7 +17,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, textvec
 
@@ -63,8 +63,8 @@ def _fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndar
     return np.ascontiguousarray(ones).view("<u8").ravel().view(np.int64)
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
-    """(id, fp): one row per input row, in one pass over the texts without a shuffle.
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """(id, fp, carried columns): one row per input row, in one pass over the texts without a shuffle.
 
     A-Z is lower-cased, words are runs of other than space and tab to carriage return, a
     shingle is ``shingle`` words joined by one space (repeats count; a text with fewer words
@@ -72,14 +72,17 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) ->
     Null and wordless texts: fingerprint zero.
     """
 
+    carry = carry or []
+
     def run(batches):
         for batch in batches:
             fp = np.concatenate([np.empty(0, np.int64), *[_fingerprints(raw, at, shingle) for raw, at in textvec.slices(batch.column(1))]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], ["id", "fp", *carry])
 
     common.session(df)
-    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long")
+    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
+    fields = [f"id {picked.schema['id'].dataType.simpleString()}", "fp long", *[f"{c} {picked.schema[c].dataType.simpleString()}" for c in carry]]
+    return picked.mapInArrow(run, ", ".join(fields))
 
 
 def _compare(radius: int):
@@ -135,6 +138,14 @@ def links(prints: DataFrame, radius: int = 2, tile_rows: int = 4096) -> DataFram
     return common.pair_up(pairs, packed, packed).select("a_fp", "b_fp").mapInPandas(_compare(radius), "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int, least: Column) -> DataFrame:
+    """(fp, least, root): each distinct fingerprint of ``prints``, the smallest ``least`` of its
+    rows, and the smallest fingerprint that chains of fingerprints within ``radius`` bits reach."""
+    groups = prints.groupBy("fp").agg(F.min(least).alias("least"))
+    comps = common.connected_components(links(prints, radius), spanned=True)
+    return groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, radius: int = 2) -> DataFrame:
     """(id, fp, component): one row per input row; ``component`` is the smallest id of the
     rows that chains of fingerprints within ``radius`` bits reach.
@@ -143,28 +154,37 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     id. An empty table gives an empty result.
     """
     prints = common.stage(fingerprints(df, id_col, text_col, shingle), "simhash")
-    groups = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    comps = common.connected_components(links(prints, radius), spanned=True)
-    rooted = groups.join(comps, groups["fp"] == comps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, radius, F.col("id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(least, "root").select("fp", "component")
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def _row_key(df: DataFrame) -> list[Column]:
+    """Two hashes of the whole row, maps apart: rows of equal keys are the same row twice."""
+    given = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    # a null leaves a hash as it is, so which columns are null is hashed as well
+    nulls = F.concat(F.lit("-"), *[F.col(c).isNull().cast("int").cast("string") for c in given])
+    return [F.xxhash64(*given, nulls), F.xxhash64(nulls, *given)]
+
+
 def representatives(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``df``, all columns, whose id names their component: one row of each group.
+    """The rows of ``df``, all columns, that stand for their groups: exactly one row of each.
 
-    Rows that repeat an id and are all representatives count as copies: the one with the
-    smallest text stays. Rows with a null id stay only in groups without any other id.
+    It is the row with the smallest id (null ids last), then the smallest hash of the row;
+    other rows of its id stay if they stand for their own groups.
     """
-    found = near_duplicates(df, id_col, text_col, shingle, radius)
-    own = found.where(F.col("id").eqNullSafe(F.col("component")))
-    keep = common.stage(own.groupBy(F.col("id").alias("_keep_id")).agg(F.count(F.lit(1)).alias("_copies")), "simhash-kept")
-    # the ids are the side that is hashed: texts are shuffled, but neither sorted nor held
-    kept = df.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_keep_id")))
-    first = Window.partitionBy(F.col(id_col)).orderBy(F.col(text_col).asc_nulls_last())
-    single = kept.where("_copies = 1")
-    if not keep.where("_copies > 1").isEmpty():
-        repeated = kept.where("_copies > 1").withColumn("_copy_no", F.row_number().over(first)).where("_copy_no = 1").drop("_copy_no")
-        single = single.unionByName(repeated)
-    return single.drop("_keep_id", "_copies")
+    row = ["_row_a", "_row_b"]
+    keyed = df.withColumns(dict(zip(row, _row_key(df))))
+    prints = common.stage(fingerprints(keyed, id_col, text_col, shingle, row), "simhash")
+    rooted = _rooted(prints, radius, F.struct(F.col("id").isNull().alias("none"), "id", *row))
+    best = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{c}").alias(f"_keep{c}") for c in row])
+    again = prints.groupBy(*row).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    same = [F.col(c) == F.col(f"_keep{c}") for c in row]
+    keep = common.stage(best.join(again, same, "left").drop(*row), "simhash-kept")
+    # the keys are the side that is hashed: texts are shuffled, but neither sorted nor held
+    kept = keyed.join(keep.hint("shuffle_hash"), same)
+    single = kept.where("_copies is null")
+    if not keep.where("_copies is not null").isEmpty():
+        single = single.unionByName(kept.where("_copies is not null").dropDuplicates(row))
+    return single.select(*[F.col(f"`{c}`") for c in df.columns])

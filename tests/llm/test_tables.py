@@ -113,6 +113,17 @@ def test_simhash_odd_rows(spark):
     assert simhash.representatives(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Whatever the ids: missing, repeated over groups, or of a copy and a leader."""
+    words = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(None, words("a"), 1), (None, words("b"), 1), (None, words("b"), 1), (None, None, 1), (None, words("c"), None), (8, words("c"), 2)]
+    rows += [(1, words("d"), 1), (1, words("e"), 1), (2, words("d"), 1), (2, words("f"), 1), (3, words("g"), 1), (3, words("g"), 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted((r["text"] or "", r["doc_id"]) for r in simhash.representatives(df, "doc_id", "text").collect())
+    assert [t for t, _ in kept] == ["", *[words(k) for k in "abcdefg"]]
+    assert [i for _, i in kept] == [None, None, None, 8, 1, 1, 2, 3]
+
+
 def test_simhash_long_text_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_BLOCK", 7)
     texts = ["a b c d e f g h i j k l m n o p q r s t", "", "x", "x y", "one two three four  five\nsix seven", "b c d e f g h i"]
