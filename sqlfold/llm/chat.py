@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens put a grid of ``budget // 2`` tokens over a conversation; a
-span is the run of turns that start in one cell of the grid, so it ends at turn ends and,
-as long as no turn is above half the budget, fits the budget. Each window is: the
+Prefix sums of turn tokens put a grid over a conversation, of half the tokens that its
+system turn leaves of the budget; a span is the run of turns that start in one cell of the
+grid, so it ends at turn ends and, as long as no turn is above the grid's cell, fits the
+budget together with the system turn. Each window is: the
 conversation's system turn, turns before the span as far as ``history`` tokens and what
 the budget leaves allow, the span. The loss mask covers the assistant turns of the span
 only; what is repeated is masked.
@@ -19,7 +20,7 @@ import re
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common, packing
 
@@ -61,8 +62,9 @@ def _count_tokens(vocabulary: str, ranks: str):
     return run
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the earlier rows of the same ``keys``.
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, least: tuple[str, Column] | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the earlier rows of the same ``keys``; and
+    ``least`` (a name and an expression): its smallest value among the rows of the same ``keys``.
 
     Rows are dealt by ranges of keys and order, so one key may fill many partitions; each
     sums its own rows, and the partitions' totals (one row per key and partition) are summed
@@ -71,14 +73,16 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, na
     """
     dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
     dealt = common.stage(dealt, "ranges")
-    totals = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_all"))
+    more = [] if least is None else [F.min(least[1]).alias("_least")]
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_all"), *more)
     lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_part").alias("_t_part"), F.coalesce(F.sum("_all").over(lower), F.lit(0)).alias("_below"))
+    totals = totals.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_part").alias("_t_part"), F.coalesce(F.sum("_all").over(lower), F.lit(0)).alias("_below"), *[F.min("_least").over(Window.partitionBy(*keys)).alias("_least") for _ in more])
     match = F.col("_part") == F.col("_t_part")
     for k in keys:
         match &= F.col(k).eqNullSafe(F.col(f"_t_{k}"))
     earlier = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(totals, match).withColumn(name, F.col("_below") + F.coalesce(F.sum(value).over(earlier), F.lit(0))).drop(*totals.columns, "_part")
+    joined = dealt.join(totals, match).withColumn(name, F.col("_below") + F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    return (joined.withColumn(least[0], F.col("_least")) if least else joined).drop(*totals.columns, "_part")
 
 
 def _write(batches):
@@ -109,8 +113,10 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
     is new in exactly one window. Turns go by ``turn_col`` (null first), ties by role and
     text; rows that repeat a turn are turns each. Null roles and texts are empty; null
     conversations are one conversation. The system turn is the first turn, if its role is
-    system and it has a quarter of the budget at most. A window is above ``budget`` only if it
-    has a turn above half of it; such a window repeats nothing. ``vocabulary`` (a tokenizers
+    system and it is below the budget; every later window repeats it, but those whose new turns
+    leave no room for it (they have a turn above half of what it leaves of the budget). A window
+    is above ``budget`` only if it has a turn above half of it; such a window repeats nothing.
+    ``vocabulary`` (a tokenizers
     file) and ``ranks`` (the same as ranks) are byte_bpe_50k by default. An empty table gives no window.
     """
     common.session(df)
@@ -124,9 +130,13 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
     ).withColumn("counted", F.concat_ws("\n", "role", "text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
     turns = given.mapInArrow(_count_tokens(vocabulary, ranks), f"{fields}, tokens long")
-    grid = max(1, budget // 2)
-    turns = prefix_sums(turns, ["conv"], ["turn", "role", "text"], "tokens", "start")
-    turns = turns.withColumn("span", F.floor(F.col("start") / grid))
+    # the first turn in order; its text matters for ties of system turns only
+    opening = F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "tokens")
+    turns = prefix_sums(turns, ["conv"], ["turn", "role", "text"], "tokens", "start", ("opening", opening))
+    # the grid leaves room for the system turn and begins after it
+    fixed = F.when((F.col("opening.role") == "system") & (F.col("opening.tokens") < budget), F.col("opening.tokens")).otherwise(F.lit(0))
+    grid = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("fixed")) / 2))
+    turns = turns.withColumn("fixed", fixed).withColumn("span", F.floor(F.greatest(F.lit(0), F.col("start") - F.col("fixed")) / grid)).drop("opening", "fixed")
     # each turn has a token at least but an empty one; its place among equal starts is its order
     place = F.struct(F.col("start"), F.col("turn"), F.col("role"), F.col("text"))
 
@@ -135,11 +145,13 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
     spans = spans.withColumn("is_first", F.row_number().over(ahead) == 1).withColumn("next_span", F.lead("span").over(ahead)).withColumn("next_first", F.lead("first").over(ahead)).withColumn("next_own", F.lead("own").over(ahead))
     # the first turn is the only one with nothing before it but empty ones
     first = turns.where("start = 0").groupBy("conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("t"))
-    system = first.where(F.col("t.role") == "system").where(F.col("t.tokens") <= budget // 4).select(F.col("conv").alias("s_conv"), F.col("t").alias("system"))
+    system = first.where(F.col("t.role") == "system").where(F.col("t.tokens") < budget).select(F.col("conv").alias("s_conv"), F.col("t").alias("system"))
     spans = spans.join(system, F.col("conv").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
     spans = spans.withColumn("system_tokens", F.coalesce(F.col("system.tokens"), F.lit(0)))
 
-    keyed = spans.select(F.col("conv").alias("k_conv"), F.col("span").alias("k_span"), "next_span", "next_first", F.least(F.lit(history), F.lit(budget) - F.col("next_own") - F.col("system_tokens")).alias("room"), "system_tokens")
+    # a span that has no room for the system turn still has its history
+    beside = F.when(F.col("next_own") + F.col("system_tokens") <= budget, F.col("system_tokens")).otherwise(F.lit(0))
+    keyed = spans.select(F.col("conv").alias("k_conv"), F.col("span").alias("k_span"), "next_span", "next_first", F.least(F.lit(history), F.lit(budget) - F.col("next_own") - beside).alias("room"), "system_tokens")
     both = turns.join(keyed, F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("span") == F.col("k_span")))
     # a turn is history of the next span if it and all between fit the room; the system turn is there anyway
     again = (F.col("next_first") - F.col("start") <= F.col("room")) & (F.col("start") >= F.col("system_tokens"))

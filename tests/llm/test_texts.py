@@ -126,6 +126,24 @@ def test_windows_read_back(spark, budget, history):
         assert w.repeated == 0
 
 
+def test_long_system_turn_in_every_window_with_room(spark):
+    rows = [(c, 0, "system", "long " * n) for c, n in ((1, 298), (2, 700), (3, 10), (4, 1100))]
+    rows += [(c, i, "assistant" if i % 2 else "user", f"word{i} " * (i * 31 % 130)) for c in (1, 2, 3, 4) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = chat.windows(df, "conv_id", "turn", "role", "text")
+    assert {r["conv"]: tuple(r)[1:5] for r in chat.digests(found).collect()} == told(rows)
+    made = found.toPandas()
+    for c, text in ((1, "long " * 298), (2, "long " * 700), (3, "long " * 10)):
+        mine = made[made["conv"] == c].sort_values("span")
+        system = len(text.split()) + 16
+        for w in mine.itertuples():
+            has = chat.read_turns(w.text)[0] == ("system", text)
+            assert w.tokens <= 1024 and (has or w.tokens > 1024 - system)
+            assert c == 2 or has
+        assert len(mine) > 3
+    assert (made[made["conv"] == 4]["repeated"] > 0).any()
+
+
 def test_windows_of_nothing(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.windows(df, "conv_id", "turn", "role", "text")).collect() == []
