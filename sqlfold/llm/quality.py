@@ -3,7 +3,8 @@
 Heuristic labellers vote junk, clean or abstain on each document, from shares that one
 vectorised pass over the texts computes. Expectation-maximisation over the counts of vote
 patterns (all documents count; a pattern is at most 3 ** labellers rows) estimates how
-often each labeller votes what on junk and on clean documents. The posterior labels of a
+often each labeller votes what on junk and on clean documents, within the bounds that
+``estimate`` sets: a labeller that alone calls many documents junk is believed. The posterior labels of a
 bounded sample train a linear scorer on hashed features of words, word shapes and
 repetitions, which then scores every document.
 """
@@ -136,6 +137,7 @@ def estimate(patterns: list[tuple[str, int]], rounds: int = 500) -> tuple[dict[s
     Class 0 is clean. Junk comes in kinds, one class for each labeller, that starts as what
     the labeller calls junk. Two limits fix what the classes mean: a labeller calls most of
     its own kind junk, and at most ``_FALSE`` of the clean documents.
+    So documents of one source that trip one labeller are junk, whatever the others vote.
     """
     patterns = sorted(patterns)
     if not patterns:

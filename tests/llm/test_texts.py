@@ -194,6 +194,14 @@ def test_estimate_finds_accuracies():
     assert quality.estimate([])[0] == {}
 
 
+@pytest.mark.parametrize("share, junk", [(0.001, 0.58), (0.003, 0.80), (0.01, 0.90), (0.1, 0.98), (0.333, 0.996)])
+def test_a_labeller_alone_is_believed(share, junk):
+    """The bound of the README: the votes of the other six do not count against one."""
+    n = int(100_000 * share)
+    post, _ = quality.estimate([("ccccccc", 100_000 - n), ("ccjcccc", n)])
+    assert post["ccjcccc"] == pytest.approx(junk, abs=0.005)
+
+
 def test_statistics_equal_a_plain_count(spark):
     texts = ["A!! AB!! c*** | the the the x", "", None, "one two three one two three", "É" * 20 + " AB1 -- ab"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
