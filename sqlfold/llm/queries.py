@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embed_join, html_text, mixing, packing, pii, quality, sharding, simhash, topk
+from . import chat, embed_join, html_text, mixing, packing, pii, quality, resample, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = resample.resample(docs, "doc_id", "text", target, "text", share=0.25, seed=7, buckets=10_000, longest_run=2, least_words=20)
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_simhash": op2_simhash,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op13_resample": op13_resample,
 }
 
 ORACLE: dict[str, str] = {
@@ -147,4 +154,35 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
                ((epochs + CASE WHEN start < target - epochs * source_size AND target - epochs * source_size - start > size / 2.0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
         FROM p""",
+    "op13_resample": """
+        WITH t AS (  -- CRC-32 by one byte
+            SELECT list(x ORDER BY i) AS step FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS x FROM range(256) r(i))
+        ), w AS (
+            SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+            UNION ALL
+            SELECT 'b', item_id, row_number() OVER (), regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+        ), f AS (
+            SELECT side, row, unnest(list_concat(words, list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))) AS f FROM w
+        ), n AS (
+            SELECT side, row, f, count(*) AS n FROM f GROUP BY ALL
+        ), h AS (
+            SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(f))), lambda k: CAST('0x' || substr(hex(encode(f)), 2 * k + 1, 2) AS BIGINT))),
+                                      lambda c, b: xor(c // 256, step[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f FROM n), t
+        ), c AS (
+            SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM n JOIN h USING (f) GROUP BY bucket
+        ), g AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM c) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM c) + 10000)::DOUBLE)))::BIGINT AS gain FROM c
+        ), d AS (
+            SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight
+            FROM n JOIN h USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY row
+        ), s AS (
+            SELECT id AS doc_id, row, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM w LEFT JOIN d USING (row) WHERE side = 'd'
+        ), r AS (
+            SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 25 // 100 FROM r) THEN rank END AS rank FROM s LEFT JOIN r USING (row)""",
 }
