@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embed_join, html_text, mixing, packing, pii, quality, resample, sharding, simhash, topk
+from . import chat, embed_join, html_text, mixing, packing, pii, prefix_trie, quality, resample, sharding, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = prefix_trie.turns(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.regrown(told, group=100, most=6))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     found = resample.resample(docs, "doc_id", "text", target, "text", share=0.25, seed=7, buckets=10_000, longest_run=2, least_words=20)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_resample": op13_resample,
 }
 
@@ -154,6 +160,36 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, source_size, target,
                ((epochs + CASE WHEN start < target - epochs * source_size AND target - epochs * source_size - start > size / 2.0 THEN 1 ELSE 0 END) * size)::BIGINT AS taken
         FROM p""",
+    "op12_prefix_trie": """
+        WITH s AS (  -- CRC-32 by one byte
+            SELECT list(x ORDER BY i) AS step FROM (
+                SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS x FROM range(256) r(i))
+        ), t AS (
+            SELECT conv_id AS c, x, len(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS n FROM (
+                SELECT conv_id, turn, coalesce(text, '') AS text, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x FROM conversations WHERE conv_id IS NOT NULL)
+        ), k AS (
+            SELECT c, c - c % 100 AS lead, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(CAST(c AS VARCHAR))), lambda i: ascii(substr(CAST(c AS VARCHAR), i + 1, 1))::BIGINT)),
+                                      lambda r, b: xor(r // 256, step[xor(r % 256, b) + 1])), 4294967295) % 6 AS h
+            FROM (SELECT c, count(*) AS n FROM t GROUP BY c), s
+        ), r AS (
+            SELECT k.c, t.n AS d, x, chars FROM k JOIN t ON t.c = k.lead AND t.n <= k.h
+            UNION ALL
+            SELECT k.c, t.n - k.h + least(k.h, coalesce(l.n, 0)), x, chars FROM k JOIN t ON t.c = k.c AND t.n > k.h LEFT JOIN k l ON l.c = k.lead
+        ), p AS (
+            SELECT c, d, chars, md5(string_agg(x, ',') OVER (PARTITION BY c ORDER BY d)) AS node FROM r UNION ALL SELECT c, 0, 0, '' FROM k
+        ), m AS (
+            SELECT *, lag(node) OVER w AS parent, max(d) OVER (PARTITION BY c) AS turns FROM p WINDOW w AS (PARTITION BY c ORDER BY d)
+        ), g AS (
+            SELECT node, min(parent) AS parent, min(c) AS c, min(d) AS d, count(*) AS n, min(chars) AS chars, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = turns), '') AS ends FROM m GROUP BY node
+        ), ch AS (
+            SELECT parent AS node, count(*) AS n FROM g WHERE parent IS NOT NULL GROUP BY parent
+        ), sub AS (
+            SELECT a.node, sum(CASE WHEN ch.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((g.n - 1) * g.chars) AS saved
+            FROM g LEFT JOIN ch USING (node) JOIN m a ON a.c = g.c AND a.d <= g.d GROUP BY a.node
+        )
+        SELECT g.c::BIGINT AS conv_id, g.d::BIGINT AS depth, up.c::BIGINT AS parent_conv_id, g.n::BIGINT AS n_convs, coalesce(ch.n, 0)::BIGINT AS n_children,
+               leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(g.ends) AS ends_sha256
+        FROM g LEFT JOIN g up ON up.node = g.parent LEFT JOIN ch ON ch.node = g.node JOIN sub ON sub.node = g.node""",
     "op13_resample": """
         WITH t AS (  -- CRC-32 by one byte
             SELECT list(x ORDER BY i) AS step FROM (
