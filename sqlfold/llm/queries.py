@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embed_join, html_text, mixing, packing, pii, prefix_trie, quality, resample, sharding, simhash, topk
+from . import chat, embed_join, html_text, mixing, packing, pii, prefix_trie, quality, resample, sharding, simhash, suffix_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.strip_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text", length=400)
+    return found.drop("spans").withColumnRenamed("id", "doc_id")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = prefix_trie.turns(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return prefix_trie.trie(prefix_trie.regrown(told, group=100, most=6))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_suffix_array": op11_suffix_array,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_resample": op13_resample,
 }
