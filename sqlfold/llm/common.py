@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sqlfold.session import ensure_checkpoint_dir, prepare
@@ -32,7 +33,24 @@ def unstage(df: DataFrame) -> None:
 
 
 #: Arrow batches between Spark and Python hold this many bytes, however long the texts are.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def settle() -> None:
+    """Give the memory of past batches back to the system: a worker outlives its stage."""
+    pa.default_memory_pool().release_unused()
+
+
+def lean(run):
+    """``run``, a function of Arrow batches, with :func:`settle` after each batch it yields."""
+
+    def settled(batches):
+        for out in run(batches):
+            yield out
+            del out
+            settle()
+
+    return settled
 
 
 def session(df: DataFrame) -> SparkSession:

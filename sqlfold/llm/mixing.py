@@ -66,7 +66,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: Colu
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
         (-F.log(uniform) / (plainness(text) if weight is None else weight)).alias("key"),
-        *[F.col(c).alias(f"carry_{c}") for c in carry or []],
+        *[F.col(f"`{c}`").alias(f"carry_{c}") for c in carry or []],
     )
     narrow = common.stage(sized.select("id", "source", "size", "key"), "mix")
     sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
@@ -91,4 +91,4 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: Colu
     placed = placed.withColumn("start", start).withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size"))
     more = (F.col("start") < F.col("rest")) & (F.col("rest") - F.col("start") > F.col("size") / 2)
     copies = (F.col("epochs") + more.cast("long")).cast("long")
-    return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[f"carry_{c}" for c in carry or []])
+    return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[f"`carry_{c}`" for c in carry or []])

@@ -31,16 +31,16 @@ _WS_SET = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit integers. Each new segment is encoded once;
-    what is held is forgotten at ``held`` segments."""
+    what is held is forgotten at ``held`` segments. Texts that spell the special token go to the
+    tokenizer of ``vocabulary``, which is read when the first of them comes."""
 
-    def __init__(self, vocabulary: str, ranks: str, held: int = 200_000):
+    def __init__(self, vocabulary: str, ranks: str, held: int = 60_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("segments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.slow = Tokenizer.from_file(vocabulary)
+        self.vocabulary, self.slow = vocabulary, None
         self.line = table[b"\n"]
         self.known: dict[str, bytes] = {}
         self.held = held
@@ -53,6 +53,13 @@ class Encoder:
             self.known[segment] = raw[at:end]
             at = end + 4
 
+    def _whole(self, text: str) -> bytes:
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.vocabulary)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if _SPECIAL in t else _SEGMENT.findall(t) for t in texts]
         if len(self.known) >= self.held:
@@ -64,7 +71,7 @@ class Encoder:
         if words := list(new - odd):
             self._learn(words)
         get = self.known.__getitem__
-        return [np.array(self.slow.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -120,6 +127,7 @@ def _cut(capacity: int, max_waste: float, vocabulary: str, ranks: str, end_id: i
                 if len(rows) >= batch_pieces:
                     yield _pieces(rows, part)
                     rows = []
+            common.settle()
         if rows:
             yield _pieces(rows, part)
 

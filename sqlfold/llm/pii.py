@@ -265,7 +265,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, documents: int, islands:
                 found += [s for _, _, s, _ in _islands(raw, at) if len(s) <= 120]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["s"])
 
-    found = rows.join(F.broadcast(few), F.col("_id") == F.col("_chosen")).select("text").mapInArrow(run, "s string")
+    found = rows.join(F.broadcast(few), F.col("_id") == F.col("_chosen")).select("text").mapInArrow(common.lean(run), "s string")
     texts = [r["s"] for r in found.distinct().orderBy(F.xxhash64("s"), "s").limit(islands).collect()]
     out = []
     for s in texts:
@@ -365,7 +365,7 @@ def find(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray | None =
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,end:long>>"
-    return picked.mapInArrow(run, f"id {kind}, base {spans}, spans {spans}")
+    return picked.mapInArrow(common.lean(run), f"id {kind}, base {spans}, spans {spans}")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -397,4 +397,4 @@ def redact(df: DataFrame, id_col: str, text_col: str, length_col: str | None = N
                     columns[length] = pa.array(sizes, columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run), df.schema)

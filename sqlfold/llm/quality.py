@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, textvec
 
@@ -106,8 +106,13 @@ def _features(raw: np.ndarray, t: dict) -> list[np.ndarray]:
     return [(mixed >> np.uint64(40)).astype(np.int64) % SHAPES, SHAPES + (t["low"] % np.uint64(WORDS)).astype(np.int64), SHAPES + WORDS + flags]
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, one share per labeller), one row per document, in one pass."""
+    """(id, key, n_words, one share per labeller), one row per document, in one pass; ``key`` is the
+    MD5 of the text."""
 
     def run(batches):
         for batch in batches:
@@ -117,11 +122,12 @@ def statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 counts.append(np.diff(t["first"]))
                 shares.append(_shares(t))
             n, s = np.concatenate(counts), np.concatenate(shares)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(s[:, i]) for i in range(len(_STATS))]], ["id", "n_words", *_STATS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), *[pa.array(s[:, i]) for i in range(len(_STATS))]], ["id", "key", "n_words", *_STATS])
 
-    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    picked = df.select(F.col(id_col).alias("id"), text.alias("text"), _key(text).alias("key"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, n_words long, " + ", ".join(f"{s} double" for s in _STATS))
+    return picked.mapInArrow(common.lean(run), f"id {kind}, key binary, n_words long, " + ", ".join(f"{s} double" for s in _STATS))
 
 
 def votes(stats: DataFrame) -> DataFrame:
@@ -187,16 +193,16 @@ def _vectors(batches):
 def fit(x: np.ndarray, junk: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps on balanced classes; (weights, bias)."""
     scale = 1 / np.maximum(np.sqrt((x * x).mean(axis=0)), 1e-3)
-    z = x * scale.astype(np.float32)
+    z = x * scale.astype(np.float32)  # products in single precision: in double, numpy would copy z each time
     weight = np.where(junk, 0.5 / max(1, junk.sum()), 0.5 / max(1, (~junk).sum()))
     y = junk.astype(float)
     rate = 4.0 / (float(weight @ np.einsum("ij,ij->i", z, z)) + 1)
     w = v = np.zeros(x.shape[1])
     b = vb = 0.0
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ v + vb, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(z @ v.astype(np.float32) + vb, -50, 50)))
         g = weight * (p - y)
-        w2, b2 = v - rate * (z.T @ g + penalty * v), vb - rate * g.sum()
+        w2, b2 = v - rate * (g.astype(np.float32) @ z + penalty * v), vb - rate * g.sum()
         step = k / (k + 3)
         v, vb = w2 + step * (w2 - w), b2 + step * (b2 - b)
         w, b = w2, b2
@@ -223,9 +229,9 @@ class Model:
 def train(df: DataFrame, id_col: str, text_col: str, sample: int = 1000) -> tuple[Model, DataFrame]:
     """A model from ``df`` alone, without labels, and the staged statistics with votes.
 
-    The scorer is fitted on at most ``sample`` documents of each class: those of the
-    smallest id hashes among posteriors of at least 0.9. Votes and their accuracies come
-    from all documents. Without a document of a class, the scorer calls everything the
+    The scorer is fitted on at most ``sample`` different texts of each class: those of the
+    smallest hashes among posteriors of at least 0.9, whatever their ids. Votes and their
+    accuracies come from all documents. Without a document of a class, the scorer calls everything the
     other class.
     """
     spark = common.session(df)
@@ -235,14 +241,16 @@ def train(df: DataFrame, id_col: str, text_col: str, sample: int = 1000) -> tupl
     chosen = []
     for junk in (True, False):
         sure = [p for p, v in posteriors.items() if (v if junk else 1 - v) >= 0.9]
-        rows = stats.where(F.col("votes").isin(sure) & F.col("id").isNotNull() & (F.col("n_words") > 0)) if sure else stats.limit(0)
-        chosen += [(r["id"], junk) for r in rows.orderBy(F.xxhash64("id"), "id").select("id").limit(sample).collect()]
+        rows = stats.where(F.col("votes").isin(sure) & (F.col("n_words") > 0)) if sure else stats.limit(0)
+        # a text may have any number of rows: it counts once, and is read once
+        chosen += [(r["key"], junk) for r in rows.select("key").distinct().orderBy("key").limit(sample).collect()]
     n_junk = sum(j for _, j in chosen)
     if n_junk in (0, len(chosen)):
         return Model(np.zeros(DIMENSIONS), 50.0 if n_junk else -50.0, posteriors, table), stats
-    ids = spark.createDataFrame(chosen, f"_sample_id {stats.schema['id'].dataType.simpleString()}, _junk boolean").dropDuplicates(["_sample_id"])
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = texts.join(F.broadcast(ids), F.col("_id") == F.col("_sample_id")).select("_junk", "_text").mapInArrow(_vectors, "junk boolean, x binary").collect()
+    keys = F.broadcast(spark.createDataFrame(chosen, "key binary, junk boolean"))
+    texts = df.select(F.col(text_col).cast("string").alias("text")).withColumn("key", _key(F.col("text")))
+    once = texts.join(keys, "key").groupBy("key", "junk").agg(F.first("text").alias("text"))
+    found = once.select("junk", "text").mapInArrow(_vectors, "junk boolean, x binary").collect()
     found.sort(key=lambda r: (r["junk"], bytes(r["x"])))
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found])
     weights, bias = fit(x, np.array([r["junk"] for r in found]))
@@ -259,14 +267,13 @@ def keep_clean(df: DataFrame, text_col: str, model: Model, threshold: float = 0.
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch.column(at)) >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(common.lean(run), df.schema)
 
 
 def classify(df: DataFrame, id_col: str, text_col: str, sample: int = 1000, threshold: float = 0.5) -> DataFrame:
     """(id, votes, posterior_junk, score, keep), one row per document.
 
-    Null texts and texts without words score 0 and are not kept. Rows with a null id vote
-    and are scored, but are not in the scorer's sample. An empty table gives an empty result.
+    Null texts and texts without words score 0 and are not kept. An empty table gives an empty result.
     """
     model, _ = train(df, id_col, text_col, sample)
 
@@ -287,4 +294,4 @@ def classify(df: DataFrame, id_col: str, text_col: str, sample: int = 1000, thre
 
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {kind}, votes string, posterior_junk double, score double, keep boolean")
+    return picked.mapInArrow(common.lean(run), f"id {kind}, votes string, posterior_junk double, score double, keep boolean")

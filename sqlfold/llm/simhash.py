@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, ca
     common.session(df)
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     fields = [f"id {picked.schema['id'].dataType.simpleString()}", "fp long", *[f"{c} {picked.schema[c].dataType.simpleString()}" for c in carry]]
-    return picked.mapInArrow(run, ", ".join(fields))
+    return picked.mapInArrow(common.lean(run), ", ".join(fields))
 
 
 def _compare(radius: int):
@@ -160,31 +160,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def _row_key(df: DataFrame) -> list[Column]:
+def _row_key(df: DataFrame) -> Column:
     """Two hashes of the whole row, maps apart: rows of equal keys are the same row twice."""
     given = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     # a null leaves a hash as it is, so which columns are null is hashed as well
     nulls = F.concat(F.lit("-"), *[F.col(c).isNull().cast("int").cast("string") for c in given])
-    return [F.xxhash64(*given, nulls), F.xxhash64(nulls, *given)]
+    return F.struct(F.xxhash64(*given, nulls).alias("a"), F.xxhash64(nulls, *given).alias("b"))
 
 
 def representatives(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``df``, all columns, that stand for their groups: exactly one row of each.
 
     It is the row with the smallest id (null ids last), then the smallest hash of the row;
-    other rows of its id stay if they stand for their own groups.
+    other rows of its id stay if they stand for their own groups. Columns may have any names:
+    a row travels as one column.
     """
-    row = ["_row_a", "_row_b"]
-    keyed = df.withColumns(dict(zip(row, _row_key(df))))
-    prints = common.stage(fingerprints(keyed, id_col, text_col, shingle, row), "simhash")
-    rooted = _rooted(prints, radius, F.struct(F.col("id").isNull().alias("none"), "id", *row))
-    best = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*[F.col(f"least.{c}").alias(f"_keep{c}") for c in row])
-    again = prints.groupBy(*row).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    same = [F.col(c) == F.col(f"_keep{c}") for c in row]
-    keep = common.stage(best.join(again, same, "left").drop(*row), "simhash-kept")
+    keyed = df.select(_row_key(df).alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    narrow = keyed.select("key", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"))
+    prints = common.stage(fingerprints(narrow, "id", "text", shingle, ["key"]), "simhash")
+    rooted = _rooted(prints, radius, F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("best"))
+    again = prints.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    keep = common.stage(best.join(again, F.col("best") == F.col("key"), "left").drop("key"), "simhash-kept")
+    common.unstage(prints)
     # the keys are the side that is hashed: texts are shuffled, but neither sorted nor held
-    kept = keyed.join(keep.hint("shuffle_hash"), same)
-    single = kept.where("_copies is null")
-    if not keep.where("_copies is not null").isEmpty():
-        single = single.unionByName(kept.where("_copies is not null").dropDuplicates(row))
-    return single.select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = keyed.join(keep.hint("shuffle_hash"), F.col("key") == F.col("best"))
+    single = kept.where("copies is null")
+    if not keep.where("copies is not null").isEmpty():
+        single = single.unionByName(kept.where("copies is not null").dropDuplicates(["key"]))
+    return single.select("row.*")

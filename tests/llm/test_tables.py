@@ -113,6 +113,14 @@ def test_simhash_odd_rows(spark):
     assert simhash.representatives(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_columns_of_any_name_come_back(spark):
+    names = ["doc_id", "text", "_row_a", "_row_b", "_copies", "_keep_row_a", "key", "row", "best", "copies", "id", "fp", "a.b", "root"]
+    rows = [(k // 2, f"one two three {k // 4}", *[f"{n}{k}" for n in names[2:]]) for k in range(24)]
+    df = spark.createDataFrame([*rows, rows[0]], names)
+    got = simhash.representatives(df, "doc_id", "text")
+    assert got.columns == names and {tuple(r) for r in got.collect()} <= set(rows) and got.count() == 6
+
+
 def test_one_row_of_each_group_stays(spark):
     """Whatever the ids: missing, repeated over groups, or of a copy and a leader."""
     words = lambda k: " ".join(f"{k}word{i}" for i in range(40))

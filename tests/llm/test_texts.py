@@ -178,6 +178,17 @@ def test_quality_against_labels(spark):
     assert len(got) == 1000
 
 
+@pytest.mark.parametrize("ids", ["one", "none"])
+def test_the_scorer_reads_each_text_once(spark, ids, monkeypatch):
+    """An id on most rows, or no ids at all, neither grow the sample nor empty it."""
+    read = []
+    monkeypatch.setattr(quality, "fit", lambda x, junk: read.append((len(x), int(junk.sum()))) or (np.zeros(quality.DIMENSIONS), 0.0))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    docs = docs.unionByName(docs.limit(300)).unionByName(docs.limit(300))
+    quality.train(docs.withColumn("id", F.lit(7 if ids == "one" else None).cast("long")), "id", "text", sample=40)
+    assert read == [(80, 40)]
+
+
 def test_estimate_finds_accuracies():
     r = np.random.default_rng(1)
     n, k = 20_000, 4
