@@ -18,7 +18,8 @@ from sqlfold.llm import common, mixing, packing, pii, quality, simhash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model, _ = quality.train(docs, "doc_id", "text")
+    model, stats = quality.train(docs, "doc_id", "text")
+    common.unstage(stats)
     return quality.keep_clean(docs, "text", model)
 
 
@@ -33,7 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, "doc_id", "text", "source", weights=(3, 1, 2), share=1.5, cap=2.0, carry=docs.columns)
     copies = mixed.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return copies.select(*[F.col(f"carry_{c}").alias(c) for c in docs.columns])
+    return copies.select(*[F.col(f"`carry_{c}`").alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     common.session(docs)
+    given = docs
     for name, stage in STAGES[:-1]:
-        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not given:
+            common.unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
