@@ -92,8 +92,7 @@ def _compare(radius: int):
         held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         size = 0
         for pdf in batches:
-            for a, b in zip(pdf["a_fp"], pdf["b_fp"]):
-                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            for x, y in zip(pdf["a_fp"], pdf["b_fp"]):
                 strip = max(1, 500_000 // len(y))
                 for lo in range(0, len(x), strip):
                     part = x[lo : lo + strip]
@@ -121,7 +120,8 @@ def links(prints: DataFrame, radius: int = 2, tile_rows: int = 4096) -> DataFram
     mask = (1 << width) - 1
     side = 1 + width
     code = sum(F.bit_count(F.shiftrightunsigned("fp", q * width).bitwiseAND(F.lit(mask))).cast("long") * side**q for q in range(_QUARTERS))
-    tiles = common.pack_tiles(common.number_tiles(spread.withColumn("counts", code), "counts", "fp", tile_rows), ["counts", "tile"], {"fp": "int64"})
+    # tiles are many and mostly small: Spark gathers them, without a Python call for each
+    tiles = common.number_tiles(spread.withColumn("counts", code), "counts", "fp", tile_rows).groupBy("counts", "tile").agg(F.collect_list("fp").alias("fp"))
     tiles = common.stage(tiles.withColumn("tile_id", F.concat_ws("/", "counts", "tile")), "simhash-tiles")
     steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=_QUARTERS) if sum(map(abs, d)) <= radius]
     steps = [d for d in steps if d >= (0,) * _QUARTERS]
