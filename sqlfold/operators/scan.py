@@ -242,6 +242,7 @@ def fold_lines(
     extra_candidates=None,
     pin: bool = False,
     payload: Sequence[str] = (),
+    emit_per_partition: bool = False,
 ) -> DataFrame:
     """Run a line fold over ordered lines of many groups, partition-parallel.
 
@@ -253,7 +254,8 @@ def fold_lines(
     ``counters`` describes additive counters the fold advances (``zero``,
     ``delta(out)``, ``add``, ``origin``, ``chain``); ``emit(key, row, state_before,
     out, counters_before)`` returns output records (lists in ``out_schema`` order)
-    for one line in pass 2.
+    for one line in pass 2. With ``emit_per_partition`` it is a factory of such functions, one for
+    each partition, whose ``flush()`` gives the records still held at the partition's end.
     """
     group_cols = list(group_cols)
     x = range_sorted(lines.select(*group_cols, order_col, line_col, *payload), group_cols + [order_col], num_partitions)
@@ -353,6 +355,7 @@ def fold_lines(
             first = True
             state = cnt = None
             cur = None
+            told = emit() if emit_per_partition else emit
             for key, part in runs:
                 if key != cur:
                     if first:
@@ -366,10 +369,12 @@ def fold_lines(
                     line = getattr(row, line_col)
                     before = state
                     state, out = fold.feed(state, line)
-                    recs.extend(emit(key, row, before, out, cnt))
+                    recs.extend(told(key, row, before, out, cnt))
                     cnt = counters.chain(cnt, counters.delta(out))
                 if recs:
                     yield pd.DataFrame(recs, columns=out_schema.fieldNames())
+            if emit_per_partition and (recs := told.flush()):
+                yield pd.DataFrame(recs, columns=out_schema.fieldNames())
 
     out = x.mapInPandas(apply, out_schema)
     return materialize(out) if pin else out

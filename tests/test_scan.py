@@ -136,3 +136,22 @@ def test_counts_equal_the_full_scan(spark, parts):
     cols = ["stmt_no", "line_start", "line_end", "target", "n_lines", "n_bytes", "n_rows"]
     assert sorted(map(tuple, statements.statements_from_counts(counts).select(cols).collect())) == sorted(map(tuple, full.select(cols).collect()))
     assert counts.filter("stmt_no is null").count() == 1
+
+
+def test_rows_of_one_huge_insert_join_nothing_shuffled(spark):
+    """Tuples, header and tail over many lines and partitions; rows are neither grouped nor joined by statement."""
+    tuples = [f"({i}, 'v{i}\nmore; of it'{', NULL' * (i % 3)})" for i in range(2500)]
+    text = 'INSERT INTO "public"."big"\n  (a,\n   b) VALUES\n' + ",\n".join(tuples) + "\n ON CONFLICT\n DO NOTHING;\nINSERT INTO public.small (a) VALUES (1), (2);\n"
+    lines = spark.createDataFrame([("f", i + 1, ln) for i, ln in enumerate(text.split("\n"))], "file_id string, line_no long, line string")
+    for parts in (1, 7):
+        scan = statements.dump_scan(lines, num_partitions=parts)
+        rows = statements.rows_from_scan(scan)
+        got = sorted((r["stmt_no"], r["row_no"], r["target"], r["header"], r["tuple"]) for r in rows.collect())
+        head = 'INSERT INTO "public"."big"\n  (a,\n   b) VALUES'
+        assert [(s, n, t) for s, n, t, _, _ in got] == [(1, i + 1, "public.big") for i in range(2500)] + [(2, 1, "public.small"), (2, 2, "public.small")]
+        assert [t for *_, t in got[:2500]] == tuples and {h.strip() for *_, h, _ in got[:2500]} == {head}
+        assert scan.filter("kind in ('piece', 'head')").count() < 20 * parts + 10
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        one = {r["stmt_no"]: (r["n_rows"], r["target"]) for r in statements.statements_from_scan(scan).collect()}
+        assert one == {1: (2500, "public.big"), 2: (2, "public.small")}
