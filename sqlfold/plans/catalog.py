@@ -470,6 +470,43 @@ def q_resumable_load(spark, sf):
     return spark.read.parquet(root).select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def q_load_commits(spark, sf):
+    """One seed file per source, in queue order. The first wave commits, the second ends half-way (some
+    rows of its files, no log), the third takes what the log lacks. Per file: the log's row, and how the
+    folder compares with it."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-commits-{uuid.uuid4().hex}"
+    data, logged = f"{root}/data", f"{root}/log"
+    columns = ["doc_id", "text", "lang", "n_chars"]
+    d = _t(spark, sf, "documents").withColumn("file_id", F.coalesce("source", F.lit(""))).select("file_id", *columns)
+    q = ordinal(d.select("file_id").distinct(), [], ["file_id"], "queue_no")
+    third = (q.agg(F.max("queue_no")).first()[0] or 0) // 3
+    rows = lambda files: d.join(files.select("file_id"), "file_id")
+    queue.commit_wave(rows(q.filter(F.col("queue_no") <= third)), data, logged, 1, order_cols=["doc_id"])
+    queue.load_wave(rows(q.filter(F.col("queue_no").between(third + 1, 2 * third))).filter("doc_id % 2 = 0"), data, "file_id", ["doc_id"])
+    left = queue.pending(q, queue.load_log(spark, logged).withColumnRenamed("path", "file_id"), "file_id")
+    queue.commit_wave(rows(left), data, logged, 3, order_cols=["doc_id"])
+    log = queue.load_log(spark, logged)
+    checked = queue.verify_loads(spark.read.schema(d.schema).parquet(data), log, "file_id", columns)
+    return log.join(checked, "path").select("path", "rows", F.col("checksum").cast("long").alias("checksum"), "wave", "status")
+
+
+def q_stream_load(spark, sf):
+    """R4, stream form: one text file per source, published by the members sink, loaded as they arrive with a
+    log; per file its lines, their checksum and how often it was logged."""
+    from ..sources.members import write_members
+    from ..streaming.load import stream_load
+
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-stream-{uuid.uuid4().hex}"
+    d = _t(spark, sf, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".sql")).alias("file_name"), F.col("doc_id").alias("position"),
+                                          F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("gap"))
+    write_members(d, f"{root}/src")
+    for _ in range(2):  # the second run finds nothing new
+        stream_load(spark, f"{root}/src", f"{root}/data", f"{root}/state", max_files_per_trigger=7, log_dir=f"{root}/log")
+    log = queue.load_log(spark, f"{root}/log")
+    names = F.element_at(F.split("path", "/"), -1)
+    return log.groupBy(names.alias("file_name")).agg(F.max("rows").alias("n_lines"), F.max("checksum").cast("long").alias("checksum"), F.count(F.lit(1)).alias("n_logged"))
+
+
 def q_audit_summary(spark, sf):
     a = audit.classify_scripts(_scripts(spark, sf))
     return audit.audit_summary(a, ["user_id"])
@@ -574,6 +611,25 @@ def q_dump_split_validate(spark, sf):
     return split_and_validate(_split_dumps(spark, sf), rules_from_json(spark, SPLIT_RULES), out_dir=out)
 
 
+def q_reassembled_stream(spark, sf):
+    """S8, S11, O4, R11 by text: over 1000 tables split into files of their own names, published by the
+    members sink, read back and put together in the order of their numbers; every line of the stream."""
+    from ..sources.members import write_members
+    from ..sources.text import read_chunk_files
+    from .split_validate import file_plan, reassembled_files
+
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_custkey") % 1200).cast("long").alias("k"), "c_name", "c_mktsegment")
+    row = tuple_text(F.col("key"), [sql_quote(F.col("c_name")), sql_quote(F.col("c_mktsegment"))])
+    last = F.col("key") == F.max("key").over(Window.partitionBy("k"))
+    rows = c.select("k", F.col("key").alias("part"), F.concat(F.lit("\t"), row, F.when(last, ";").otherwise(",")).alias("line"))
+    heads = c.select("k").distinct().select("k", F.lit(-1).cast("long").alias("part"), F.concat(F.lit("INSERT INTO public.t"), "k", F.lit(" (c_custkey, c_name, c_mktsegment) VALUES")).alias("line"))
+    seqs = c.select("k").distinct().filter("k % 100 = 7").select("k", F.lit(1 << 60).alias("part"), F.concat(F.lit("SELECT pg_catalog.setval('public.t"), "k", F.lit("_id_seq', 1, true);")).alias("line"))
+    lines = rows.unionByName(heads).unionByName(seqs).withColumn("section", F.lit(1)).withColumn("p", F.lit(0)).withColumn("file_id", F.lit("customers.sql"))
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-members-{uuid.uuid4().hex}"
+    write_members(file_plan(numbered(lines), None), out)
+    return reassembled_files(read_chunk_files(spark, out)).select("line_no", "line")
+
+
 PLAN_RULES = {"public.mid": {"maxRowsPerInsert": 30}, "public.beta": {"skip": True}}
 
 
@@ -677,6 +733,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rechunk_statements": q_rechunk_statements,
     "schema_roundtrip": q_schema_roundtrip,
     "dump_split_validate": q_dump_split_validate,
+    "reassembled_stream": q_reassembled_stream,
+    "load_commits": q_load_commits,
+    "stream_load": q_stream_load,
     "dump_file_plan": q_dump_file_plan,
     "schema_members": q_schema_members,
     "split_plan_errors": q_split_plan_errors,

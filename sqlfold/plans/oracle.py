@@ -563,3 +563,36 @@ ORACLE["split_scope"] = f"""
 SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS event_id, {_V} > {_CUT} AS after_cutoff, 'fail' AS strict_policy
 FROM events WHERE event_type = 'purchase'
 """
+
+ORACLE["reassembled_stream"] = """
+WITH c AS (SELECT c_custkey % 1200 AS k, c_custkey, c_name, c_mktsegment FROM customer),
+q AS (SELECT chr(39) AS q),
+l AS (
+  SELECT 1 AS section, 0 AS k, 0 AS i, '-- Initial setup' AS line
+  UNION ALL SELECT 1, 0, 1, 'SET session_replication_role = ' || q || 'replica' || q || ';' FROM q
+  UNION ALL SELECT DISTINCT 2, k, -1, '' FROM c
+  UNION ALL SELECT DISTINCT 2, k, 0, 'INSERT INTO public.t' || k || ' (c_custkey, c_name, c_mktsegment) VALUES' FROM c
+  UNION ALL SELECT 2, k, c_custkey, chr(9) || '(' || c_custkey || ', ' || q || replace(c_name, q, q || q) || q || ', ' || q || replace(c_mktsegment, q, q || q) || q || ')'
+                   || CASE WHEN c_custkey = max(c_custkey) OVER (PARTITION BY k) THEN ';' ELSE ',' END FROM c, q
+  UNION ALL SELECT 3, -1, 0, '' WHERE EXISTS (SELECT 1 FROM c WHERE k % 100 = 7)
+  UNION ALL SELECT 3, -1, 1, '-- Sequence values' WHERE EXISTS (SELECT 1 FROM c WHERE k % 100 = 7)
+  UNION ALL SELECT DISTINCT 3, k, 0, 'SELECT pg_catalog.setval(' || q || 'public.t' || k || '_id_seq' || q || ', 1, true);' FROM c, q WHERE k % 100 = 7
+  UNION ALL SELECT 4, 0, 0, '' UNION ALL SELECT 4, 0, 1, '-- Cleanup' UNION ALL SELECT 4, 0, 2, 'RESET ALL;')
+SELECT CAST(row_number() OVER (ORDER BY section, k, i) AS BIGINT) AS line_no, line FROM l
+"""
+
+ORACLE["load_commits"] = """
+WITH d AS (SELECT coalesce(source, '') AS path,
+                  CAST('0x' || substr(md5(concat_ws(chr(31), doc_id, text, lang, n_chars)), 1, 8) AS BIGINT) AS h FROM documents),
+f AS (SELECT path, count(*) AS n, sum(h) AS s, row_number() OVER (ORDER BY path) AS no FROM d GROUP BY path)
+SELECT path, CAST(n AS BIGINT) AS rows, CAST(s AS BIGINT) AS checksum, CAST(CASE WHEN no <= (SELECT count(*) // 3 FROM f) THEN 1 ELSE 3 END AS BIGINT) AS wave, 'ok' AS status
+FROM f
+"""
+
+ORACLE["stream_load"] = """
+WITH d AS (SELECT coalesce(source, 'none') || '.sql' AS file_name, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT *, coalesce(sum(len(ls)) OVER (PARTITION BY file_name ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+l AS (SELECT file_name, unnest(list_transform(ls, lambda x, i: (before + i) || chr(31) || x)) AS t FROM p)
+SELECT file_name, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, CAST(1 AS BIGINT) AS n_logged
+FROM l GROUP BY file_name
+"""

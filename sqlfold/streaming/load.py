@@ -13,14 +13,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession, functions as F
 
-from ..operators.queue import load_wave
+from ..operators.queue import load_log, load_wave, log_wave, pending
 from ..sources.text import number_lines
 
 
 def stream_load(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_location: str,
-                max_files_per_trigger: int = 100):
+                max_files_per_trigger: int = 100, log_dir: str | None = None):
     """Lines as (line_no, line) in one partition per file; ``file_id`` is the file's full path, so
-    files of one name in different folders stay apart. Returns the query, stopped when no file is left."""
+    files of one name in different folders stay apart. With ``log_dir`` each batch logs its files once
+    they are written, as ``queue.commit_wave`` does (wave: the batch); a batch that runs again after a
+    failure logs only what is not logged yet. Returns the query, stopped when no file is left."""
     lines = (
         spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files_per_trigger)
         .option("recursiveFileLookup", True).text(source_dir)
@@ -28,7 +30,12 @@ def stream_load(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_l
     )
 
     def write_batch(df, epoch_id):
-        load_wave(number_lines(df).select("file_id", "line_no", "line"), out_dir, "file_id", ["file_id", "line_no"])
+        rows = number_lines(df).select("file_id", "line_no", "line")
+        load_wave(rows, out_dir, "file_id", ["file_id", "line_no"])
+        if log_dir:
+            written = spark.read.schema("line_no long, line string, file_id string").parquet(out_dir)
+            files = pending(rows.select("file_id").distinct(), load_log(spark, log_dir).withColumnRenamed("path", "file_id"), "file_id")
+            log_wave(written, files, log_dir, epoch_id, "file_id", ["line_no", "line"])
 
     q = (
         lines.writeStream.foreachBatch(write_batch)
