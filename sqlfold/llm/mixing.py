@@ -83,12 +83,36 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: Colu
     totals = bucketed(narrow).groupBy("source", "bucket").agg(F.sum("size").alias("within"))
     lower = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("within").over(lower), F.lit(0)).alias("below"))
-    rows = bucketed(sized if carry else narrow)
-    placed = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
+    placed = bucketed(narrow).join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     earlier = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("below") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
     placed = placed.withColumn("start", start).withColumn("epochs", epochs).withColumn("rest", F.col("target") - epochs * F.col("source_size"))
     more = (F.col("start") < F.col("rest")) & (F.col("rest") - F.col("start") > F.col("size") / 2)
-    copies = (F.col("epochs") + more.cast("long")).cast("long")
-    return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[f"`carry_{c}`" for c in carry or []])
+    placed = placed.withColumn("more", more)
+    result = ["id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    if not carry:
+        return placed.withColumn("copies", (F.col("epochs") + F.col("more").cast("long")).cast("long")).select(result)
+    return _carried(sized, placed, goals).select(*result, *[f"`carry_{c}`" for c in carry])
+
+
+def _carried(sized: DataFrame, placed: DataFrame, goals: DataFrame) -> DataFrame:
+    """``sized``, whole rows, with their copies. What a source takes once more is a beginning of its
+    order by key, id and size, so the last place taken says it for every row: whole rows are
+    neither sorted nor shuffled. Only rows at that very place, of one id, are counted off where not all fit."""
+    place = F.struct("key", "id", "size")
+    ties = placed.groupBy("source", place.alias("place")).agg(F.count(F.lit(1)).alias("n"), F.count_if("more").alias("taken")).where("taken > 0")
+    last = ties.groupBy("source").agg(F.max(F.struct("place", "n", "taken")).alias("last"))
+    epochs = F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0))
+    ends = goals.join(last.withColumnRenamed("source", "l_source"), F.col("source").eqNullSafe(F.col("l_source")), "left")
+    ends = common.stage(ends.select(F.col("source").alias("e_source"), "source_size", "target", epochs.alias("epochs"), "last"), "mix-ends")
+    rows = sized.join(ends, F.col("source").eqNullSafe(F.col("e_source"))).drop("e_source")
+    split = F.coalesce((place == F.col("last.place")) & (F.col("last.n") > F.col("last.taken")), F.lit(False))
+    more = F.coalesce(place <= F.col("last.place"), F.lit(False))
+    if not ends.where("last.n > last.taken").isEmpty():
+        number = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in sized.columns])))
+        some = rows.where(split).withColumn("more", number <= F.col("last.taken"))
+        rows = rows.where(~split).withColumn("more", more).unionByName(some)
+    else:
+        rows = rows.withColumn("more", more)
+    return rows.withColumn("copies", (F.col("epochs") + F.col("more").cast("long")).cast("long"))

@@ -26,6 +26,8 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: No token crosses these segments: a run of other characters with one space before it, or white space.
 _SEGMENT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _SPECIAL = "<|endoftext|>"
+#: Rows of three numbers that are sent to every task at most: some 5 MB.
+MOST_SENT = 100_000
 _WS_SET = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_WS}]", c))
 
 
@@ -178,6 +180,9 @@ def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 1024, max_wa
     # one row per class, of which there are fewer than the capacity has ids
     lower = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     filled = filled.select("k", F.coalesce(F.sum("sequences").over(lower), F.lit(0)).alias("first"))
+    # a row for each task and class: sent to every task while it is small, else shuffled with the pieces
+    counts = common.stage(counts, "piece-counts")
+    counts = F.broadcast(counts) if counts.count() <= MOST_SENT else counts
     placed = pieces.join(counts, ["k", "part"]).join(F.broadcast(filled), "k")
     number = F.col("before") + F.col("no")
     return placed.select(

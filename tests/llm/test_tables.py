@@ -362,3 +362,17 @@ def test_text_code_keeps_order(spark):
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "s string").select(sharding.text_code(F.col("s"))).collect()]
     order = sorted(range(1, len(words)), key=lambda i: words[i].encode())
     assert got[0] == -1 and [got[i] for i in order] == sorted(got[1:])
+
+
+def test_mix_carries_rows_of_equal_places(spark):
+    """Rows that repeat an id and a size lie at one place of the order: as many as fit are taken, whatever they carry."""
+    rows = [(7, f"a b {k % 3}", "s", k) for k in range(30)] + [(None, "x y z", None, k) for k in range(9)] + [(k, "w " * (k % 4), "t", k) for k in range(100, 140)] + [(1, None, "u", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `size.x` int").repartition(4)
+    narrow = mixing.mix(df, "doc_id", "text", "source", share=1.3).collect()
+    wide = mixing.mix(df, "doc_id", "text", "source", share=1.3, carry=["text", "size.x", "source"])
+    got = wide.collect()
+    key = lambda r: (str(r["source"]), str(r["id"]), r["size"], r["copies"], r["taken"], r["target"], r["source_size"])
+    assert sorted(map(key, got)) == sorted(map(key, narrow)) and len({r["copies"] for r in got if r["source"] == "s"}) == 2
+    assert sorted((str(r["id"]), str(r["carry_text"]), str(r["carry_source"]), r["carry_size.x"]) for r in got) == sorted((str(a), str(b), str(c), d) for a, b, c, d in rows)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan
