@@ -1,9 +1,13 @@
 """Evidence rows, statement kinds and audit documents on hand-written scripts."""
 
 import json
+import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
+from sqlfold.functions import lexer
 from sqlfold.operators import audit, evidence
 
 KEYS = ["id"]
@@ -58,3 +62,49 @@ def test_audit_documents(spark):
     docs = {r["id"]: json.loads(r["json"]) for r in audit.audit_documents(audit.classify_scripts(df), found, KEYS).collect()}
     assert docs[0]["classification"] == "mixed" and docs[0]["evidence"]["dml"][0]["line"] == 2
     assert docs[1]["classification"] == "unknown" and "evidence" not in docs[1]
+
+
+def test_one_pass_equals_a_search_per_pattern():
+    words = ["create", "CREATE ", "table", "or replace ", "view", "insert", "into", "update", "for", "on", "x", "İ", " ", "\n", ";", "\t", "drop",
+             "delete from", "unique", "index", "re", "_", "--", "'"]
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "\n"]) for _ in range(rng.randrange(40)))
+        masked = lexer.mask_sql(text)
+        lines = masked.split("\n")
+        expected = []
+        for family, patterns in (("ddl", evidence.DDL_EVIDENCE), ("dml", [*evidence.DML_EVIDENCE, evidence.UPDATE])):
+            for no, (name, rx) in enumerate(patterns):
+                for k, m in enumerate(re.finditer(rx, masked, re.I | re.A)):
+                    before = masked[:m.start()]
+                    line = lines[before.count("\n")].strip()
+                    counts = re.search(r"(?:\A|[;\n])[ \t\r]*\Z", before) and not re.search(evidence.UPDATE_NOT_DML, line, re.I)
+                    if name != "UPDATE" or counts:
+                        expected.append((family, no, name, k, before.count("\n") + 1, line))
+        assert sorted(evidence._statement_matches(text, 10**6)) == sorted(expected), text
+
+
+def test_markers_equal_a_search_of_the_pattern():
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["--", "my:mark", "MY:mark", " ", "\n", "\n", "\t", " ", "x", ";"]) for _ in range(rng.randrange(25)))
+        expected = [(m.group().strip(evidence._TRIM), text[:m.start()].count("\n") + 1) for m in re.finditer(evidence.marker_pattern("my:mark").replace("$", r"\Z") + ".*", text)]
+        got = [(r[5], r[4]) for r in evidence._marker_matches(text, [("my:mark", evidence._marker_line("my:mark"))])]
+        assert got == expected, text
+
+
+def test_many_hits_in_one_script_take_linear_time(spark):
+    text = "select 1 for update x;\n" * 40_000 + "update a set b = 1;\n" * 40_000
+    df = _df(spark, text, "", None)
+    start = time.time()
+    found = evidence.script_evidence(df, KEYS, "text")
+    assert found.agg(F.count("*"), F.max("line")).first()[:] == (40_000, 80_000)
+    kinds = df.select(evidence.statement_kind(evidence.mask("text")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["data", None, None]
+    assert time.time() - start < 60
+
+
+def test_keys_keep_their_values_and_types(spark):
+    df = spark.createDataFrame([(None, "a", "drop table x"), (2**60, None, "drop table y")], "pattern_key long, k string, text string")
+    found = evidence.script_evidence(df, ["pattern_key", "k"], "text")
+    assert {tuple(r)[:2] for r in found.collect()} == {(None, "a"), (2**60, None)}
