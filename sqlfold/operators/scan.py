@@ -11,8 +11,10 @@ whole group (a file, a table, a statement) into one task:
   partition from its true entry state. A partition whose true entry state was
   not speculated is folded again from that state (exact, rarely needed).
 * :func:`greedy_pack` -- first-fit greedy chunking under a count limit and
-  additive size limits, exact, via a per-partition *jump table* (the next
-  chunk start from every position) so any entry state composes in O(log n).
+  additive size limits, exact, via per-partition *jump tables* (the next chunk
+  start from every position). Where the tables are large they stay on the
+  executors as a forest of jumps, whose path from the first chunk is found by
+  pointer doubling; the driver sees a bounded number of entries at any limit.
 
 All three range-partition the input on (group, order) and pin it with a
 reliable checkpoint so both passes see identical partitions.
@@ -25,8 +27,8 @@ import pickle
 from typing import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import materialize
@@ -52,7 +54,9 @@ def _nparts(cached: DataFrame, num_partitions: int | None) -> int:
 
 PID = "_pid"
 # driver-side counters for observability (e.g. how often speculation missed)
-STATS = {"refolds": 0, "speculated_partitions": 0}
+STATS = {"refolds": 0, "speculated_partitions": 0, "greedy_bytes": 0, "greedy_forests": 0}
+#: Jump table entries that all partitions of one greedy_pack may send to the driver together.
+DRIVER_ENTRIES = 65536
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
@@ -417,6 +421,124 @@ def _first_boundary(w, entry_count, entry_sums, limits, max_count):
     return j
 
 
+def _chains(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chain of chunks from every position: their number and the start of the last, by pointer doubling."""
+    n = nxt.shape[0]
+    count, last, to = np.ones(n, dtype=np.int64), np.arange(n), nxt.copy()
+    live = np.flatnonzero(to < n)
+    while live.size:
+        t = to[live]
+        more, end, beyond = count[t], last[t], to[t]
+        count[live] += more
+        last[live] = end
+        to[live] = beyond
+        live = live[beyond < n]
+    return count, last
+
+
+def _jump_nodes(w: np.ndarray, base, lim, mc):
+    """What can be entered: of each position where the first chunk to open here may open, the chunks of its
+    chain and the state (count, sums) that the last is left in; and the sums before each position."""
+    n = w.shape[0]
+    nxt = _next_starts(w, base, lim, mc)
+    count, last = _chains(nxt)
+    sums = np.concatenate([np.zeros((1, w.shape[1])), np.cumsum(w, axis=0)])
+    heads = min(n, int(nxt[0]) + 1)
+    return count[:heads], n - last[:heads], base + sums[n] - sums[last[:heads]], sums[:heads]
+
+
+class _Run:
+    """Partitions that one group goes through: the one it starts in, those it fills, the one it ends in."""
+
+    def __init__(self, pids: list[int], summ: dict, lim, mc: int):
+        self.pids, self.lim, self.mc = pids, lim, mc
+        self.index = {p: i for i, p in enumerate(pids)}
+        self.rows = np.cumsum([summ[p]["n"] for p in pids])
+        self.sums = np.cumsum([summ[p]["total"] for p in pids], axis=0)
+
+    def enter(self, pid: int, count: np.ndarray, sums: np.ndarray):
+        """Chunks left open at the end of ``pid``: the partition in which each ends (-1: none that the group
+        fills) and the state in which it is entered."""
+        i = self.index[pid]
+        at = np.full(len(count), len(self.pids))
+        if self.mc > 0:
+            at = np.minimum(at, np.searchsorted(self.rows, self.rows[i] + self.mc - count, side="right"))
+        for k in np.flatnonzero(np.isfinite(self.lim)):
+            at = np.minimum(at, np.searchsorted(self.sums[:, k], self.sums[i, k] + self.lim[k] - sums[:, k], side="right"))
+        at = np.maximum(at, i + 1)
+        before = np.minimum(at, len(self.pids)) - 1
+        inner = at < len(self.pids) - 1
+        return (np.where(inner, np.asarray(self.pids)[np.minimum(at, len(self.pids) - 1)], -1), count + self.rows[before] - self.rows[i],
+                sums + self.sums[before] - self.sums[i])
+
+
+def _forest_path(x: DataFrame, runs: dict[int, _Run], roots: list[tuple], first_weights, base) -> dict[int, tuple]:
+    """{partition: (chunks, open count, open sums)} of the chunks that open first in the partitions that
+    a group fills, given the state in which each group leaves its first one (``roots``).
+
+    A node is a place where a partition's first chunk may open; it leads to the node where the chunk
+    that its chain leaves open ends. All nodes stay on the executors; each round doubles the jumps and the
+    part of the paths that is known, so it takes the logarithm of a run's partitions in rounds.
+    """
+    spark, width = x.sparkSession, len(base)
+    sums_t = T.ArrayType(T.DoubleType())
+    schema = T.StructType([
+        T.StructField("s", T.LongType()), T.StructField("j", T.LongType()), T.StructField("before", sums_t), T.StructField("chunks", T.LongType()),
+        T.StructField("open_count", T.LongType()), T.StructField("open_sums", sums_t),
+        T.StructField("q", T.LongType()), T.StructField("q_count", T.LongType()), T.StructField("q_sums", sums_t)])
+
+    def nodes_of(batches):
+        for pid, w in first_weights(batches):
+            run = runs[pid]
+            chunks, count, sums, before = _jump_nodes(w, base, run.lim, run.mc)
+            q, q_count, q_sums = run.enter(pid, count, sums)
+            for lo in range(0, len(chunks), 65536):
+                at = slice(lo, lo + 65536)
+                yield pd.DataFrame({"s": pid, "j": np.arange(len(chunks))[at], "before": list(before[at]), "chunks": chunks[at], "open_count": count[at],
+                                    "open_sums": list(sums[at]), "q": q[at], "q_count": q_count[at], "q_sums": list(q_sums[at])})
+
+    nodes = x.where(F.col(PID).isin([int(p) for p in runs])).mapInPandas(nodes_of, schema)
+    first = []
+    for k, (pid, run, count, sums) in enumerate(roots):
+        q, q_count, q_sums = run.enter(pid, np.array([count]), np.array([sums], dtype=float))
+        first.append((-1 - k, 0, [0.0] * width, 0, int(count), [float(v) for v in sums], int(q[0]), int(q_count[0]), q_sums[0].tolist()))
+    nodes = materialize(nodes.unionByName(spark.createDataFrame(first, schema)))
+
+    def ends(asked, entered):
+        """Where in partition q do the chunks end that enter it in these states?"""
+        if asked.empty:
+            return pd.DataFrame({"s": [], "j": [], "q": [], "j2": []})
+        q = int(asked["q"].iloc[0])
+        run = runs[q]
+        before = np.stack(entered.sort_values("j")["before"].to_numpy())
+        sums = np.stack(asked["q_sums"].to_numpy())
+        at = np.full(len(asked), len(before) - 1)
+        if run.mc > 0:
+            at = np.minimum(at, np.maximum(run.mc - asked["q_count"].to_numpy(), 0))
+        for k in np.flatnonzero(np.isfinite(run.lim)):
+            at = np.minimum(at, np.searchsorted(before[1:, k], run.lim[k] - sums[:, k], side="right"))
+        return pd.DataFrame({"s": asked["s"], "j": asked["j"], "q": q, "j2": at})
+
+    asked = nodes.where("q >= 0").select("s", "j", "q", "q_count", "q_sums")
+    entered = nodes.where("s >= 0").select("s", "j", "before")
+    jumps = materialize(asked.groupBy("q").cogroup(entered.groupBy("s")).applyInPandas(ends, "s long, j long, q long, j2 long"))
+    known = {(r[0], r[1]) for r in first}
+
+    def of_known(df):
+        path = spark.createDataFrame(sorted(known), "s long, j long")
+        return df.join(F.broadcast(path), ["s", "j"])  # one row per partition at most
+
+    while True:
+        found = {(r["q"], r["j2"]) for r in of_known(jumps).select("q", "j2").collect()}
+        if not found:
+            break
+        known |= found
+        on = jumps.select(F.col("s").alias("q"), F.col("j").alias("j2"), F.col("q").alias("q3"), F.col("j2").alias("j3"))
+        jumps = materialize(jumps.join(on, ["q", "j2"]).select("s", "j", F.col("q3").alias("q"), F.col("j3").alias("j2")))
+    STATS["greedy_forests"] += 1
+    return {r["s"]: (r["chunks"], r["open_count"], r["open_sums"]) for r in of_known(nodes).where("s >= 0").select("s", "chunks", "open_count", "open_sums").collect()}
+
+
 def greedy_pack(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -436,8 +558,10 @@ def greedy_pack(
     Limits may be per-group columns: pass column names in ``limits`` and the
     value is read from the first row of each group.
 
-    ``max_count`` may be None. What a partition tells the driver is bounded by the rows of one
-    chunk: whatever it is entered with, its first chunk ends no later than a chunk opened there.
+    ``max_count`` may be None. A partition can be entered in as many states as a chunk that opens at its
+    start has rows. All partitions together send at most ``DRIVER_ENTRIES`` of these to the driver; where
+    there are more (large limits, many partitions), they stay on the executors, see :func:`_forest_path`.
+    Sizes add up as doubles, so whole numbers below 2^53 are exact.
     """
     group_cols, order_cols, size_cols = list(group_cols), list(order_cols), list(size_cols)
     base = np.asarray(base if base is not None else [0.0] * len(size_cols), dtype=float)
@@ -459,6 +583,8 @@ def greedy_pack(
     order, flags = _neighbour_groups(x, group_cols)
     need = {pid for pid, (cin, cout) in flags.items() if cin or cout}
 
+    most = DRIVER_ENTRIES // max(len(need), 1)
+
     def summarize(batches):
         for pid, runs in _by_partition(batches, group_cols):
             if pid not in need:
@@ -481,59 +607,67 @@ def greedy_pack(
             fp = pd.concat(first_parts)
             lim, mc = group_limits(fp)
             w = weights(fp)
-            n = w.shape[0]
-            nxt = _next_starts(w, base, lim, mc)
-            chunks = np.zeros(n, dtype=np.int64)
-            last_start = np.zeros(n, dtype=np.int64)
-            for j in range(n - 1, -1, -1):
-                k = nxt[j]
-                if k >= n:
-                    chunks[j], last_start[j] = 1, j
-                else:
-                    chunks[j], last_start[j] = 1 + chunks[k], last_start[k]
-            # only starts reachable as a first boundary are needed by the driver
-            horizon = min(n, int(nxt[0]) + 1)
-            head_w = w[: max(horizon, 1)]
-            table = {
-                j: (int(chunks[j]), int(n - last_start[j]), (base + w[last_start[j]:].sum(axis=0)).tolist())
-                for j in range(horizon)
-            }
-            # partitions that hold a single group without any reachable boundary need the full sums
-            total = w.sum(axis=0).tolist()
-            tail = None
+            told = {"key": first_key, "groups": groups, "n": w.shape[0], "total": w.sum(axis=0), "lim": lim, "mc": mc}
             if groups > 1:
                 lp = pd.concat(last_parts)
                 lw = weights(lp)
                 llim, lmc = group_limits(lp)
-                lnxt = _next_starts(lw, base, llim, lmc)
-                j, c = 0, 0
-                while j < lw.shape[0]:
-                    s, j, c = j, int(lnxt[j]), c + 1
-                tail = (c, int(lw.shape[0] - s), (base + lw[s:].sum(axis=0)).tolist())
-            yield _emit_summary(pid, (first_key, n, head_w, lim, mc, table, total, groups, last_key, tail))
+                chunks, count, sums, _ = _jump_nodes(lw, base, llim, lmc)
+                told |= {"last_key": last_key, "fresh": (int(chunks[0]), int(count[0]), sums[0].tolist()), "lim": llim, "mc": lmc}
+            else:
+                chunks, count, sums, _ = _jump_nodes(w, base, lim, mc)
+                told["fresh"] = (int(chunks[0]), int(count[0]), sums[0].tolist())
+                # a group that goes through: every state in which the partition may be entered
+                if flags[pid] == (True, True):
+                    told["through"] = (w[:len(chunks)], chunks, count, sums) if len(chunks) <= most else None
+            yield _emit_summary(pid, told)
+
+    def first_weights(batches):
+        for pid, runs in _by_partition(batches, group_cols):
+            yield pid, weights(pd.concat([part for _, part in runs]))
 
     cols = [PID, *group_cols, *order_cols, *size_cols, *lim_cols, *([cnt_col] if cnt_col else [])]
     picked = x.select(*cols).filter(F.col(PID).isin([int(p) for p in need]))
     summ = _collect_summaries(picked, summarize) if need else {}
+    STATS["greedy_bytes"] = sum(len(pickle.dumps(v)) for v in summ.values())
+
+    path = None
+    if any(t.get("through", ()) is None for t in summ.values()):
+        runs, roots = {}, []
+        for i, pid in enumerate(order):
+            # a group starts here (alone or behind others) and goes on
+            if pid in summ and flags[pid][1] and (summ[pid]["groups"] > 1 or not flags[pid][0]):
+                within = [pid, *itertools.takewhile(lambda p: "through" in summ[p], order[i + 1:])]
+                if len(within) > 1:
+                    run = _Run([*within, order[i + len(within)]], summ, summ[pid]["lim"], summ[pid]["mc"])
+                    runs |= {p: run for p in within[1:]}
+                    roots.append((pid, run, *summ[pid]["fresh"][1:]))
+        path = _forest_path(x.select(*cols), runs, roots, first_weights, base)
+
+    def through(pid, count, sums):
+        """(chunks, open count, open sums) that a partition filled by a group adds; None: it ends no chunk."""
+        if path is not None:
+            return path.get(pid)
+        w, chunks, counts, open_sums = summ[pid]["through"]
+        j = _first_boundary(w, count, sums, summ[pid]["lim"], summ[pid]["mc"])
+        return (int(chunks[j]), int(counts[j]), open_sums[j]) if j < len(chunks) else None
+
     entries: dict[int, tuple] = {}
-    carry = None  # (key, chunks_so_far, open_count, open_sums)
+    carry = None  # (chunks so far, open count, open sums) of the group that goes on
     for pid in order:
         if pid not in summ:  # no group crosses its edges: every group starts fresh
             carry = None
             continue
-        first_key, n, head_w, lim, mc, table, total, groups, last_key, tail = summ[pid]
-        if carry is not None and carry[0] == first_key:
-            done, cnt, sums = carry[1], carry[2], np.asarray(carry[3])
-        else:
-            done, cnt, sums = 0, 0, base.copy()
-        entries[pid] = (done, cnt, sums.tolist())
-        j = _first_boundary(head_w[:n], cnt, sums, lim, mc) if cnt else 0
-        if j >= n:
-            new = (first_key, done, cnt + n, (sums + np.asarray(total)).tolist())
+        told = summ[pid]
+        done, count, sums = carry if carry is not None and flags[pid][0] else (0, 0, base)
+        entries[pid] = (done, count, [float(v) for v in sums])
+        if not flags[pid][1]:
+            carry = None
+        elif told["groups"] > 1 or not flags[pid][0]:
+            carry = told["fresh"]
         else:
-            c, open_cnt, open_sums = table[j]
-            new = (first_key, done + c, open_cnt, open_sums)
-        carry = new if groups == 1 else (last_key,) + tail
+            added = through(pid, count, np.asarray(sums))
+            carry = (done + added[0], added[1], added[2]) if added else (done, count + told["n"], np.asarray(sums) + told["total"])
 
     schema = T.StructType(x.schema.fields + [T.StructField(chunk_col, T.LongType(), False)])
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from sqlfold.operators import packing, statements
+from sqlfold.operators import packing, scan, statements
 from sqlfold.operators.scan import greedy_pack, ordinal
 
 
@@ -155,3 +155,28 @@ def test_rows_of_one_huge_insert_join_nothing_shuffled(spark):
         assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
         one = {r["stmt_no"]: (r["n_rows"], r["target"]) for r in statements.statements_from_scan(scan).collect()}
         assert one == {1: (2500, "public.big"), 2: (2, "public.small")}
+
+
+@pytest.mark.parametrize("limit, most, wmax", [(100.0, 5, 60), (700.0, 0, 60), (10.0**9, 37, 60), (10.0**9, 0, 60), (4000.0, 150, 9), (50.0, 0, 60)])
+def test_greedy_pack_by_the_forest(spark, monkeypatch, limit, most, wmax):
+    """No table may go to the driver: chunks of a few rows, of several partitions, and of all of them."""
+    monkeypatch.setattr(scan, "DRIVER_ENTRIES", 0)
+    rng = random.Random(int(limit) + most)
+    sizes = [3, 900, 1, 700, 40, 0, 300]
+    data = [(g, i, float(rng.randint(1, wmax))) for g, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(data, "g int, i int, w double")
+    before = scan.STATS["greedy_forests"]
+    got = {(r.g, r.i): r.chunk_no for r in greedy_pack(df, ["g"], ["i"], ["w"], [limit], most, num_partitions=13).collect()}
+    assert scan.STATS["greedy_forests"] == before + 1
+    for g, n in enumerate(sizes):
+        assert [got[(g, i)] for i in range(n)] == _greedy([w for gg, _, w in data if gg == g], 0.0, limit, most or 10**12)
+
+
+def test_greedy_pack_driver_bytes_do_not_grow_with_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(scan, "DRIVER_ENTRIES", 400)
+    df = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") % 7 + 1).cast("double").alias("w"))
+    told, chunks = [], []
+    for most in (100, 3000, 10**9):
+        chunks.append(greedy_pack(df, ["g"], ["i"], ["w"], [10.0**12], most, num_partitions=4).agg(F.max("chunk_no")).first()[0])
+        told.append(scan.STATS["greedy_bytes"])
+    assert chunks == [200, 7, 1] and max(told) < 2000 and max(told) - min(told) < 50  # numbers of more digits
