@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import evidence_phrase, quoted_entries, redact
-from ..operators import audit, evidence, ledger, packing, queue, reconcile, replay, splitplan, statements
+from ..operators import audit, evidence, ledger, packing, queue, reconcile, replay, reports, splitplan, statements
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
 from ..sources.text import parse_ledger
@@ -699,6 +699,88 @@ def q_resume_points(spark, sf):
     return queue.resume_points(q, " index.html ", ["lang"])
 
 
+# ---------------------------------------------------------------------------
+# reports over corpora
+# ---------------------------------------------------------------------------
+def q_reset_outcome(spark, sf):
+    """How each user's reset ended; mode, status, step and messages follow from the user's events."""
+    e = _event_versions(spark, sf)
+    n = F.count(F.lit(1))
+    outcomes = e.groupBy("user_id").agg(
+        F.when(F.max("event_id") % 2 == 0, "reset").otherwise("start").alias("mode"),
+        F.when(F.count_if(F.col("event_type") == "error") % 3 == 1, "failure").otherwise("success").alias("status"),
+        (n % 5).alias("step"), F.concat(F.lit("load "), F.max("event_type")).alias("step_label"),
+        F.concat(F.lit("first line\nlast version "), F.max("version")).alias("error_message"),
+        (n % 2 == 0).alias("restored"), (F.min("event_id") % 2 == 0).alias("applied_new"))
+    report = reports.reset_summary(_classified_events(spark, sf), outcomes, ["user_id"], F.lit(CUTOFF))
+    return report.withColumn("error_lines", F.array_join("error_lines", "|"))
+
+
+def q_cutoff_report(spark, sf):
+    """Cutoff, source and both ledgers' latest of each user; some users have no ledger, some cutoffs are no number."""
+    e = _event_versions(spark, sf)
+    settings = e.groupBy("user_id").agg(
+        F.max(F.when((F.col("event_type") == "signup") & (F.col("value") > 45), F.concat(F.lit(" "), F.col("version"), F.when(F.col("event_id") % 2 == 0, "z").otherwise("")))).alias("argument"),
+        F.when(F.min("event_id") % 2 == 0, "staging").alias("env"),
+        F.max(F.when((F.col("event_type") == "purchase") & (F.col("value") < 5), F.col("version"))).alias("env_config"),
+        F.min(F.when(F.col("event_type") == "view", F.col("version"))).alias("config"))
+    linked = _alignment(spark, sf).where("user_id % 3 > 0")
+    report = reports.cutoff_report(settings, linked, ["user_id"])
+    return report.withColumn("cutoff_number", F.col("cutoff_number").cast("long"))
+
+
+def q_audit_report(spark, sf):
+    """The audit of every user's scripts as JSON lines, with evidence."""
+    scripts = _scripts(spark, sf)
+    keys = ["user_id", "event_id"]
+    found = evidence.script_evidence(scripts, keys, "text", [audit.DATA_MARKER, audit.SCHEMA_MARKER])
+    return reports.audit_report(audit.classify_scripts(scripts), keys, ["user_id"], found)
+
+
+def q_sync_split(spark, sf):
+    """Five corpora with ledgers from the events; two are aligned and have a dump."""
+    from .split_validate import sync_split
+
+    names = {"click": "region.sql", "view": "nation.sql", "purchase": "supplier.sql", "signup": "customer.sql", "error": "part.sql"}
+    e = _event_versions(spark, sf).withColumn("file_id", _map(F.col("event_type"), names))
+    mine = F.when((F.col("event_type") == "view") & (F.month(F.to_timestamp("version", "yyyyMMddHHmmss")) >= 2), "").otherwise(F.col("version"))
+    bad = F.col("event_type") == "error"
+    ledgers = e.select("file_id", F.when(bad, F.concat(F.lit("x"), F.col("version"))).otherwise(mine).alias("local"), F.when(bad, "").otherwise(F.col("version")).alias("remote"))
+    lines = numbered(*[_dump(_t(spark, sf, t), f"{t}.sql", f"public.{t}", k) for t, k in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"))])
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-sync-{uuid.uuid4().hex}"
+    return sync_split(lines, ledgers, None, out_dir=out)
+
+
+def q_script_corpus(spark, sf):
+    """Twenty documents a script, published as files; names without a version are passed over, or
+    fail the strict form, which reads the others in a folder of their own."""
+    from pyspark.errors import PySparkException
+
+    from ..sources.members import write_members
+    from ..sources.text import read_scripts
+
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-scripts-{uuid.uuid4().hex}"
+    no = F.floor(F.col("doc_id") / 20)
+    name = F.when(no % 10 == 3, F.concat(F.lit("x"), no, F.lit("_a.sql"))).when(no % 10 == 4, F.concat(no, F.lit("a_b.sql"))).otherwise(F.concat(F.lpad(no.cast("string"), 8, "0"), F.lit("_docs_1.sql")))
+    d = _t(spark, sf, "documents").select(name.alias("file_name"), F.col("doc_id").alias("position"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("gap"))
+    write_members(d, f"{root}/all")
+    write_members(d.where(F.col("file_name").rlike("^[0-9]+_")), f"{root}/good")
+    try:
+        fails = read_scripts(spark, f"{root}/all", strict=True).agg(F.sum(F.length("text"))).first() is None
+    except PySparkException:
+        fails = True
+    loose = read_scripts(spark, f"{root}/all", "loose").withColumn("strict_fails", F.lit(fails))
+    both = loose.unionByName(read_scripts(spark, f"{root}/good", "strict", strict=True).withColumn("strict_fails", F.lit(False)))
+    return both.select("corpus_id", "name", "version", "strict_fails", F.md5("text").alias("text_md5"))
+
+
+def q_replay_stubs(spark, sf):
+    """The stand-in of each data script that the snapshot already holds."""
+    e = _event_versions(spark, sf).withColumn("classification", _map(F.col("event_type"), CLASS_OF_TYPE))
+    e = e.withColumn("name", F.concat("version", F.lit("_"), F.col("event_id"), F.lit(".sql")))
+    return replay.plan_replay(e, ["user_id"], CUTOFF, tie_cols=["event_id"], name_col="name").where("action = 'skip'").select("event_id", "stub")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dump_roundtrip": q_dump_roundtrip,
     "dump_row_counts": q_dump_row_counts,
@@ -744,4 +826,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_mismatches": q_first_mismatches,
     "quoted_entries": q_quoted_entries,
     "split_scope": q_split_scope,
+    "reset_outcome": q_reset_outcome,
+    "cutoff_report": q_cutoff_report,
+    "audit_report": q_audit_report,
+    "sync_split": q_sync_split,
+    "script_corpus": q_script_corpus,
+    "replay_stubs": q_replay_stubs,
 }

@@ -596,3 +596,94 @@ l AS (SELECT file_name, unnest(list_transform(ls, lambda x, i: (before + i) || c
 SELECT file_name, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS BIGINT) AS checksum, CAST(1 AS BIGINT) AS n_logged
 FROM l GROUP BY file_name
 """
+
+ORACLE["reset_outcome"] = f"""
+WITH d AS ({ORACLE["deploy_phrase"]}),
+o AS (SELECT user_id, CASE WHEN max(event_id) % 2 = 0 THEN 'reset' ELSE 'start' END AS mode,
+        CASE WHEN count(*) FILTER (WHERE event_type = 'error') % 3 = 1 THEN 'failure' ELSE 'success' END AS status,
+        count(*) % 5 AS step, 'load ' || max(event_type) AS step_label, 'first line|last version ' || max({_V}) AS error_lines,
+        count(*) % 2 = 0 AS restored, min(event_id) % 2 = 0 AS applied_new FROM events GROUP BY user_id),
+j AS (SELECT *, status = 'success' AS done, CASE mode WHEN 'reset' THEN 'Reset' ELSE 'Start' END AS verb FROM o JOIN d USING (user_id))
+SELECT CAST(user_id AS BIGINT) AS user_id, mode, status,
+       CASE WHEN done THEN verb || ' complete' ELSE verb || ' failed at step ' || step || ' (' || step_label || ')' END AS headline,
+       CASE WHEN NOT done THEN error_lines END AS error_lines,
+       CASE WHEN NOT done THEN CASE WHEN restored THEN 'scripts restored' ELSE 'scripts not restored' END END AS restore_note,
+       last_deploy, pre_total + post_total AS n_scripts, pre_label, pre_total,
+       CASE WHEN done THEN ran_during_rebuild ELSE concat_ws(' · ', nullif(ran_during_rebuild, ''), nullif(skipped_in_snapshot, '')) END AS pre_phrase,
+       CASE WHEN done THEN skipped_in_snapshot END AS skipped_phrase, '> Jan 15' AS post_label, post_total,
+       CASE WHEN done OR applied_new THEN applied_after WHEN post_total > 0 THEN 'not applied' ELSE '' END AS post_phrase
+FROM j
+"""
+
+ORACLE["cutoff_report"] = f"""
+WITH a AS (SELECT * FROM ({ORACLE["ledger_alignment"]}) WHERE user_id % 3 > 0),
+s AS (SELECT user_id,
+        max(' ' || {_V} || CASE WHEN event_id % 2 = 0 THEN 'z' ELSE '' END) FILTER (WHERE event_type = 'signup' AND value > 45) AS argument,
+        CASE WHEN min(event_id) % 2 = 0 THEN 'staging' END AS env,
+        max({_V}) FILTER (WHERE event_type = 'purchase' AND value < 5) AS env_config,
+        min({_V}) FILTER (WHERE event_type = 'view') AS config FROM events GROUP BY user_id),
+r AS (SELECT s.user_id, env, coalesce(trim(argument), latest_aligned, env_config, config) AS cutoff,
+        CASE WHEN argument IS NOT NULL THEN 'argument' WHEN latest_aligned IS NOT NULL THEN 'linked' WHEN coalesce(env_config, config) IS NOT NULL THEN 'config' END AS source,
+        latest_local, latest_remote, latest_aligned, a.user_id IS NULL AS unlinked FROM s LEFT JOIN a USING (user_id))
+SELECT CAST(user_id AS BIGINT) AS user_id, cutoff, try_cast(cutoff AS BIGINT) AS cutoff_number, source,
+       CASE source WHEN 'argument' THEN 'given as an argument' WHEN 'linked' THEN 'latest version on both sides' WHEN 'config' THEN 'configured fallback' END AS source_label,
+       env, latest_local, latest_remote, latest_aligned, CASE WHEN unlinked THEN 'no ledger rows' END AS alignment_error,
+       CASE WHEN cutoff IS NULL THEN 'no cutoff' WHEN ends_with(cutoff, 'z') THEN 'not a number' END AS cutoff_error
+FROM r
+"""
+
+# what a mask leaves of the scripts' strings; a marker's match takes the line feed after it, and so the next line
+_STRING_1, _STRING_2 = " " * len("'insert into x'"), " " * len("'it''s; drop table y'")
+ORACLE["audit_report"] = f"""
+WITH c AS (SELECT *, CASE event_type WHEN 'click' THEN 'schema' WHEN 'view' THEN 'data' WHEN 'purchase' THEN 'mixed' WHEN 'error' THEN 'unknown' ELSE 'data' END AS class,
+        CASE event_type WHEN 'click' THEN 'schema' WHEN 'view' THEN 'data' END AS rec FROM events),
+x AS (SELECT *,
+        CASE event_type WHEN 'click' THEN [{{'pattern': 'CREATE TABLE', 'line': 1, 'snippet': 'CREATE TABLE public.t_' || event_id || ' (id bigint, note text DEFAULT {_STRING_1});'}}]
+             WHEN 'purchase' THEN [{{'pattern': 'CREATE TABLE', 'line': 1, 'snippet': 'CREATE TABLE public.p_' || event_id || ' (id bigint);'}}] ELSE [] END AS ddl,
+        CASE event_type WHEN 'view' THEN [{{'pattern': 'INSERT INTO', 'line': 2, 'snippet': 'INSERT INTO public.t VALUES (' || event_id || ', {_STRING_2});'}}]
+             WHEN 'purchase' THEN [{{'pattern': 'INSERT INTO', 'line': 2, 'snippet': 'INSERT INTO public.p VALUES (1);'}}]
+             WHEN 'signup' THEN [{{'pattern': 'UPDATE', 'line': 2, 'snippet': 'UPDATE public.users SET n = ' || event_id || ';'}}] ELSE [] END AS dml,
+        CASE event_type WHEN 'signup' THEN [{{'pattern': '{DATA_MARKER}', 'line': 1, 'snippet': '-- {DATA_MARKER}' || chr(10) || 'UPDATE public.users SET n = ' || event_id || ';'}}] ELSE [] END AS marker FROM c)
+SELECT CAST(user_id AS BIGINT) AS user_id, 1 AS section, CAST(event_id AS BIGINT) AS event_id, CAST(to_json({{
+         'event_id': event_id, 'classification': class, 'source': CASE event_type WHEN 'signup' THEN 'marker' ELSE 'heuristic' END,
+         'reasons': [CASE event_type WHEN 'click' THEN 'schema statements found' WHEN 'view' THEN 'data statements found'
+                          WHEN 'purchase' THEN 'schema statements and data statements found' WHEN 'error' THEN 'no marker and no recognised statement'
+                          ELSE 'marker -- {DATA_MARKER}' END],
+         'recommendation': CASE event_type WHEN 'click' THEN 'add -- {SCHEMA_MARKER}' WHEN 'view' THEN 'add -- {DATA_MARKER}'
+                                WHEN 'purchase' THEN 'split into schema-only and data-only scripts' WHEN 'error' THEN 'review manually' ELSE 'none' END,
+         'recommended_marker': rec, 'has_data_marker': event_type = 'signup', 'has_schema_marker': false,
+         'evidence': {{'ddl': ddl, 'dml': dml, 'marker': marker}}}}) AS VARCHAR) AS json FROM x
+UNION ALL
+SELECT CAST(user_id AS BIGINT), 0, NULL, CAST(to_json({{
+         'metadata': {{'user_id': user_id, 'data_marker': '{DATA_MARKER}', 'schema_marker': '{SCHEMA_MARKER}', 'verbose': true}},
+         'summary': {{'data': count(*) FILTER (WHERE class = 'data'), 'schema': count(*) FILTER (WHERE class = 'schema'), 'mixed': count(*) FILTER (WHERE class = 'mixed'),
+                      'unknown': count(*) FILTER (WHERE class = 'unknown'), 'suggested_updates': count(rec)}}}}) AS VARCHAR) FROM x GROUP BY user_id
+"""
+
+ORACLE["sync_split"] = """
+WITH s AS (SELECT count(*) AS n, count(DISTINCT s_suppkey // 50) AS g FROM supplier),
+l AS (SELECT max(strftime(ts, '%Y%m%d%H%M%S')) FILTER (WHERE month(ts) < 2) IS NOT DISTINCT FROM max(strftime(ts, '%Y%m%d%H%M%S')) AS same FROM events WHERE event_type = 'view'),
+r AS (SELECT 'gate' AS what, 'region.sql' AS target, 13 AS n_left, 13 AS n_right, 'ok' AS status
+      UNION ALL SELECT 'gate', 'nation.sql', 33, CASE WHEN same THEN 33 ELSE 0 END, CASE WHEN same THEN 'ok' ELSE 'blocked' END FROM l
+      UNION ALL SELECT 'gate', 'supplier.sql', 6 + 2 * g + n, 6 + 2 * g + n, 'ok' FROM s
+      UNION ALL SELECT 'gate', 'customer.sql', 0, 0, 'no_dump' UNION ALL SELECT 'gate', 'part.sql', 0, 0, 'empty'
+      UNION ALL SELECT 'rows', 'public.region', 5, 5, 'ok' UNION ALL SELECT 'statements', 'public.region', 1, 1, 'ok'
+      UNION ALL SELECT 'rows', 'public.supplier', n, n, 'ok' FROM s UNION ALL SELECT 'statements', 'public.supplier', g, g, 'ok' FROM s
+      UNION ALL SELECT 'rows', 'public.nation', 25, 25, 'ok' FROM l WHERE same UNION ALL SELECT 'statements', 'public.nation', 1, 1, 'ok' FROM l WHERE same
+      UNION ALL SELECT 'sequence lines', NULL, 4 + 2 * same::INT, 4 + 2 * same::INT, 'ok' FROM l)
+SELECT what, target, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, status FROM r
+"""
+
+ORACLE["script_corpus"] = """
+WITH f AS (SELECT doc_id // 20 AS no, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1),
+k AS (SELECT lpad(CAST(no AS VARCHAR), 8, '0') AS version, text FROM f WHERE no % 10 NOT IN (3, 4)),
+bad AS (SELECT count(*) > 0 AS any_bad FROM f WHERE no % 10 IN (3, 4))
+SELECT c.corpus_id, version || '_docs_1.sql' AS name, version, c.corpus_id = 'loose' AND any_bad AS strict_fails, md5(text) AS text_md5
+FROM k, bad, (VALUES ('loose'), ('strict')) AS c(corpus_id)
+"""
+
+ORACLE["replay_stubs"] = f"""
+SELECT CAST(event_id AS BIGINT) AS event_id,
+       '-- skipped: ' || {_V} || '_' || event_id || '.sql' || chr(10) || '-- already contained in the snapshot taken at ' || {_CUT} || chr(10) || 'SELECT 1;' || chr(10) AS stub
+FROM events WHERE event_type = 'view' AND {_V} <= {_CUT}
+"""
