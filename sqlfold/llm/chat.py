@@ -129,10 +129,12 @@ def windows(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     ).withColumn("counted", F.concat_ws("\n", "role", "text"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    turns = given.mapInArrow(_count_tokens(vocabulary, ranks), f"{fields}, tokens long")
+    # dealing by ranges reads its input twice, so it is given counts, not the counting
+    counted = common.stage(given.mapInArrow(_count_tokens(vocabulary, ranks), f"{fields}, tokens long"), "chat-tokens")
     # the first turn in order; its text matters for ties of system turns only
     opening = F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "tokens")
-    turns = prefix_sums(turns, ["conv"], ["turn", "role", "text"], "tokens", "start", ("opening", opening))
+    turns = prefix_sums(counted, ["conv"], ["turn", "role", "text"], "tokens", "start", ("opening", opening))
+    common.unstage(counted)
     # the grid leaves room for the system turn and begins after it
     fixed = F.when((F.col("opening.role") == "system") & (F.col("opening.tokens") < budget), F.col("opening.tokens")).otherwise(F.lit(0))
     grid = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("fixed")) / 2))
