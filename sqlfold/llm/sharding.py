@@ -98,9 +98,9 @@ def kd_shards(df: DataFrame, id_col: str, text_col: str, dimensions: list[Column
         F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
         F.array(*[F.coalesce(d.cast("long"), F.lit(-1).cast("long")) for d in dimensions]).alias("dims"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col)), 2).alias("spin"),
     )
-    rows = common.stage(rows, "shard-rows")
+    # rows of one id, or of none, are told apart by their texts
+    rows = common.stage(rows.withColumn("spin", F.shiftrightunsigned(F.xxhash64("id", "crc", "size"), 2)), "shard-rows")
     n = len(dimensions)
     whole = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"), *[(F.max(F.col("dims")[i]) - F.min(F.col("dims")[i])).alias(f"w{i}") for i in range(n)]).first()
     count = shards or max(1, -(-(whole["size"] or 0) // target_bytes))

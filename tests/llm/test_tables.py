@@ -357,6 +357,18 @@ def test_shards_odd_rows_and_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).collect()[0]["text"] == "é"
 
 
+def test_shards_without_ids(spark):
+    """No id, or one id on all rows: the texts tell rows apart."""
+    for given in (None, 7):
+        df = spark.createDataFrame([(given, f"text {i % 900}", i % 5) for i in range(1200)], "id long, text string, d int")
+        got = sharding.kd_shards(df, "id", "text", [F.col("d")], shards=4, bucket_rows=10).toPandas()
+        assert len(got) == 1200 and (got["size"] == got["crc32"].map({zlib.crc32(f"text {i}".encode()): len(f"text {i}") + 1 for i in range(900)})).all()
+        for _, part in got.groupby("shard"):
+            assert sorted(part["slot"]) == list(range(len(part)))
+        by = got.groupby("shard")["size"].sum()
+        assert (by - by.mean()).abs().max() <= 0.05 * by.mean()
+
+
 def test_text_code_keeps_order(spark):
     words = [None, "", "a", "ab", "abc", "b", "é", "中", "src0", "src1", "src10"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "s string").select(sharding.text_code(F.col("s"))).collect()]
