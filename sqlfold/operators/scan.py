@@ -8,8 +8,9 @@ whole group (a file, a table, a statement) into one task:
   run as a two-pass *speculative* scan: pass 1 folds every partition from a
   handful of plausible entry states at once (runs that meet are merged), the
   driver chains the few summary rows per partition, and pass 2 folds each
-  partition from its true entry state. A partition whose true entry state was
-  not speculated is folded again from that state (exact, rarely needed).
+  partition from its true entry state. Partitions whose true entry state was
+  not speculated are folded again, all in one job, from the states that earlier
+  ones may leave open (exact, rarely needed).
 * :func:`greedy_pack` -- first-fit greedy chunking under a count limit and
   additive size limits, exact, via per-partition *jump tables* (the next chunk
   start from every position). Where the tables are large they stay on the
@@ -233,6 +234,33 @@ class _Speculation:
         return {self.entries[r]: (exit_of[r], self.cnt[r]) for r in range(len(self.entries))}
 
 
+#: States that a refold tries on one partition, the nearest partitions' first; others wait for another job.
+REFOLD_STATES = 32
+
+
+def _likely_entries(order, flags, summ, state) -> dict:
+    """Entry states not yet folded, of the first partition of ``order``, whose entry is ``state``, and of all later
+    ones: what any partition before them in their group leaves open (a tag, a long quote), from
+    whichever entry, may run on to them. Where a group begins inside a partition, its exit is known."""
+    wave, likely = {}, {state: None}
+    for pid in order:
+        if pid not in summ or not (flags[pid][0] or pid == order[0]):
+            likely = {}
+        if pid not in summ:
+            continue
+        _, table, groups, _, last_state, _ = summ[pid]
+        tried = [s for s in reversed(likely) if s not in table][:REFOLD_STATES]
+        if tried:
+            wave[pid] = tried
+        if groups > 1:
+            likely = {last_state: None}
+            continue
+        for left, _ in table.values():
+            likely.pop(left, None)  # the latest go last
+            likely[left] = None
+    return wave
+
+
 def fold_lines(
     lines: DataFrame,
     group_cols: Sequence[str],
@@ -343,13 +371,10 @@ def fold_lines(
                 carry = (last_key, last_state, counters.chain(counters.origin(), last_cnt))
         if missing is None:
             break
-        # the state may well run on (inside one long quote): one job tries it on the rest of the group
-        pid, state = missing
-        later = order[order.index(pid) + 1:]
-        chain = [pid, *itertools.takewhile(lambda p: flags[p][0], later)]
-        chain = [p for p in chain if p in summ and state not in summ[p][1]]
-        extra = _collect_summaries(only(chain), summarize_for({p: [state] for p in chain}))
-        for p in chain:
+        # one job folds every later partition from all states that those before it may leave open
+        wave = _likely_entries(order[order.index(missing[0]):], flags, summ, missing[1])
+        extra = _collect_summaries(only(wave), summarize_for(wave))
+        for p in wave:
             summ[p][1].update(extra[p][1])
         STATS["refolds"] += 1
 

@@ -180,3 +180,31 @@ def test_greedy_pack_driver_bytes_do_not_grow_with_the_limit(spark, monkeypatch)
         chunks.append(greedy_pack(df, ["g"], ["i"], ["w"], [10.0**12], most, num_partitions=4).agg(F.max("chunk_no")).first()[0])
         told.append(scan.STATS["greedy_bytes"])
     assert chunks == [200, 7, 1] and max(told) < 2000 and max(told) - min(told) < 50  # numbers of more digits
+
+
+@pytest.mark.parametrize("between", [0, 30])
+def test_many_long_quotes_are_folded_again_together(spark, between):
+    """Quotes at depths that nothing foresees, each through several partitions: all are tried in one job."""
+    lines, expect = [], []
+    for k in range(2, 10):
+        quote = "\n".join(f"word {i}; '' ) -- " for i in range(40))
+        value = "(" * (k - 1) + f"'{quote}'" + ")" * (k - 1)
+        expect.append(f"({k}, {value})")
+        lines += [f"INSERT INTO public.q{k} (id, body) VALUES", *f"\t({k}, {value});".split("\n")]
+        for i in range(between):
+            lines.append(f"INSERT INTO public.plain (id) VALUES ({i});")
+            expect.append(f"({i})")
+    df = spark.createDataFrame([("dump.sql", i + 1, t) for i, t in enumerate(lines)], "file_id string, line_no long, line string")
+    before = scan.STATS["refolds"]
+    rows = statements.rows_from_scan(statements.dump_scan(df, num_partitions=40)).select("tuple").collect()
+    assert sorted(r.tuple for r in rows) == sorted(expect)
+    assert 1 <= scan.STATS["refolds"] - before <= 2
+
+
+def test_states_tried_again_are_bounded_but_exact(spark, monkeypatch):
+    monkeypatch.setattr(scan, "REFOLD_STATES", 1)
+    deep = [(f"({k}, " + "(" * k + "'" + "\n".join(["a;"] * 12) + "'" + ")" * k + ")") for k in range(1, 6)]
+    lines = ["INSERT INTO public.d (id, body) VALUES", *("\t" + ",\n\t".join(deep) + ";").split("\n")]
+    df = spark.createDataFrame([("dump.sql", i + 1, t) for i, t in enumerate(lines)], "file_id string, line_no long, line string")
+    rows = statements.rows_from_scan(statements.dump_scan(df, num_partitions=9)).select("tuple").collect()
+    assert sorted(r.tuple for r in rows) == sorted(deep)
