@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import evidence_phrase, quoted_entries, redact
-from ..operators import audit, evidence, ledger, packing, queue, reconcile, replay, reports, splitplan, statements
+from ..operators import audit, digest, evidence, ledger, packing, queue, reconcile, replay, reports, splitplan, statements
 from ..operators.scan import ordinal
 from ..session import ensure_checkpoint_dir
 from ..sources.text import parse_ledger
@@ -163,7 +163,8 @@ def q_fingerprint_by_group(spark, sf):
         "total_bytes", F.col("total_bytes").cast("long"))
 
 
-def q_first_difference(spark, sf):
+def _edited_documents(spark, sf):
+    """Documents as lines, and the same with lines dropped and changed."""
     d = _t(spark, sf, "documents")
     parts = F.split("text", "\n", -1)
     orig = d.select("doc_id", F.posexplode(parts).alias("p", "line")).select(
@@ -172,7 +173,24 @@ def q_first_difference(spark, sf):
     w = Window.partitionBy("doc_id").orderBy("line_no")  # one document: bounded
     edited = kept.select("doc_id", F.row_number().over(w).cast("long").alias("line_no"),
                          F.replace(F.col("line"), F.lit(" the "), F.lit(" teh ")).alias("line"))
-    return reconcile.first_difference(orig, edited, ["doc_id"])
+    return orig, edited
+
+
+def q_first_difference(spark, sf):
+    return reconcile.first_difference(*_edited_documents(spark, sf), ["doc_id"])
+
+
+def q_tree_difference(spark, sf):
+    """J3 by descent in digest trees: only lines of the first leaf that differs are compared."""
+    return digest.tree_difference(*_edited_documents(spark, sf), ["doc_id"], leaf_lines=4, fanout=3)
+
+
+def q_digest_tree(spark, sf):
+    """A6 in order: every level of the digest trees of documents and their edited copies."""
+    orig, edited = _edited_documents(spark, sf)
+    both = orig.withColumn("copy", F.lit("original")).unionByName(edited.withColumn("copy", F.lit("edited")))
+    tree = digest.digest_tree(both, ["copy", "doc_id"], leaf_lines=4, fanout=3)
+    return tree.withColumn("level", F.col("level").cast("long"))
 
 
 # ---------------------------------------------------------------------------
@@ -611,13 +629,8 @@ def q_dump_split_validate(spark, sf):
     return split_and_validate(_split_dumps(spark, sf), rules_from_json(spark, SPLIT_RULES), out_dir=out)
 
 
-def q_reassembled_stream(spark, sf):
-    """S8, S11, O4, R11 by text: over 1000 tables split into files of their own names, published by the
-    members sink, read back and put together in the order of their numbers; every line of the stream."""
-    from ..sources.members import write_members
-    from ..sources.text import read_chunk_files
-    from .split_validate import file_plan, reassembled_files
-
+def _customer_dump(spark, sf):
+    """A dump of customers in over 1000 tables, with sequence lines."""
     c = _t(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("key"), (F.col("c_custkey") % 1200).cast("long").alias("k"), "c_name", "c_mktsegment")
     row = tuple_text(F.col("key"), [sql_quote(F.col("c_name")), sql_quote(F.col("c_mktsegment"))])
     last = F.col("key") == F.max("key").over(Window.partitionBy("k"))
@@ -625,11 +638,40 @@ def q_reassembled_stream(spark, sf):
     heads = c.select("k").distinct().select("k", F.lit(-1).cast("long").alias("part"), F.concat(F.lit("INSERT INTO public.t"), "k", F.lit(" (c_custkey, c_name, c_mktsegment) VALUES")).alias("line"))
     seqs = c.select("k").distinct().filter("k % 100 = 7").select("k", F.lit(1 << 60).alias("part"), F.concat(F.lit("SELECT pg_catalog.setval('public.t"), "k", F.lit("_id_seq', 1, true);")).alias("line"))
     lines = rows.unionByName(heads).unionByName(seqs).withColumn("section", F.lit(1)).withColumn("p", F.lit(0)).withColumn("file_id", F.lit("customers.sql"))
+    return numbered(lines)
+
+
+def q_reassembled_stream(spark, sf):
+    """S8, S11, O4, R11 by text: over 1000 tables split into files of their own names, published by the
+    members sink, read back and put together in the order of their numbers; every line of the stream."""
+    from ..sources.members import write_members
+    from ..sources.text import read_chunk_files
+    from .split_validate import file_plan, reassembled_files
+
     out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-members-{uuid.uuid4().hex}"
-    write_members(file_plan(numbered(lines), None), out)
+    write_members(file_plan(_customer_dump(spark, sf), None), out)
     return reassembled_files(read_chunk_files(spark, out)).select("line_no", "line")
 
 
+def q_stream_text(spark, sf):
+    """R11 by text: the lines planned for over 1000 tables against those of the files read back, and
+    against these with one line in 97 changed, by digest trees."""
+    from ..session import materialize
+    from ..sources.members import write_members
+    from ..sources.text import read_chunk_files
+    from .split_validate import file_plan, reassembled_files, reassembled_lines
+
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/sqlfold-members-{uuid.uuid4().hex}"
+    plan = materialize(file_plan(_customer_dump(spark, sf), None))
+    write_members(plan, out)
+    copies = F.explode(F.array(F.lit("read"), F.lit("changed"))).alias("copy")
+    planned = reassembled_lines(plan).select(copies, "line_no", "line")
+    back = reassembled_files(read_chunk_files(spark, out)).select(copies, "line_no", "line")
+    changed = (F.col("copy") == "changed") & F.col("line").rlike("^\t\\([0-9]*97, ")
+    back = back.withColumn("line", F.when(changed, F.upper("line")).otherwise(F.col("line")))
+    return digest.text_report(planned, back, ["copy"], leaf_lines=64, fanout=8)
+
+
 PLAN_RULES = {"public.mid": {"maxRowsPerInsert": 30}, "public.beta": {"skip": True}}
 
 
@@ -791,6 +833,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "reconcile_counts": q_reconcile_counts,
     "fingerprint_by_group": q_fingerprint_by_group,
     "first_difference": q_first_difference,
+    "tree_difference": q_tree_difference,
+    "digest_tree": q_digest_tree,
     "version_max": q_version_max,
     "ledger_alignment": q_ledger_alignment,
     "cutoff_resolve": q_cutoff_resolve,
@@ -816,6 +860,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "schema_roundtrip": q_schema_roundtrip,
     "dump_split_validate": q_dump_split_validate,
     "reassembled_stream": q_reassembled_stream,
+    "stream_text": q_stream_text,
     "load_commits": q_load_commits,
     "stream_load": q_stream_load,
     "dump_file_plan": q_dump_file_plan,

@@ -581,6 +581,30 @@ l AS (
 SELECT CAST(row_number() OVER (ORDER BY section, k, i) AS BIGINT) AS line_no, line FROM l
 """
 
+# the first line whose upper form differs: of a customer's key ending in 97, as the name has small letters
+ORACLE["stream_text"] = ORACLE["reassembled_stream"].replace("SELECT CAST(row_number()", ", s AS (SELECT CAST(row_number()", 1) + r""")
+SELECT copy, (SELECT count(*) FROM s) AS n_left, (SELECT count(*) FROM s) AS n_right, CASE copy WHEN 'changed' THEN d.n END AS first_diff_line,
+       CASE WHEN copy = 'changed' AND d.n IS NOT NULL THEN 'mismatch' ELSE 'ok' END AS status
+FROM (VALUES ('read'), ('changed')) v(copy),
+     (SELECT min(line_no) AS n FROM s WHERE regexp_matches(line, '^\t\([0-9]*97, ') AND upper(line) <> line) d
+"""
+
+ORACLE["tree_difference"] = ORACLE["first_difference"]
+
+_HALF = "CAST('0x' || substr(md5(line_no || ':' || line), {}, 15) AS BIGINT)"
+ORACLE["digest_tree"] = f"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                  unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS line_no,
+             replace(line, ' the ', ' teh ') AS line FROM o WHERE NOT starts_with(line, 'The')),
+l AS (SELECT 'original' AS copy, doc_id, line_no, line FROM o UNION ALL SELECT 'edited', doc_id, line_no, line FROM e),
+x AS (SELECT copy, doc_id, (line_no - 1) // 4 AS leaf, octet_length(encode(line)) AS n, {_HALF.format(1)} AS a, {_HALF.format(16)} AS b FROM l),
+h AS (SELECT 0 AS level, 1::BIGINT AS span, max(leaf) AS top FROM x UNION ALL SELECT level + 1, span * 3, top // 3 FROM h WHERE top > 0)
+SELECT copy, CAST(doc_id AS BIGINT) AS doc_id, CAST(level AS BIGINT) AS level, CAST(leaf // span AS BIGINT) AS block, count(*) AS n_lines,
+       CAST(sum(n) AS BIGINT) AS n_bytes, bit_xor(a) AS a, bit_xor(b) AS b
+FROM x, h GROUP BY ALL
+"""
+
 ORACLE["load_commits"] = """
 WITH d AS (SELECT coalesce(source, '') AS path,
                   CAST('0x' || substr(md5(concat_ws(chr(31), doc_id, text, lang, n_chars)), 1, 8) AS BIGINT) AS h FROM documents),
