@@ -13,6 +13,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.redaction import redact_list
 from ..functions.text import evidence_phrase, quoted_entries, redact
 from ..operators import audit, digest, evidence, ledger, packing, queue, reconcile, replay, reports, splitplan, statements
 from ..operators.scan import ordinal
@@ -182,7 +183,7 @@ def q_first_difference(spark, sf):
 
 def q_tree_difference(spark, sf):
     """J3 by descent in digest trees: only lines of the first leaf that differs are compared."""
-    return digest.tree_difference(*_edited_documents(spark, sf), ["doc_id"], leaf_lines=4, fanout=3)
+    return digest.tree_difference(*_edited_documents(spark, sf), ["doc_id"], leaf_lines=8, fanout=16)
 
 
 def q_digest_tree(spark, sf):
@@ -450,6 +451,31 @@ def q_load_queue(spark, sf):
     return q.withColumn("pattern_no", F.col("pattern_no").cast("long"))
 
 
+def _page_patterns() -> list[str]:
+    """Over 800 patterns: each host's pages by the letters their names begin with, later ones more general."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    named = [f"*.example.{top}/{a}{b}*" for b in letters[:6] for a in letters for top in ("com", "org")]
+    deep = [f"*.example.{top}/{a}*/{b}*" for a in letters for b in letters[:6] for top in ("com", "org")]
+    return [*named, *deep, "*/*", "*/*/*", *named[:9]]
+
+
+def q_many_patterns(spark, sf):
+    """W9/F9 with a long pattern list: paths walked down a trie of segments."""
+    q = queue.load_queue(_paths(spark, sf), _page_patterns())
+    return q.withColumn("pattern_no", F.col("pattern_no").cast("long"))
+
+
+def _secrets() -> list[str]:
+    """Over 700 literals in an order that matters: some begin others, some match a replacement's letters."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ["tion", "tio", *(f"{a}{b}e" for a in letters for b in letters), "d[", "REDA", "ACTED]s", "", "the ", "]]"]
+
+
+def q_redact_many(spark, sf):
+    """X13 with a long list of literals, replaced in order in whole documents."""
+    return _t(spark, sf, "documents").select("doc_id", redact_list("text", _secrets()).alias("text"))
+
+
 def q_ignore_filter(spark, sf):
     p = _paths(spark, sf).withColumn("base_name", F.element_at(F.split("path", "/"), -1))
     kept = queue.keep_filter(p, KEEP_PATTERNS)
@@ -849,6 +875,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "marker_facts": q_marker_facts,
     "category_sequence": q_category_sequence,
     "load_queue": q_load_queue,
+    "many_patterns": q_many_patterns,
+    "redact_many": q_redact_many,
     "ignore_filter": q_ignore_filter,
     "redact_literals": q_redact_literals,
     "markers_roundtrip": q_markers_roundtrip,

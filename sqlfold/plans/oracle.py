@@ -711,3 +711,22 @@ SELECT CAST(event_id AS BIGINT) AS event_id,
        '-- skipped: ' || {_V} || '_' || event_id || '.sql' || chr(10) || '-- already contained in the snapshot taken at ' || {_CUT} || chr(10) || 'SELECT 1;' || chr(10) AS stub
 FROM events WHERE event_type = 'view' AND {_V} <= {_CUT}
 """
+
+ORACLE["many_patterns"] = r"""
+WITH f AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages),
+a AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')) AS x, unnest(range(36)) AS i),
+t(top, j) AS (VALUES ('com', 0), ('org', 1)),
+p AS (SELECT 1 + b.i * 72 + a.i * 2 + j AS pattern_no, '[^/]*\.example\.' || top || '/' || a.x || b.x || '[^/]*' AS rx FROM a, a b, t WHERE b.i < 6
+      UNION ALL SELECT 433 + a.i * 12 + b.i * 2 + j, '[^/]*\.example\.' || top || '/' || a.x || '[^/]*/' || b.x || '[^/]*' FROM a, a b, t WHERE b.i < 6
+      UNION ALL VALUES (865, '[^/]*/[^/]*'), (866, '[^/]*/[^/]*/[^/]*')),
+m AS (SELECT path, min(pattern_no) AS pattern_no FROM f JOIN p ON regexp_full_match(path, rx) GROUP BY path)
+SELECT CAST(row_number() OVER (ORDER BY pattern_no, path) AS BIGINT) AS queue_no, CAST(pattern_no AS BIGINT) AS pattern_no,
+       path, string_split(path, '/')[-1] AS base_name
+FROM m
+"""
+
+ORACLE["redact_many"] = """
+WITH a AS (SELECT string_split('abcdefghijklmnopqrstuvwxyz', '') AS x),
+s AS (SELECT ['tion', 'tio'] || flatten(list_transform(x, lambda p: list_transform(x, lambda q: p || q || 'e'))) || ['d[', 'REDA', 'ACTED]s', 'the ', ']]'] AS l FROM a)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, list_reduce([text] || l, lambda t, c: replace(t, c, '[REDACTED]')) AS text FROM documents, s
+"""
