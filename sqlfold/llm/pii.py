@@ -70,6 +70,7 @@ def base_spans(s: str) -> list[tuple[int, int, int]]:
 # --- features and decoding -----------------------------------------------------------------
 
 _CUES = [re.compile(p) for p in (r"\b(?:e-?mails?|contact|write)\W*$", r"\b(?:ip|host|server|address|ping)\W*$", r"\b(?:card|visa|credit|pan)\W*$", r"\b(?:phone|tel|call|fax|mobile)\W*$")]
+_NO_CUES = (False,) * len(_CUES)
 _GROUPS = re.compile(r"[0-9]+")
 _FULL = [re.compile(p) for p in (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+){3}",
@@ -78,7 +79,8 @@ N_FEATURES = 32
 
 
 def features(s: str, a: int, z: int, cues: tuple[bool, ...]) -> list[float]:
-    """Whole-span features of the candidate s[a:z]."""
+    """Whole-span features of the candidate s[a:z]; ``cues`` tell which kinds the words before s announce, and
+    count where the span begins s."""
     span = s[a:z]
     groups = [len(g) for g in _GROUPS.findall(span)]
     n = sum(groups)
@@ -92,14 +94,14 @@ def features(s: str, a: int, z: int, cues: tuple[bool, ...]) -> list[float]:
         span[0] == "+", "@" in span, span.count("(") == span.count(")") <= 1, any(c.isalpha() for c in span), " " in span,
         before.isalnum() or before in "@_", after.isalnum() or after in "@_", before in ".-+/=\"'(" , after in "/=\"'@", len(groups) > 5, len(groups) == 4 and span[0] == "+",
         bool(groups) and groups[-1] >= 3, full[3] and max(groups, default=0) > 10,
-        after in ".-" and s[z + 1 : z + 2].isalnum(), before in ".-" and a > 1 and s[a - 2].isalnum(), *cues,
+        after in ".-" and s[z + 1 : z + 2].isalnum(), before in ".-" and a > 1 and s[a - 2].isalnum(), *(cues if a == 0 else _NO_CUES),
     ]
 
 
 class Candidates:
     """The segments of a string that can be an entity: atom bounds and features."""
 
-    def __init__(self, s: str, cues: tuple[bool, ...] = (False,) * 4):
+    def __init__(self, s: str, cues: tuple[bool, ...] = _NO_CUES):
         bounds = [0, *(m.end() for m in _ATOM.finditer(s))]
         self.bounds = bounds
         rows, self.start, self.end = [], [], []
@@ -131,7 +133,7 @@ class Candidates:
         return out
 
 
-def decode(s: str, weights: np.ndarray, cues: tuple[bool, ...] = (False,) * 4) -> list[tuple[int, int, int]]:
+def decode(s: str, weights: np.ndarray, cues: tuple[bool, ...] = _NO_CUES) -> list[tuple[int, int, int]]:
     """The best segmentation of ``s``: its entities as (kind number, start, end)."""
     c = Candidates(s, cues)
     if not c.start:
@@ -206,11 +208,39 @@ def _made_up(r: random.Random) -> list[tuple[str, list[tuple[int, int, int]]]]:
     return out
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 60, penalty: float = 0.002, rate: float = 0.25) -> np.ndarray:
-    """Weights [kind, feature] of the highest penalised likelihood, by Adam on the exact gradient."""
+def _cued(r: random.Random) -> list[tuple[str, list[tuple[int, int, int]], tuple[bool, ...]]]:
+    """Strings that are an entity where the words before announce its kind, and none without; and
+    strings that no such word makes one."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    open_card = lambda: next(d for d in iter(lambda: digits(16), "") if not luhn(d))
+    decided = [
+        (0, lambda: f"{letters(r.randint(3, 8))}@{letters(r.randint(4, 8))}"),
+        (2, lambda: (lambda d, sep: sep.join(d[i : i + 4] for i in range(0, 16, 4)))(open_card(), r.choice(("", " ", "-")))),
+        (3, lambda: digits(r.randint(9, 11))), (3, lambda: digits(r.randint(9, 11))), (3, lambda: f"{digits(3)}{r.choice('- ')}{digits(4)}"),
+    ]
+    never = [
+        lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}", lambda: f"@{letters(6)}",
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice((16, 18, 40)))), lambda: digits(r.randint(20, 30)), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: digits(r.randint(1, 5)),
+    ]
+    out = []
+    for _ in range(40):
+        for kind, make in decided:
+            s = make()
+            told = tuple(k == kind for k in range(len(KINDS)))
+            end = r.choice(("", "", ".", ","))
+            out += [(s + end, [(kind, 0, len(s))], told), (s + end, [], _NO_CUES)]
+        wrong = r.randrange(len(KINDS))
+        out.append((r.choice(never)(), [], tuple(k == wrong for k in range(len(KINDS)))))
+    return out
+
+
+def train(examples: list[tuple], rounds: int = 60, penalty: float = 0.002, rate: float = 0.25) -> np.ndarray:
+    """Weights [kind, feature] of the highest penalised likelihood, by Adam on the exact gradient.
+    An example is a string, its entities and, if any, its cues."""
     data = []
-    for s, gold in examples:
-        c = Candidates(s)
+    for s, gold, *cues in examples:
+        c = Candidates(s, *cues)
         at = {(c.bounds[i], c.bounds[j]): k for k, (i, j) in enumerate(zip(c.start, c.end))}
         if all((a, z) in at for _, a, z in gold):
             y = np.zeros((len(c.start), len(KINDS)))
@@ -280,7 +310,7 @@ def _sample(df: DataFrame, id_col: str, text_col: str, documents: int, islands:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, documents: int = 1500, islands: int = 250) -> np.ndarray:
-    return train(_made_up(random.Random(7)) + _sample(df, id_col, text_col, documents, islands))
+    return train(_made_up(random.Random(7)) + _cued(random.Random(8)) + _sample(df, id_col, text_col, documents, islands))
 
 
 # --- whole texts ------------------------------------------------------------------------------

@@ -311,6 +311,20 @@ def test_model_on_held_out_entities():
     assert pii.base_spans(s) == [] and pii.decode(s, weights) == [(3, 0, 17), (2, 18, 34)]
 
 
+def test_words_before_decide_what_a_span_is(spark):
+    weights = pii.train(pii._made_up(random.Random(7)) + pii._cued(random.Random(8)))
+    held = pii._cued(random.Random(99))
+    right = sum(sorted(pii.decode(s, weights, cues)) == sorted(gold) for s, gold, cues in held)
+    assert right >= 0.95 * len(held), (right, len(held))
+    plain = pii._made_up(random.Random(99))
+    gold = {(i, *g) for i, (_, spans) in enumerate(plain) for g in spans}
+    got = {(i, *g) for i, (s, _) in enumerate(plain) for g in pii.decode(s, weights)}
+    assert len(gold & got) >= 0.93 * len(gold) and len(gold & got) >= 0.93 * len(got), (len(gold), len(got), len(gold & got))
+    texts = ["Please call 5551234567 now", "Part 5551234567 is sold out", "call 2024-11-12", "call us in 3 days about part 5551234567"]
+    found = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", weights).collect()}
+    assert found == {0: [("phone", 12, 22)], 1: [], 2: [], 3: []}
+
+
 def test_redaction(spark):
     rows = [(1, "é me@x.org, 1.2.3.4!", 20, "k"), (2, None, None, "k"), (3, "", 0, None), (4, "clean", 5, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
