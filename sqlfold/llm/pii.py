@@ -230,8 +230,9 @@ def _cued(r: random.Random) -> list[tuple[str, list[tuple[int, int, int]], tuple
             told = tuple(k == kind for k in range(len(KINDS)))
             end = r.choice(("", "", ".", ","))
             out += [(s + end, [(kind, 0, len(s))], told), (s + end, [], _NO_CUES)]
-        wrong = r.randrange(len(KINDS))
-        out.append((r.choice(never)(), [], tuple(k == wrong for k in range(len(KINDS)))))
+        for wrong in range(len(KINDS)):
+            told = tuple(k == wrong for k in range(len(KINDS)))
+            out += [(make(), [], told) for make in (never[0], r.choice(never))]
     return out
 
 
