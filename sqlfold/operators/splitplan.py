@@ -16,6 +16,7 @@ class KindFold:
     """W3 + W4 as a line fold: forward-fill unknown kinds, count runs of equal kind."""
 
     initial = None
+    syncs = False
     candidates = (None, "schema", "data")
 
     def feed(self, state, kind):
@@ -172,7 +173,8 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
     c = list(corpus_cols)
     asked = targets.select(*c, "name").distinct()
     known = scripts.select(*c, "name", "version", "text").join(asked.withColumn("_t", F.lit(True)), c + ["name"], "left")
-    known = known.withColumn("_t", F.coalesce("_t", F.lit(False)))
+    # four branches read the scripts: they are matched with the targets once
+    known = materialize(known.withColumn("_t", F.coalesce("_t", F.lit(False))))
     earliest = known.filter("_t").groupBy(*c).agg(F.min(number_key("version"))["v"].alias("earliest"))
 
     # statements come from a Python split; pin them (and their kinds) once for the branches below
@@ -192,6 +194,7 @@ def split_plan(scripts: DataFrame, targets: DataFrame, corpus_cols: Sequence[str
         F.first("filled").alias("seg_kind"),
         F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("stmt_no", "statement"))), lambda s: s["statement"]), "\n\n"), F.lit("\n")).alias("body"),
     )
+    bodies = materialize(bodies)  # for the outputs, and for what has none
     base = F.regexp_replace(strip_version_prefix("name"), r"(?i)\.sql$", "")
     columns = [*c, "name", "version", "segment_no", "n_segments", "kind", "suffix", "content", "error"]
     none = F.lit(None).cast("string")

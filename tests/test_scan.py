@@ -208,3 +208,65 @@ def test_states_tried_again_are_bounded_but_exact(spark, monkeypatch):
     df = spark.createDataFrame([("dump.sql", i + 1, t) for i, t in enumerate(lines)], "file_id string, line_no long, line string")
     rows = statements.rows_from_scan(statements.dump_scan(df, num_partitions=9)).select("tuple").collect()
     assert sorted(r.tuple for r in rows) == sorted(deep)
+
+
+def test_whole_tuple_lines_scan_alike():
+    from sqlfold.functions.lexer import _BETWEEN, _WHOLE_TUPLE, InsertFold
+
+    fold, bits = InsertFold(), ["\t(1, 'a;,(')", "(2, 'it''s -- no')", "(-3, 4/2)", "(E'\\'x')", "(e'')", "(1, $$a$$)", "(1 -- c)", "((1))", "(1) x", "(1,\t/* c */ 2)", '("a")', "('a", "(NULL, '')"]
+    lines = [b + e for b in bits for e in (",", ";", "", ", ", ";x")]
+    assert sum(bool(_WHOLE_TUPLE.fullmatch(ln)) for ln in lines) == 8
+    for line in lines:
+        assert fold.feed(_BETWEEN, line) == fold._scan(_BETWEEN, line, [("in", None)]), line
+
+
+def test_greedy_pack_of_many_small_groups_in_a_batch(spark):
+    """Groups of few rows with limits of their own, across batches and partitions, rows that travel along unread."""
+    import datetime
+
+    rows = [(None if g == 7 else f"g{g:04d}", i, (g * 31 + i * 17) % 40 + 1, float(20 + g % 90), g % 5, datetime.datetime(2024, 1, 1 + i), None) for g in range(1500) for i in range(g % 9 + 1)]
+    df = spark.createDataFrame(rows, "g string, i long, w long, lim double, most long, at timestamp, note string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.g, r.i): (r.c, r["at"]) for r in greedy_pack(df, ["g"], ["i"], ["w"], ["lim"], "most", chunk_col="c", num_partitions=6).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    chunk = count = size = 0
+    for g, i, w, lim, most, at, _ in rows:
+        if i == 0:
+            chunk, count = 0, 0
+        if not count or (most and count >= most) or size + w > lim:
+            chunk, count, size = chunk + 1, 0, 0
+        count, size = count + 1, size + w
+        assert got[g, i] == (chunk, at)
+    assert len(got) == len(rows)
+
+
+def test_packing_statements_sorts_no_table_in_one_task(spark):
+    """The sides with a row per table go to the tasks: no shuffle by the table, which may be all statements."""
+    from sqlfold.operators import packing
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stmts = spark.range(400).selectExpr("'public.one' AS target", "id AS stmt_no", "concat('INSERT ', id) AS text")
+        limits = packing.effective_limits(stmts.select("target"), None)
+        plan = packing.pack_statements(stmts, limits)
+        assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert plan.select("part_no").distinct().count() == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_speculation_gives_up_runs_that_never_meet():
+    """A run from inside a quote never meets the others; it is dropped, and folded again where it is the true one."""
+    from sqlfold.functions.lexer import InsertFold
+    from sqlfold.operators import scan
+    from sqlfold.operators.statements import _InsertCounters
+
+    spec = scan._Speculation(InsertFold(), _InsertCounters, InsertFold.candidates)
+    for line in (["\t(1, 'a'),"] * 40 + ["\t(2, 'b');", "INSERT INTO public.t (k, v) VALUES"]) * 30:
+        spec.feed(line)
+    table = spec.result()
+    assert spec.met is not None and InsertFold.initial in table and (2, "'", False, None, 0, 1, False, False) not in table
+    assert table[2, None, False, None, 0, 0, False, False] == (table[InsertFold.initial][0], (30, 41, 0))
+    assert table[InsertFold.initial][1] == (30, 0, 0)
