@@ -270,3 +270,16 @@ def test_speculation_gives_up_runs_that_never_meet():
     assert spec.met is not None and InsertFold.initial in table and (2, "'", False, None, 0, 1, False, False) not in table
     assert table[2, None, False, None, 0, 0, False, False] == (table[InsertFold.initial][0], (30, 41, 0))
     assert table[InsertFold.initial][1] == (30, 0, 0)
+
+
+def test_partitions_of_long_texts_are_small(spark):
+    """40 MB of texts in one partition may be one Arrow batch, held several times by each task."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        df = spark.range(2500).select("id", F.repeat(F.format_string("%08d", "id"), F.lit(2048)).alias("text"))
+        parts = scan.range_sorted(df, ["id"]).groupBy(scan.PID).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n for r in parts) == 2500 * 16384
+    assert max(r.n for r in parts) < 32 * 1024 * 1024
